@@ -167,3 +167,33 @@ def drop_repeats(docs: DataFrame, width: int = 35, anchor: int = 16) -> DataFram
 
     keyed = _keyed(docs).withColumn("row_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
     return keyed.join(spans, ["doc_id", "tag"], "left").select("row_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+
+
+def cut_documents(docs: DataFrame, width: int = 35, anchor: int = 16) -> DataFrame:
+    """docs with each text cut as drop_repeats cuts it, n_chars, if there, set to its new length.
+
+    A text that loses no word stays as it is, white space included; one
+    that loses words joins the rest by one space; a document that loses
+    every word goes.  Null and empty texts stay.
+    """
+    small_batches(docs.sparkSession)
+    spans = repeated_spans(docs, width, anchor).select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans"))
+    names = docs.columns
+    place = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(place).to_pylist()
+            keep = np.ones(b.num_rows, bool)
+            for i, at in enumerate(b.column(len(names))):
+                if at.is_valid:
+                    left = _cut(texts[i].encode("utf-8", "surrogatepass").split(), at.values.to_numpy(), width)
+                    texts[i], keep[i] = b" ".join(left).decode("utf-8", "surrogatepass"), bool(left)
+            cols = [pa.array(texts, pa.string()) if i == place else b.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep))
+
+    doc = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)))
+    tag = F.coalesce(F.xxhash64(docs["text"]).bitwiseAND(0x7FFF), F.lit(0))
+    marked = docs.join(spans, (doc == F.col("_doc")) & (tag == F.col("_tag")), "left").select(*[docs[c] for c in names], "_spans")
+    out = marked.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
