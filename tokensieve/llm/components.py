@@ -42,6 +42,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         release(now)
         now = new
         if mark == found or not found[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
         mark = found
     raise RuntimeError(f"components didn't settle in {max_rounds} rounds")

@@ -115,8 +115,8 @@ def train(docs: DataFrame, labels: DataFrame, how: Ftrl = Ftrl()) -> tuple[np.nd
         at = np.flatnonzero(w)
         return pa.table({"bucket": pa.array(np.append(at, -1), pa.int64()), "weight": pa.array(np.append(w[at], bias), pa.float64())})
 
-    placed = rows.select("text", "y", F.xxhash64("doc_id").alias("place"))
-    got = placed.groupBy(F.lit(1)).applyInArrow(run, "bucket long, weight double").collect()  # 2**bits rows at most
+    placed = rows.select("text", "y", F.xxhash64("doc_id").alias("place"), F.lit(1).alias("model"))
+    got = placed.groupBy("model").applyInArrow(run, "bucket long, weight double").collect()  # 2**bits rows at most
     weights, bias = np.zeros(1 << how.bits), 0.0
     for r in got:
         if r.bucket < 0:

@@ -96,15 +96,16 @@ def spanning_edges(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarra
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long, for every row of docs (doc_id, text)."""
+    """(doc_id, text_hash, fp) for every row of docs (doc_id, text): fp is the fingerprint as a signed long, text_hash Spark's xxhash64."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t, shingle) for t in b.column("text").to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fp.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def link_edges(distinct: DataFrame, distance: int = 4, blocks: int = 8) -> DataFrame:
@@ -158,7 +159,7 @@ def link_edges(distinct: DataFrame, distance: int = 4, blocks: int = 8) -> DataF
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int = 8) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs (doc_id, text).
+    """(doc_id, text_hash, fp, component_id) for every row of docs (doc_id, text).
 
     component_id is the smallest doc_id that links of ``distance`` bits or
     fewer reach, itself included; null only where every doc_id of the
@@ -173,10 +174,10 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks
     least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     named = store(rooted.join(least, "root").select("fp", "component_id"))
     release(groups)
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs whose doc_id is its component's smallest; rows with a null doc_id stay."""
-    found = near_duplicates(docs, **options).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    gone = near_duplicates(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text")).distinct()
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["_doc"]) & (F.xxhash64(docs["text"]) == gone["_text"]), "left_anti")
