@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scores import DOC
+from .scores import document
 from .select import seeded
 from .tokens import with_tone
 
@@ -16,7 +16,7 @@ def training_rows(toks: DataFrame, ratio: float = 4.0, most: int = 512, least: i
     Texts are cut at ``most`` tokens.  Up to 2k kept tokens are the first
     ones; else both ends and a seeded sample between.
     """
-    cut = with_tone(toks.where(F.col("pos") < most)).withColumn("m", F.count("*").over(DOC).cast("int")).where(F.col("m") >= least)
+    cut = with_tone(toks.where(F.col("pos") < most)).withColumn("m", F.count("*").over(document()).cast("int")).where(F.col("m") >= least)
     goal = F.greatest(F.floor(F.col("m") / F.lit(ratio)).cast("int"), F.lit(1))
     cut = cut.withColumn("goal", goal).withColumn("is_edge", (F.col("pos") < k) | (F.col("pos") >= F.col("m") - k))
     order = Window.partitionBy("doc_id", "is_edge").orderBy(seeded(seed, F.col("doc_id"), F.col("pos")))

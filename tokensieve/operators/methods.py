@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tone, words
 from ..lexicon import CLASS_KEEP, REDUPLICATIVE_KEYS
-from .scores import DOC, class_scale, min_max, streaming_importance
+from .scores import document, class_scale, min_max, streaming_importance
 from .select import edge, keep_ranked, rank_middle, seeded, target, top_k
 from .tokens import by_document, features, with_class, with_contrast, with_tone
 
@@ -168,7 +168,7 @@ def sentence_filter(toks: DataFrame, ratio: float = 4.0) -> DataFrame:
     scored = sents.withColumn("mean", mean)
     order = Window.partitionBy("doc_id").orderBy(F.col("mean").desc(), "sent")
     # dense_rank counts sentences, for (mean, sent) is one value for each
-    ranked = scored.withColumns({"srank": F.dense_rank().over(order), "n_sent": F.size(F.collect_set("sent").over(DOC))})
+    ranked = scored.withColumns({"srank": F.dense_rank().over(order), "n_sent": F.size(F.collect_set("sent").over(document()))})
     goal = F.greatest(F.floor(F.col("n") / F.lit(ratio)).cast("int"), F.lit(1))
     limit = F.greatest(F.lit(3), F.floor(goal / 50).cast("int"))
     return ranked.where((F.col("n_sent") < 4) | (F.col("srank") <= limit)).drop("mean", "srank")
@@ -177,7 +177,7 @@ def sentence_filter(toks: DataFrame, ratio: float = 4.0) -> DataFrame:
 def llmlingua(toks: DataFrame, ratio: float = 4.0, k: int = 2, most: int = 32768) -> DataFrame:
     """The sentence filter; then, of texts still beyond one and a half targets, the highest surprisals."""
     goal = F.greatest(F.floor(F.col("n") / F.lit(ratio)).cast("int"), F.lit(1))
-    kept = sentence_filter(toks, ratio).withColumns({"goal": goal, "m": F.count("*").over(DOC).cast("int"), "at": F.row_number().over(by_document()) - 1})
+    kept = sentence_filter(toks, ratio).withColumns({"goal": goal, "m": F.count("*").over(document()).cast("int"), "at": F.row_number().over(by_document()) - 1})
     kept = kept.withColumn("is_edge", (F.col("at") < k) | (F.col("at") >= F.col("m") - k))
     score = F.when(F.col("at") == 0, 0.0).otherwise(F.col("surprisal"))
     ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "is_edge").orderBy(score.desc(), "pos")))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .tokens import by_document
 
-DOC = Window.partitionBy("doc_id")
+def document():
+    return Window.partitionBy("doc_id")
+
 
 
 def ngram_surprisal(toks: DataFrame) -> DataFrame:
@@ -32,13 +34,13 @@ def chunked(toks: DataFrame, size: int = 512) -> DataFrame:
 
 def min_max(x: Column, constant: Column | None = None) -> Column:
     """x scaled to [0, 1] within its document; where all are equal, the constant (x itself without one)."""
-    low, high = F.min(x).over(DOC), F.max(x).over(DOC)
+    low, high = F.min(x).over(document()), F.max(x).over(document())
     return F.when(high > low, (x - low) / (high - low)).otherwise(x if constant is None else constant)
 
 
 def class_scale(f_class: Column) -> Column:
     """Multipliers rescaled to [0.5, 1]; unchanged where constant."""
-    low, high = F.min(f_class).over(DOC), F.max(f_class).over(DOC)
+    low, high = F.min(f_class).over(document()), F.max(f_class).over(document())
     return F.when(high > low, F.lit(0.5) + F.lit(0.5) * (f_class - low) / (high - low)).otherwise(f_class)
 
 

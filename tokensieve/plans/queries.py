@@ -280,7 +280,7 @@ def compress_selective(spark, sf_dir):
     toks = _tokens(spark, sf_dir)
     letters = [F.length(F.regexp_replace(F.lower("tok"), f"[^{c}]", "")).cast("long") for c in "aeiounrst"]
     vec = toks.withColumns({f"v{i}": x for i, x in enumerate(letters)})
-    q = [F.sum(F.when(F.col("pos") < 16, F.col(f"v{i}"))).over(scores.DOC) for i in range(9)]
+    q = [F.sum(F.when(F.col("pos") < 16, F.col(f"v{i}"))).over(scores.document()) for i in range(9)]
     with_q = vec.withColumns({f"q{i}": x for i, x in enumerate(q)})
     dot = sum((F.col(f"v{i}") * F.col(f"q{i}") for i in range(9)), F.lit(0))
     norm = sum((F.col(f"v{i}") * F.col(f"v{i}") for i in range(9)), F.lit(0)) * sum((F.col(f"q{i}") * F.col(f"q{i}") for i in range(9)), F.lit(0))
