@@ -511,3 +511,10 @@ def test_pipeline(spark, sf_dir):
         got[r.doc_id] += bytes(r.ids)
     assert got == want
     assert hashlib.sha256(b"".join(got[i] for i in sorted(got))).hexdigest()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_matches_sql(spark, sf_dir, name):
+    from tests.compare import connect, rows_of_spark, rows_of_sql
+
+    assert rows_of_spark(queries.QUERIES[name](spark, sf_dir)) == rows_of_sql(connect(sf_dir), queries.ORACLES[name])

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, packing, quality, rules, secrets, simhash, substring, tokens, urls
+from .oracles import ORACLES
 
 #: The rules that pages are judged by.
 URL_RULES = [
@@ -18,6 +19,8 @@ URL_RULES = [
 ]
 QUALITY_CUT = 0.3
 
+__all__ = ["ORACLES", "QUERIES"]
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -99,6 +102,3 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
-
-#: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
