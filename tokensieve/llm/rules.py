@@ -136,7 +136,7 @@ def judge(docs: DataFrame, host: str = "source", how: HostRule = HostRule()) ->
     """
     tests = _failures(how)
     counts = store(base_counts(docs, host))
-    rejected = host_verdicts(counts, how).where("not host_kept").select("host", F.lit(False).alias("host_kept"))
+    rejected = store(host_verdicts(counts, how).where("not host_kept").select("host", F.lit(False).alias("host_kept")))
     joined = counts.join(rejected, "host", "left")
     failed = tests["short"] | tests["repetitive"]
     host_kept = F.coalesce("host_kept", F.lit(True))
@@ -146,7 +146,7 @@ def judge(docs: DataFrame, host: str = "source", how: HostRule = HostRule()) ->
 def keep_documents(docs: DataFrame, host: str = "source", how: HostRule = HostRule()) -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns; rows that repeat a doc_id are judged each."""
     counts = store(base_counts(docs, host).drop("doc_id"))
-    gone = host_verdicts(counts, how).where("not host_kept").select(F.col("host").alias("_rejected"))
+    gone = store(host_verdicts(counts, how).where("not host_kept").select(F.col("host").alias("_rejected")))
 
     def passes(x: Column) -> Column:
         tests = _failures(how, x.getField)

@@ -108,6 +108,6 @@ def judge(pages: DataFrame, rules: list[Rule], edges: DataFrame | None = None) -
     # A node of a component may be a URL that no page has; rules judge it too.
     named = groups.select("component", "node", F.concat(F.lit("http://"), "node").alias("url"))
     known = named.select("component", rule_for(host_of(F.col("url")), path_of(F.col("url")), rules).alias("rule")).where("rule is not null")
-    ruled = known.select("component", verdict_of.alias("verdict")).groupBy("component").agg(F.min("verdict").alias("alias_verdict"))  # allow sorts first
+    ruled = store(known.select("component", verdict_of.alias("verdict")).groupBy("component").agg(F.min("verdict").alias("alias_verdict")))  # allow sorts first
     aliases = groups.join(ruled, "component").select("node", "alias_verdict")
     return own.join(aliases, "node", "left").select("page_id", "host", "path", "rule", F.coalesce(verdict_of, "alias_verdict", F.lit("allow")).alias("verdict"))
