@@ -1,7 +1,7 @@
 """Quality classifier: hashed word n-grams, logistic regression by FTRL-proximal updates.
 
-A document's features are the distinct hashes of its words and word pairs
-in ``2**bits`` buckets, each with the value 1 / sqrt(number of features).
+A document's features are hashes of its words and word pairs and of their
+shapes in ``2**bits`` buckets, each valued by the root of its share.
 Training sees a bounded sample of the labelled rows, in one task, and
 returns the weights that aren't zero; scoring is a sparse dot product in a
 single pass over the documents, without a shuffle.
@@ -17,10 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import mix, words_of
+from .hashing import mix, span_hash, words_of
 from .scratch import small_batches
 
 _PAIR = np.uint64(0xA0761D6478BD642F)
+_SALT = np.uint64(0xE7037ED1A0B428DB)
+_SAME = np.uint64(0x8EBC6AF09C88C6E3)
+_SCALE = 4.0
 
 
 @dataclass(frozen=True)
@@ -32,37 +35,60 @@ class Ftrl:
     """
 
     bits: int = 18
-    alpha: float = 0.3
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 0.02
+    l1: float = 0.05
     l2: float = 0.5
-    epochs: int = 3
+    epochs: int = 4
     max_rows: int = 12_000
 
 
-def features(texts, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, document) of each distinct feature of each document, sorted by document."""
-    words, first, *_ = words_of([t and t.lower() for t in texts])
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    pair = mix(words[:-1] * _PAIR + words[1:])[doc[:-1] == doc[1:]] if len(words) > 1 else words[:0]
-    hashes = np.concatenate([words, pair]) >> np.uint64(64 - bits)
-    owner = np.concatenate([doc, doc[:-1][doc[:-1] == doc[1:]]]) if len(words) > 1 else doc
-    both = np.unique((owner.astype(np.uint64) << np.uint64(bits)) | hashes)
-    return (both & np.uint64((1 << bits) - 1)).astype(np.int64), (both >> np.uint64(bits)).astype(np.int64)
+def _shape_table() -> np.ndarray:
+    """Letters and bytes beyond ASCII become a, digits 0; the rest stay."""
+    table = np.arange(256, dtype=np.uint8)
+    table[0x80:] = ord("a")
+    table[ord("a") : ord("z") + 1] = table[ord("A") : ord("Z") + 1] = ord("a")
+    table[ord("0") : ord("9") + 1] = ord("0")
+    return table
+
+
+_SHAPE = _shape_table()
 
 
-def _values(doc: np.ndarray, n: int) -> np.ndarray:
-    """1 / sqrt(features) of each document."""
-    return 1.0 / np.sqrt(np.maximum(np.bincount(doc, minlength=n), 1))
+def features(texts, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, document, value) of each distinct feature of each document, sorted by document.
+
+    Features are words and word pairs, the same of the words' shapes (runs
+    of letters and of digits as one character each), and pairs of equal
+    words.  The value is the square root of the feature's share of its
+    document's.
+    """
+    lowered = [t and t.lower() for t in texts]
+    words, first, data, starts, ends = words_of(lowered)
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    shaped = _SHAPE[np.frombuffer(data, np.uint8)]
+    turn = np.ones(len(shaped) + 1, bool)
+    turn[1:-1] = shaped[1:] != shaped[:-1]
+    place = np.cumsum(turn) - 1  # where each byte's run stands among the runs
+    shapes = span_hash(shaped[turn[:-1]], place[starts], place[ends]) + _SALT if len(starts) else words
+    inside = doc[:-1] == doc[1:]
+    pairs = [mix(w[:-1] * _PAIR + w[1:])[inside] for w in (words, shapes)]
+    same = np.full(int((words[:-1] == words[1:])[inside].sum()), _SAME)
+    same_doc = doc[:-1][inside & (words[:-1] == words[1:])]
+    hashes = np.concatenate([words, *pairs, mix(shapes), same]) >> np.uint64(64 - bits)
+    owner = np.concatenate([doc, doc[:-1][inside], doc[:-1][inside], doc, same_doc])
+    both, count = np.unique((owner.astype(np.uint64) << np.uint64(bits)) | hashes, return_counts=True)
+    owner = (both >> np.uint64(bits)).astype(np.int64)
+    total = np.bincount(owner, count, minlength=len(texts))
+    return (both & np.uint64((1 << bits) - 1)).astype(np.int64), owner, _SCALE * np.sqrt(count / total[owner])
 
 
 def fit(texts: list, labels: np.ndarray, how: Ftrl) -> tuple[np.ndarray, float]:
     """(weights, bias) after how.epochs passes in the order given."""
     size = (1 << how.bits) + 1  # the last is the bias
     z, n = np.zeros(size), np.zeros(size)
-    bucket, doc = features(texts, how.bits)
+    bucket, doc, value = features(texts, how.bits)
     cut = np.searchsorted(doc, np.arange(len(texts) + 1))
-    value = _values(doc, len(texts))
 
     def weights(at):
         zi = z[at]
@@ -71,8 +97,7 @@ def fit(texts: list, labels: np.ndarray, how: Ftrl) -> tuple[np.ndarray, float]:
     for _ in range(how.epochs):
         for i, y in enumerate(labels):
             at = np.append(bucket[cut[i] : cut[i + 1]], size - 1)
-            x = np.full(len(at), value[i])
-            x[-1] = 1.0
+            x = np.append(value[cut[i] : cut[i + 1]], 1.0)
             w = weights(at)
             p = 1.0 / (1.0 + np.exp(-np.clip(w @ x, -30, 30)))
             g = (p - y) * x
@@ -85,8 +110,8 @@ def fit(texts: list, labels: np.ndarray, how: Ftrl) -> tuple[np.ndarray, float]:
 
 def score(texts, weights: np.ndarray, bias: float, bits: int) -> np.ndarray:
     """Probability of label 1 for each text; a text without words has the bias alone."""
-    bucket, doc = features(texts, bits)
-    dot = np.bincount(doc, weights[bucket], minlength=len(texts)) * _values(doc, len(texts)) + bias
+    bucket, doc, value = features(texts, bits)
+    dot = np.bincount(doc, weights[bucket] * value, minlength=len(texts)) + bias
     return 1.0 / (1.0 + np.exp(-np.clip(dot, -30, 30)))
 
 
