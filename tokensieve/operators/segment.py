@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tone, words
@@ -49,26 +49,18 @@ def segment(toks: DataFrame) -> DataFrame:
     placed = clean.withColumn("pos", F.row_number().over(by_document()) - 1)
     sized = match_lengths(placed)
     # A place is free where no earlier match reaches; blocks of matches that touch are folded alone.
-    reach = F.max(F.col("pos") + F.col("len")).over(by_document().rowsBetween(-(MAX_PARTS * MAX_PARTS), -1))
+    reach = F.max(F.col("pos") + F.col("len")).over(by_document().rowsBetween(-MAX_PARTS, -1))
     block = sized.withColumn("fresh", (F.coalesce(reach, F.lit(0)) <= F.col("pos")).cast("int")).withColumn("block", F.sum("fresh").over(by_document()))
     folded = block.groupBy("doc_id", "block").agg(F.min("pos").alias("first"), F.array_sort(F.collect_list(F.struct("pos", "len", "tok"))).alias("run"))
     starts = folded.select("doc_id", "first", "run", F.explode(_starts(F.transform("run", lambda x: x["len"]))).alias("at"))
     size = F.get("run", F.col("at"))["len"]
     word = F.array_join(F.transform(F.slice("run", F.col("at") + 1, size), lambda x: x["tok"]), "_")
     out = starts.select("doc_id", (F.col("first") + F.col("at")).alias("start"), word.alias("word"))
-    return out.withColumn("word_no", F.row_number().over(by_document_start()) - 1).select("doc_id", "word_no", "start", "word")
-
-
-def by_document_start():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id").orderBy("start")
+    return out.withColumn("word_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("start")) - 1).select("doc_id", "word_no", "start", "word")
 
 
 def align(segments: DataFrame, counts: DataFrame) -> DataFrame:
     """Adds (span_start, span_end): running numbers of ``_`` parts, the end capped at the document's n tokens."""
-    from pyspark.sql import Window
-
     spec = Window.partitionBy("doc_id").orderBy("word_no")
     parts = F.size(F.split("word", "_"))
     end = F.sum(parts).over(spec)

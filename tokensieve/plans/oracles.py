@@ -434,6 +434,19 @@ ORACLES: dict[str, str] = {
         "cp AS (SELECT *, c::DOUBLE / greatest(a, 1) AS p, c::DOUBLE / greatest(b, 1) AS r FROM co)",
         select='SELECT pair_id, round(p, 6) AS "precision", round(r, 6) AS recall, round(CASE WHEN c > 0 THEN 2.0::DOUBLE * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM cp',
     ),
+    "rouge_l": _recursive(
+        _with(
+            _TURNS,
+            f"wl AS (SELECT pair_id, {_words('lower(pred)')} AS a, {_words('lower(ref)')} AS b FROM pairs)",
+            # A row of the prefix table is the running maximum of what the row above gives.
+            """lc(pair_id, i, r) AS (SELECT pair_id, 0::BIGINT, list_transform(b, lambda x: 0) FROM wl UNION ALL
+  SELECT pair_id, i + 1, list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j])) FROM (SELECT pair_id, i, list_transform(range(1, len(b) + 1), lambda j: greatest(r[j], coalesce(r[j - 1], 0) + (a[i + 1] = b[j])::INT)) AS c
+    FROM lc JOIN wl USING (pair_id) WHERE i < len(a)))""",
+            "le AS (SELECT pair_id, len(a) AS na, len(b) AS nb, coalesce(r[len(b)], 0) AS n FROM wl JOIN lc USING (pair_id) WHERE i = len(a))",
+            "lp AS (SELECT *, n::DOUBLE / greatest(na, 1) AS p, n::DOUBLE / greatest(nb, 1) AS q FROM le)",
+            select='SELECT pair_id, round(p, 6) AS "precision", round(q, 6) AS recall, round(CASE WHEN n > 0 THEN 2.0::DOUBLE * p * q / (p + q) ELSE 0 END, 6) AS f1 FROM lp',
+        )
+    ),
     "bleu": _with(
         _TURNS,
         f"wl AS (SELECT pair_id, {_words('pred')} AS pred, {_words('ref')} AS ref FROM pairs)",
