@@ -83,6 +83,11 @@ def tone_digits(text: Column) -> Column:
     return F.translate(kept, _EVERY, _EVERY_DIGIT)
 
 
+def tone_names(text: Column) -> Column:
+    """The tone's name for each character, ngang for characters without."""
+    return F.transform(F.filter(F.split(tone_digits(text), ""), lambda c: c != ""), lambda c: tone_name(c.cast("int")))
+
+
 def char_tone(char: Column) -> Column:
     """Tone id of a character; null for characters that can't bear one."""
     return F.when(char.rlike(f"^[{_EVERY}]$"), F.translate(char, _EVERY, _EVERY_DIGIT).cast("int"))

@@ -74,6 +74,11 @@ def is_critical(tok: Column) -> Column:
     return out
 
 
+def decode_piece(tok: Column) -> Column:
+    """A subword piece as text: word-boundary marks become spaces, which are trimmed."""
+    return F.trim(F.translate(tok, "▁Ġ", "  "))
+
+
 def clean_piece(tok: Column) -> Column:
     """A subword piece without its word-boundary marks, lower case."""
     return F.lower(F.trim(F.regexp_replace(F.trim(tok), "^▁?Ġ?(##)?_?", "")))

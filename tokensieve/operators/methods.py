@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import tone, words
 from ..lexicon import CLASS_KEEP, REDUPLICATIVE_KEYS
 from .scores import document, class_scale, min_max, streaming_importance
-from .select import edge, keep_ranked, rank_middle, seeded, target, top_k
+from .select import assemble, edge, keep_ranked, rank_middle, seeded, target, top_k
 from .tokens import by_document, features, with_class, with_contrast, with_tone
 
 SEED = 42
@@ -237,3 +237,18 @@ def compress(name: str, toks: DataFrame, **options) -> DataFrame:
     if name not in REGISTRY:
         raise ValueError(f"unknown method {name!r}; there are {', '.join(REGISTRY)}")
     return REGISTRY[name](toks, **options)
+
+
+#: The methods that need nothing but tokens.
+NO_MODEL = ("tone_only", "morph_only", "combined", "random", "first", "longest")
+
+
+def evaluate(toks: DataFrame, names: tuple[str, ...] = NO_MODEL, ratios: tuple[float, ...] = (4.0,)) -> DataFrame:
+    """The compressed documents of every method and ratio, one below the other, with columns method and ratio."""
+    parts = [
+        assemble(compress(name, toks, ratio=ratio)).withColumns({"method": F.lit(name), "ratio": F.lit(ratio)}) for name in names for ratio in ratios
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

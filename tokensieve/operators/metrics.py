@@ -84,6 +84,16 @@ def kv_cache_size(n: Column, layers: int = 32, heads: int = 32, head_dim: int =
     return n * F.lit(2 * layers * heads * head_dim * width)
 
 
+def effective_ratio(ratio: Column, tir: Column) -> Column:
+    """Compression ratio after the language's token inflation."""
+    return ratio / tir
+
+
+def speedup(prefill: Column, decode: Column, prefill_after: Column, decode_after: Column) -> Column:
+    """Latency before over latency after, each the sum of both phases."""
+    return (prefill + decode) / (prefill_after + decode_after)
+
+
 def cells(rows: DataFrame) -> DataFrame:
     """Means over the samples of each (method, task, ratio)."""
     return rows.groupBy("method", "task", "ratio").agg(

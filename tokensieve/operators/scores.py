@@ -44,6 +44,11 @@ def class_scale(f_class: Column) -> Column:
     return F.when(high > low, F.lit(0.5) + F.lit(0.5) * (f_class - low) / (high - low)).otherwise(f_class)
 
 
+def auto_weights(has_surprisal: bool) -> tuple[float, float, float]:
+    """Weights of surprisal, tone and class: without a surprisal the other two share."""
+    return (0.4, 0.3, 0.3) if has_surprisal else (0.0, 0.5, 0.5)
+
+
 def streaming_importance(sinks: int = 4, recent: int = 32) -> Column:
     """1 for the first tokens, 0.8 for the last, 0.1 between."""
     late = F.col("pos") >= F.col("n") - F.least(F.lit(recent), F.greatest(F.col("n") - sinks, F.lit(0)))

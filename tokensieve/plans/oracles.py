@@ -214,6 +214,7 @@ _EVERY, _EVERY_DIGIT = "".join(CHAR_TONE), "".join(map(str, CHAR_TONE.values()))
 _DIGITS = f"translate(regexp_replace(text, '(?s)[^{_EVERY}]', 'a', 'g'), '{_EVERY}', '{_EVERY_DIGIT}')"
 
 _ORDERS = {"first": "pos", "longest": "length(tok) DESC, pos", "tone_only": "round(tone_score, 9) DESC, pos", "random": f"{_SEED}, pos"}
+_EVALUATED = _ORDERS | {"combined": "round(0.5::DOUBLE * tone_score + 0.5::DOUBLE * f_class, 9) DESC, pos"}
 _GRID = (
     _TOKS
     + ",\n"
@@ -391,6 +392,31 @@ ORACLES: dict[str, str] = {
         "vs AS (SELECT *, CASE WHEN norm > 0 THEN round(dot::DOUBLE / sqrt(norm::DOUBLE), 6) ELSE 0 END AS similarity FROM vn)",
         _top("vs", "similarity", "identity"),
     ),
+    "evaluate_methods": _with(
+        _TOKS,
+        _TONE,
+        _classed("ts"),
+        f"mq AS (SELECT *, {_edge()} AS is_edge, "
+        + ", ".join(f"row_number() OVER (PARTITION BY doc_id, {_edge()} ORDER BY {o}) AS r_{m}" for m, o in _EVALUATED.items())
+        + f", row_number() OVER (PARTITION BY doc_id, {_edge()}, word_class ORDER BY {_SEED}) AS r_class, count(*) OVER (PARTITION BY doc_id, {_edge()}, word_class) AS c FROM cl)",
+        "un AS ("
+        + " UNION ALL ".join(f"SELECT '{m}' AS method, doc_id, tok FROM mq WHERE is_edge OR r_{m} <= {_budget()}" for m in _EVALUATED)
+        + f" UNION ALL SELECT 'morph_only', doc_id, tok FROM mq WHERE is_edge OR r_class <= floor(c * {_case(CLASS_KEEP, 'word_class')}))",
+        select="SELECT method, 4.0::DOUBLE AS ratio, count(DISTINCT doc_id) AS n_docs, count(*) AS n_kept, (sum(length(tok) + 1) - count(DISTINCT doc_id))::BIGINT AS n_chars FROM un GROUP BY method",
+    ),
+    "tone_names": f"SELECT doc_id, md5(array_to_string(list_transform(string_split({_DIGITS}, ''), lambda c: ([{_list(TONES)}])[c::INT + 1]), ',')) AS names_md5 FROM documents WHERE text <> ''",
+    "decoded_pieces": _with(
+        _LEX,
+        "pc AS (SELECT (['▁', 'Ġ', '##', '_', ''])[pos % 5 + 1] || tok AS tok FROM toks)",
+        select=f"SELECT tok AS piece, count(*) AS n_used, trim(translate(tok, '▁Ġ', '  ')) AS decoded, {_CLEAN} AS cleaned FROM pc GROUP BY tok",
+    ),
+    "effective_ratio": _with(
+        _TOKS,
+        _kept("toks", "pos"),
+        "pd AS (SELECT doc_id, max(n)::DOUBLE AS n, round(max(n)::DOUBLE / greatest(count(*), 1), 6) AS r FROM kept GROUP BY doc_id)",
+        "pl AS (SELECT lang, avg(r) AS r, avg(n) AS n FROM pd JOIN documents USING (doc_id) GROUP BY lang)",
+        select="SELECT lang, round(r, 6) AS ratio, round(n / (SELECT n FROM pl WHERE lang = 'en'), 6) AS tir, round(r / (n / (SELECT n FROM pl WHERE lang = 'en')), 6) AS effective FROM pl",
+    ),
     "ratio_grid": _with(_GRID, select="SELECT doc_id, n, toned, method, ratio, kept, toned_kept FROM grid"),
     "length_ratio_rollup": _with(_GRID, select="SELECT method, ratio, sum(kept)::BIGINT AS kept, sum(n)::BIGINT AS n, count(*) AS rows FROM grid GROUP BY ROLLUP (method, ratio)"),
     "bench_cells": _with(

@@ -219,7 +219,7 @@ _method("morph_quota", methods.class_quota, _stream)
 _method("morph_aware", methods.morph_aware, _stream_base)
 _method("combined_base", methods.combined_base, _base)
 _method("enhanced", methods.enhanced, _with_surprisal)
-_method("enhanced_no_scorer", methods.enhanced, lambda s, d: _tokens(s, d).withColumn("surprisal", F.lit(0.5)), weights=(0.0, 0.5, 0.5))
+_method("enhanced_no_scorer", methods.enhanced, lambda s, d: _tokens(s, d).withColumn("surprisal", F.lit(0.5)), weights=scores.auto_weights(False))
 _method("scorer", methods.scorer, _with_surprisal)
 _method("scorer_select", methods.scorer_select, _base)
 _method("llmlingua", methods.llmlingua, _sentences)
@@ -288,6 +288,39 @@ def compress_selective(spark, sf_dir):
     return select.assemble(methods.selective(scored))
 
 
+@query
+def evaluate_methods(spark, sf_dir):
+    """Documents and tokens that each method without a model leaves."""
+    done = methods.evaluate(_tokens(spark, sf_dir))
+    return done.groupBy("method", "ratio").agg(F.count("*").alias("n_docs"), F.sum("compressed_length").alias("n_kept"), F.sum(F.length("compressed_text")).alias("n_chars"))
+
+
+@query
+def tone_names(spark, sf_dir):
+    docs = spread(documents(spark, sf_dir))
+    return docs.select("doc_id", F.md5(F.array_join(tone.tone_names(F.col("text")), ",").cast("binary")).alias("names_md5"))
+
+
+@query
+def decoded_pieces(spark, sf_dir):
+    """Pieces made of the lexicon stream by marking each as a word's start, decoded and cleaned."""
+    mark = F.element_at(F.array(*map(F.lit, ("▁", "Ġ", "##", "_", ""))), (F.col("pos") % 5 + 1).cast("int"))
+    piece = F.concat(mark, F.col("tok")).alias("piece")
+    pieces = T.lexicon_stream(documents(spark, sf_dir)).select(piece).groupBy("piece").agg(F.count("*").alias("n_used"))
+    return pieces.select("piece", "n_used", words.decode_piece(F.col("piece")).alias("decoded"), words.clean_piece(F.col("piece")).alias("cleaned"))
+
+
+@query
+def effective_ratio(spark, sf_dir):
+    """Mean compression ratio by language over its mean characters a token relative to English."""
+    lang = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    rows = compress_tone(spark, sf_dir).join(lang, "doc_id")
+    by = rows.groupBy("lang").agg(F.avg("compression_ratio").alias("ratio"), F.avg("original_length").alias("length"))
+    english = by.where("lang = 'en'").select(F.col("length").alias("base"))
+    tir = F.col("length") / F.col("base")
+    return by.join(F.broadcast(english)).select("lang", F.round("ratio", 6).alias("ratio"), F.round(tir, 6).alias("tir"), F.round(metrics.effective_ratio(F.col("ratio"), tir), 6).alias("effective"))
+
+
 @query
 def ratio_grid(spark, sf_dir):
     """Four methods at three ratios from one feature table; each method ranks once for all ratios."""
