@@ -27,8 +27,9 @@ _EVERY_DIGIT = "".join(map(str, CHAR_TONE.values()))
 
 
 def tone_marks(tok: Column) -> Column:
-    """The digits 1 to 5 of the toned characters of a token, in order."""
-    return F.translate(F.regexp_replace(tok, f"[^{TONED}]", ""), TONED, TONED_DIGITS)
+    """The digits 1 to 5 of the toned characters of a token, in order; ASCII is dropped before it is looked at closely."""
+    digits = F.translate(F.regexp_replace(tok, r"[\x00-\x7F]+", ""), TONED, TONED_DIGITS)
+    return F.when(F.octet_length(tok) == F.length(tok), F.lit("")).otherwise(F.regexp_replace(digits, "[^1-5]+", ""))
 
 
 def mark_count(marks: Column, tone: int) -> Column:

@@ -10,8 +10,8 @@ from ..functions.rowwise import compression
 
 def compress_rows(docs: DataFrame, ratio: float = 4.0, k: int = 2) -> DataFrame:
     """(doc_id, lengths, ratios, compressed_text) of a batch or a stream of documents; texts without words are left out."""
-    out = docs.select("doc_id", compression(F.col("text"), ratio, k).alias("c")).select("doc_id", "c.*")
-    return out.where("original_length > 0")
+    some = docs.where(F.col("text").rlike(r"[^ \t\n\r\f\x0B]"))
+    return some.select("doc_id", compression(F.col("text"), ratio, k).alias("c")).select("doc_id", "c.*")
 
 
 def read_documents(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
