@@ -24,6 +24,8 @@ _PAIR = np.uint64(0xA0761D6478BD642F)
 _SALT = np.uint64(0xE7037ED1A0B428DB)
 _SAME = np.uint64(0x8EBC6AF09C88C6E3)
 _SCALE = 4.0
+#: Texts whose features are made at a time.
+_BATCH = 128
 
 
 @dataclass(frozen=True)
@@ -83,12 +85,16 @@ def features(texts, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (both & np.uint64((1 << bits) - 1)).astype(np.int64), owner, _SCALE * np.sqrt(count / total[owner])
 
 
-def fit(texts: list, labels: np.ndarray, how: Ftrl) -> tuple[np.ndarray, float]:
-    """(weights, bias) after how.epochs passes in the order given."""
+def fit(texts, labels: np.ndarray, how: Ftrl) -> tuple[np.ndarray, float]:
+    """(weights, bias) after how.epochs passes over a list of texts in the order given."""
     size = (1 << how.bits) + 1  # the last is the bias
     z, n = np.zeros(size), np.zeros(size)
-    bucket, doc, value = features(texts, how.bits)
-    cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+    rows: list[tuple[np.ndarray, np.ndarray]] = []
+    for start in range(0, len(texts), _BATCH):
+        part = texts[start : start + _BATCH]
+        bucket, doc, value = features(part, how.bits)
+        cut = np.searchsorted(doc, np.arange(len(part) + 1))
+        rows += [(bucket[a:b].astype(np.int32), value[a:b].astype(np.float32)) for a, b in zip(cut, cut[1:])]
 
     def weights(at):
         zi = z[at]
@@ -96,8 +102,8 @@ def fit(texts: list, labels: np.ndarray, how: Ftrl) -> tuple[np.ndarray, float]:
 
     for _ in range(how.epochs):
         for i, y in enumerate(labels):
-            at = np.append(bucket[cut[i] : cut[i + 1]], size - 1)
-            x = np.append(value[cut[i] : cut[i + 1]], 1.0)
+            at = np.append(rows[i][0], size - 1)
+            x = np.append(rows[i][1], 1.0).astype(float)
             w = weights(at)
             p = 1.0 / (1.0 + np.exp(-np.clip(w @ x, -30, 30)))
             g = (p - y) * x
@@ -108,6 +114,19 @@ def fit(texts: list, labels: np.ndarray, how: Ftrl) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
+class _Picked:
+    """Texts of an Arrow column in an order of their own, made Python strings a slice at a time."""
+
+    def __init__(self, column: pa.ChunkedArray, order: np.ndarray):
+        self.column, self.order = column, order
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def __getitem__(self, part: slice) -> list:
+        return [self.column[int(i)].as_py() for i in self.order[part]]
+
+
 def score(texts, weights: np.ndarray, bias: float, bits: int) -> np.ndarray:
     """Probability of label 1 for each text; a text without words has the bias alone."""
     bucket, doc, value = features(texts, bits)
@@ -135,8 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, how: Ftrl = Ftrl()) -> tuple[np.nd
 
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("place").to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        w, bias = fit(table.column("text").to_pylist(), table.column("y").to_numpy(), how)
+        w, bias = fit(_Picked(table.column("text"), order), table.column("y").to_numpy()[order], how)
         at = np.flatnonzero(w)
         return pa.table({"bucket": pa.array(np.append(at, -1), pa.int64()), "weight": pa.array(np.append(w[at], bias), pa.float64())})
 
@@ -160,7 +178,7 @@ def classify(docs: DataFrame, weights: np.ndarray, bias: float, how: Ftrl = Ftrl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for b in batches:
-            out = [score(b.column("text").slice(at, 256).to_pylist(), w, bias, how.bits) for at in range(0, b.num_rows, 256)]
+            out = [score(b.column("text").slice(at, _BATCH).to_pylist(), w, bias, how.bits) for at in range(0, b.num_rows, _BATCH)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate(out or [np.zeros(0)]))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
