@@ -16,8 +16,9 @@ equal offsets of equal anchors, so all that can repeat meets at an anchor.
 4. The repeated edges, as spans at source coordinates, are joined to the
    texts, which drop the words covered.
 
-All counts combine before they shuffle, and the joins on a hot anchor or
-path leave its rows to adaptive skew splitting.  An edge is known by two
+All counts combine before they shuffle.  Counts are stored before they are
+joined, so that adaptive execution can split the rows of a hot anchor or
+path.  An edge is known by two
 64-bit hashes, its anchor's and its own.
 """
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import mix, sliding_min, span_hash, window_hash, words_of
+from .hashing import sliding_min, span_hash, window_hash, words_of
 from .scratch import free_shuffles, release, small_batches, store
 
 _AT = 28  # bits of a word's place in a batch
@@ -77,7 +78,7 @@ def paths(docs: DataFrame, width: int = 35, anchor: int = 16) -> DataFrame:
 
 
 def _edges_at(texts: DataFrame, width: int) -> DataFrame:
-    """(mh, wh, sig, n, place): the edges of the paths listed with each text, n as often as their path occurs."""
+    """(mh, wh, n, doc_id, at): the edges of the paths listed with each text, n as often as their path occurs; at holds one edge."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -86,7 +87,7 @@ def _edges_at(texts: DataFrame, width: int) -> DataFrame:
             lists = b.column("paths")
             owner = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
             flat = lists.flatten()
-            mh, sig, n, at = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("mh", "sig", "n", "at"))
+            mh, n, at = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("mh", "n", "at"))
             size = (at >> _START) & ((1 << _LEN) - 1)
             begin = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size
             step = np.arange(size.sum()) - np.repeat(begin, size)
@@ -103,26 +104,26 @@ def repeated_spans(docs: DataFrame, width: int = 35, anchor: int = 16) -> DataFr
     """(doc_id, tag, spans): spans lists (first word, edges) of the windows that start anywhere else too."""
     keyed = _keyed(docs)
     every = store(paths(keyed, width, anchor))
-    twice = every.groupBy("mh").agg(F.count("*").alias("times")).where("times > 1").select("mh")
+    twice = store(every.groupBy("mh").agg(F.count("*").alias("times")).where("times > 1").select("mh"))
     shared = store(every.join(twice, "mh"))
-    release(every)
+    release(every, twice)
     free_shuffles(docs.sparkSession)
 
     path = store(shared.groupBy("mh", "sig").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("source")))
-    branching = path.groupBy("mh").agg(F.count("*").alias("paths")).where("paths > 1").select("mh")
+    branching = store(path.groupBy("mh").agg(F.count("*").alias("paths")).where("paths > 1").select("mh"))
     sources = (
         path.join(branching, "mh")
-        .select("mh", "sig", "n", "source.*")
+        .select("mh", "n", "source.*")
         .groupBy("doc_id", F.shiftright("at", _START + _LEN).alias("tag"))
-        .agg(F.collect_list(F.struct("mh", "sig", "n", "at")).alias("paths"))
+        .agg(F.collect_list(F.struct("mh", "n", "at")).alias("paths"))
     )
     edges = store(_edges_at(keyed.join(sources, ["doc_id", "tag"]).select("doc_id", "text", "paths"), width))
     free_shuffles(docs.sparkSession)
-    known = edges.groupBy("mh", "wh").agg(F.sum("n").alias("times")).where("times > 1").select("mh", "wh")
+    known = store(edges.groupBy("mh", "wh").agg(F.sum("n").alias("times")).where("times > 1").select("mh", "wh"))
     single = edges.where("n = 1").join(known, ["mh", "wh"]).select("doc_id", "at")
     whole = shared.join(path.where("n > 1").select("mh", "sig"), ["mh", "sig"]).select("doc_id", "at")
     spans = store(whole.unionByName(single))
-    release(shared, path, edges)
+    release(shared, path, branching, edges, known)
     return spans.groupBy("doc_id", F.shiftright("at", _START + _LEN).alias("tag")).agg(F.collect_list("at").alias("spans"))
 
 
