@@ -21,7 +21,8 @@ from .bytebpe import byte_bpe
 from .scratch import small_batches, store
 
 END_ID = 50256
-BLOCK_IDS = 1 << 18
+#: 64 KB of 16-bit ids, so that an Arrow batch of blocks stays small.
+BLOCK_IDS = 1 << 15
 
 
 def write_blocks(docs: DataFrame, path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
