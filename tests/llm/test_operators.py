@@ -456,6 +456,22 @@ def test_simhash(docs, rows, empty):
     assert kept == {i for i, _, c in want if i is None or i == c}
 
 
+def test_one_row_of_each_group_stays(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    some = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(60))
+    twice, with_null, nulls, other, single = (some() for _ in range(5))
+    made = [(1, twice, "a"), (1, twice, "b"), (1, twice, "b"), (2, twice, "c"), (None, with_null, "d"), (5, with_null, "e"), (None, nulls, "f"), (None, nulls, "g"), (7, other, "h"), (7, single, "i")]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(3)
+    want = [(1, twice, "a"), (5, with_null, "e"), (None, nulls, "f"), (7, other, "h"), (7, single, "i")]
+    left = corpus_pipeline.near_dedup(spark, df, "")
+    assert left.columns == df.columns and bag(left.collect()) == collections.Counter(want)
+    assert bag(corpus_pipeline.substring_dedup(spark, left, "").collect()) == collections.Counter(want)
+    assert bag(simhash.drop_near_duplicates(df).collect()) == collections.Counter(want + [(None, with_null, "d"), (None, nulls, "g")])
+    assert corpus_pipeline.near_dedup(spark, df.where("false"), "").count() == 0
+
+
 def test_simhash_links_all_distances(spark):
     rng = random.Random(11)
     fps = {rng.getrandbits(64) for _ in range(40)}

@@ -158,6 +158,23 @@ def link_edges(distinct: DataFrame, distance: int = 4, blocks: int = 8) -> DataF
     return grid.repartition("cell").sortWithinPartitions("cell", "fp").mapInPandas(search, "u long, v long").distinct()
 
 
+def _grouped(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Two stored tables: fingerprints(docs), and (fp, first) with the first row of fp's component.
+
+    first is (no_id, doc_id, text_hash) of the component's least row, null
+    doc_ids last.
+    """
+    fps = store(fingerprints(docs, shingle))
+    row = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_hash")
+    groups = store(fps.groupBy("fp").agg(F.min(row).alias("first")))
+    joined = connected_components(link_edges(groups, distance, blocks))
+    rooted = groups.join(joined, groups.fp == joined.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    named = store(rooted.select("fp", "root").join(least, "root").select("fp", "first"))
+    release(groups)
+    return fps, named
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int = 8) -> DataFrame:
     """(doc_id, text_hash, fp, component_id) for every row of docs (doc_id, text).
 
@@ -167,17 +184,28 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks
     Rows that repeat a doc_id come back as often.  An empty table gives an
     empty result.
     """
-    fps = store(fingerprints(docs, shingle))
-    groups = store(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
-    joined = connected_components(link_edges(groups, distance, blocks))
-    rooted = groups.join(joined, groups.fp == joined.node, "left").select("fp", "first_doc", F.coalesce("component", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = store(rooted.join(least, "root").select("fp", "component_id"))
-    release(groups)
-    return fps.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    fps, named = _grouped(docs, distance, shingle, blocks)
+    return fps.join(named, "fp").select("doc_id", "text_hash", "fp", F.col("first.doc_id").alias("component_id"))
+
 
+def drop_near_duplicates(docs: DataFrame, null_ids_stay: bool = True, **options) -> DataFrame:
+    """One row of each component: the smallest doc_id, then text hash, then the other columns.
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is its component's smallest; rows with a null doc_id stay."""
-    gone = near_duplicates(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text")).distinct()
-    return docs.join(gone, (docs["doc_id"].cast("long") == gone["_doc"]) & (F.xxhash64(docs["text"]) == gone["_text"]), "left_anti")
+    Rows with a null doc_id all stay besides; without ``null_ids_stay`` they
+    are rows like others, that come after every doc_id.
+    """
+    fps, named = _grouped(docs, **options)
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    keys = fps.join(named, "fp").groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"), first.alias("_first")).agg(F.count("*").alias("_n"))
+    keys = keys.where("_doc is not null") if null_ids_stay else keys
+    gone = store(keys.where("not _first or _n > 1").select("_doc", "_text", "_first"))
+    release(fps, named)
+
+    def same(other: DataFrame):
+        return docs["doc_id"].cast("long").eqNullSafe(other["_doc"]) & (F.xxhash64(docs["text"]) == other["_text"])
+
+    names = docs.columns
+    again = gone.where("_first")
+    copies = docs.join(again, same(again)).select(F.struct("_doc", "_text").alias("_key"), F.struct(*[docs[c] for c in names]).alias("_row"))
+    once = copies.groupBy("_key").agg(F.min("_row").alias("_row")).select("_row.*")
+    return docs.join(gone, same(gone), "left_anti").unionByName(once)
