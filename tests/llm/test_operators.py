@@ -344,6 +344,20 @@ def test_substring_small_windows(spark):
     assert got == dict(enumerate(cut(texts, 6)))
 
 
+def test_substring_many_texts_of_one_doc_id(spark):
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(3000)]
+    some = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    passages = [some(50) for _ in range(20)]
+    texts = [some(rng.randint(1, 90)) for _ in range(700)] + [f"{some(rng.randint(0, 60))} {rng.choice(passages)} {some(rng.randint(0, 60))}" for _ in range(700)]
+    df = spark.createDataFrame([(None if i % 2 else 4, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert df.select("doc_id", F.xxhash64("text").bitwiseAND(0x7FFF)).distinct().count() < len(texts)
+    want = list(zip([None if i % 2 else 4 for i in range(len(texts))], cut(texts)))
+    assert bag(substring.drop_repeats(df).collect()) == collections.Counter((i, *c) for i, c in want)
+    full = [(i, c[2] if c[1] else t) for (i, c), t in zip(want, texts) if not c[1] or c[2]]
+    assert bag(substring.cut_documents(df).select("doc_id", "text").collect()) == collections.Counter(full)
+
+
 # packing
 
 

@@ -35,20 +35,16 @@ from .hashing import sliding_min, span_hash, window_hash, words_of
 from .scratch import free_shuffles, release, small_batches, store
 
 _AT = 28  # bits of a word's place in a batch
-_START, _LEN = 40, 8  # a path's place: tag << 48 | edges << 40 | first word
+_START, _LEN = 40, 8  # a path's place: edges << 40 | first word
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, tag): 15 bits of the text's hash tell rows apart that share a doc_id (null counts as the least long)."""
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"),
-        "text",
-        F.coalesce(F.xxhash64("text").bitwiseAND(0x7FFF), F.lit(0)).alias("tag"),
-    )
+    """(doc_id, text, tag): the text's 64-bit hash tells rows apart that share a doc_id (null counts as the least long)."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text", F.xxhash64("text").alias("tag"))
 
 
 def paths(docs: DataFrame, width: int = 35, anchor: int = 16) -> DataFrame:
-    """(mh, sig, doc_id, at): every path of edges with one anchor position; at packs tag, number of edges and first word."""
+    """(mh, sig, doc_id, tag, at): every path of edges with one anchor position; at packs number of edges and first word."""
     reach = width - anchor + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,15 +66,15 @@ def paths(docs: DataFrame, width: int = 35, anchor: int = 16) -> DataFrame:
             end = np.append(start[1:], len(whole))
             sig = span_hash(edges[whole], start, end)
             doc, here = doc[start], whole[start]
-            packed = (tag[doc] << (_START + _LEN)) | ((end - start) << _START) | (here - first[doc])
-            cols = [mers[at[start]].view(np.int64), sig.view(np.int64), doc_id[doc], packed]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["mh", "sig", "doc_id", "at"])
+            packed = ((end - start) << _START) | (here - first[doc])
+            cols = [mers[at[start]].view(np.int64), sig.view(np.int64), doc_id[doc], tag[doc], packed]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["mh", "sig", "doc_id", "tag", "at"])
 
-    return docs.mapInArrow(run, "mh long, sig long, doc_id long, at long")
+    return docs.mapInArrow(run, "mh long, sig long, doc_id long, tag long, at long")
 
 
 def _edges_at(texts: DataFrame, width: int) -> DataFrame:
-    """(mh, wh, n, doc_id, at): the edges of the paths listed with each text, n as often as their path occurs; at holds one edge."""
+    """(mh, wh, n, doc_id, tag, at): the edges of the paths listed with each text, n as often as their path occurs; at holds one edge."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -92,12 +88,12 @@ def _edges_at(texts: DataFrame, width: int) -> DataFrame:
             begin = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size
             step = np.arange(size.sum()) - np.repeat(begin, size)
             here = np.repeat(first[owner] + (at & ((1 << _START) - 1)), size) + step
-            doc_id = b.column("doc_id").to_numpy(zero_copy_only=False)
+            doc_id, tag = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("tag").to_numpy(zero_copy_only=False)
             place = np.repeat(at & ~((((1 << _LEN) - 1)) << _START), size) + step + (1 << _START)
-            cols = [np.repeat(mh, size), edges[here].view(np.int64), np.repeat(n, size), np.repeat(doc_id[owner], size), place]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["mh", "wh", "n", "doc_id", "at"])
+            cols = [np.repeat(mh, size), edges[here].view(np.int64), np.repeat(n, size), np.repeat(doc_id[owner], size), np.repeat(tag[owner], size), place]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["mh", "wh", "n", "doc_id", "tag", "at"])
 
-    return texts.mapInArrow(run, "mh long, wh long, n long, doc_id long, at long")
+    return texts.mapInArrow(run, "mh long, wh long, n long, doc_id long, tag long, at long")
 
 
 def repeated_spans(docs: DataFrame, width: int = 35, anchor: int = 16) -> DataFrame:
@@ -109,22 +105,22 @@ def repeated_spans(docs: DataFrame, width: int = 35, anchor: int = 16) -> DataFr
     release(every, twice)
     free_shuffles(docs.sparkSession)
 
-    path = store(shared.groupBy("mh", "sig").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("source")))
+    path = store(shared.groupBy("mh", "sig").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "at")).alias("source")))
     branching = store(path.groupBy("mh").agg(F.count("*").alias("paths")).where("paths > 1").select("mh"))
     sources = (
         path.join(branching, "mh")
         .select("mh", "n", "source.*")
-        .groupBy("doc_id", F.shiftright("at", _START + _LEN).alias("tag"))
+        .groupBy("doc_id", "tag")
         .agg(F.collect_list(F.struct("mh", "n", "at")).alias("paths"))
     )
-    edges = store(_edges_at(keyed.join(sources, ["doc_id", "tag"]).select("doc_id", "text", "paths"), width))
+    edges = store(_edges_at(keyed.join(sources, ["doc_id", "tag"]).select("doc_id", "tag", "text", "paths"), width))
     free_shuffles(docs.sparkSession)
     known = store(edges.groupBy("mh", "wh").agg(F.sum("n").alias("times")).where("times > 1").select("mh", "wh"))
-    single = edges.where("n = 1").join(known, ["mh", "wh"]).select("doc_id", "at")
-    whole = shared.join(path.where("n > 1").select("mh", "sig"), ["mh", "sig"]).select("doc_id", "at")
+    single = edges.where("n = 1").join(known, ["mh", "wh"]).select("doc_id", "tag", "at")
+    whole = shared.join(path.where("n > 1").select("mh", "sig"), ["mh", "sig"]).select("doc_id", "tag", "at")
     spans = store(whole.unionByName(single))
     release(shared, path, branching, edges, known)
-    return spans.groupBy("doc_id", F.shiftright("at", _START + _LEN).alias("tag")).agg(F.collect_list("at").alias("spans"))
+    return spans.groupBy("doc_id", "tag").agg(F.collect_list("at").alias("spans"))
 
 
 def _cut(words: list[bytes], at: np.ndarray, width: int) -> list[bytes]:
@@ -194,7 +190,6 @@ def cut_documents(docs: DataFrame, width: int = 35, anchor: int = 16) -> DataFra
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep))
 
     doc = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)))
-    tag = F.coalesce(F.xxhash64(docs["text"]).bitwiseAND(0x7FFF), F.lit(0))
-    marked = docs.join(spans, (doc == F.col("_doc")) & (tag == F.col("_tag")), "left").select(*[docs[c] for c in names], "_spans")
+    marked = docs.join(spans, (doc == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_tag")), "left").select(*[docs[c] for c in names], "_spans")
     out = marked.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
