@@ -30,7 +30,7 @@ def _small_star(edges: DataFrame, held: list[DataFrame]) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node that has an edge to another; component is the least node reachable.
+    """A stored table (node, component) of every node that has an edge to another; component is the least node reachable.
 
     edges: columns u and v of one orderable type.  Self-loops, repeated
     edges and edges with a null end add nothing.  An empty input gives an
@@ -47,6 +47,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         now = new
         if mark == found or not found[0]:
             roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+            out = store(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots))
+            release(now)
+            return out
         mark = found
     raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
