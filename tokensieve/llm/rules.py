@@ -3,8 +3,8 @@
 Each document's base counts come from one projection without a shuffle.
 Rule failures are summed by host (two-phase aggregation, so a hot host is a
 row a task), the failure rate of each rule is shrunk by a beta prior that
-is fitted to the rates of all hosts by their moments, and the hosts that
-fail are joined back to their documents.
+is fitted to all hosts by beta-binomial moments weighted by documents, and
+the hosts that fail are joined back to their documents.
 """
 
 from __future__ import annotations
@@ -98,29 +98,50 @@ def _failures(how: HostRule, c=F.col) -> dict[str, Column]:
     }
 
 
-def beta_prior(mean: float | None, variance: float | None, max_prior: float) -> tuple[float, float]:
-    """(a, b) of the beta distribution with these moments; its weight a + b is kept in [1, max_prior].
+def beta_prior(hosts: int, docs: int, squares: float, failed: float, spread: float, max_prior: float) -> tuple[float, float]:
+    """(a, b) of the beta distribution of host failure rates, fitted by the moments of a beta-binomial.
 
-    Without hosts, or where all rates are 0 or 1, the mean is taken as it is
-    and the weight at its bound.
+    hosts: number of hosts; docs, squares: sums over hosts of n and n * n;
+    failed, spread: sums of x and x * x / n, for x failures of n documents.
+    The mean rate and the spread about it are weighted by documents; what
+    the binomial draw adds to the spread is taken off before the prior's
+    weight a + b is solved for and kept in [1, max_prior].  Where hosts
+    differ no more than such draws do, or have one document each, the
+    weight is max_prior.  Without documents the prior is (0.5, 0.5).
     """
-    if mean is None:
+    if not docs:
         return 0.5, 0.5
-    weight = max_prior if not variance else mean * (1 - mean) / variance - 1
+    p = failed / docs
+    between = docs - squares / docs - (hosts - 1)
+    weight = max_prior
+    if 0 < p < 1 and between > 0:
+        share = ((spread - failed * p) / (p * (1 - p)) - (hosts - 1)) / between  # 1 / (a + b + 1)
+        if share > 0:
+            weight = 1 / share - 1
     weight = min(max(weight, 1.0), max_prior)
-    return mean * weight, (1 - mean) * weight
+    return p * weight, (1 - p) * weight
 
 
 def host_verdicts(counts: DataFrame, how: HostRule = HostRule()) -> DataFrame:
-    """(host, n_docs, rate_<rule>..., host_kept) for every host that isn't null."""
+    """(host, n_docs, rate_<rule>..., host_kept) for every host that isn't null; an empty table gives no rows.
+
+    counts: rows of base_counts; rows that repeat a doc_id count each.
+    """
     rules = list(_failures(how))
     sums = [F.sum(test.cast("long")).alias(rule) for rule, test in _failures(how).items()]
     hosts = counts.where("host is not null").groupBy("host").agg(F.count("*").alias("n_docs"), *sums)
-    moments = hosts.agg(*[f(F.col(r) / F.col("n_docs")).alias(f"{r}_{k}") for r in rules for k, f in (("mean", F.avg), ("var", F.var_samp))]).first()
+    n = F.col("n_docs")
+    moments = hosts.agg(
+        F.count("*").alias("hosts"),
+        F.coalesce(F.sum(n), F.lit(0)).alias("docs"),
+        F.coalesce(F.sum(n.cast("double") * n), F.lit(0.0)).alias("squares"),
+        *[F.coalesce(F.sum(r), F.lit(0)).alias(r) for r in rules],
+        *[F.coalesce(F.sum(F.col(r).cast("double") * F.col(r) / n), F.lit(0.0)).alias(f"{r}_spread") for r in rules],
+    ).first()
     rates = {}
     for r in rules:
-        a, b = beta_prior(moments[f"{r}_mean"], moments[f"{r}_var"], how.max_prior)
-        rates[r] = (F.col(r) + F.lit(a)) / (F.col("n_docs") + F.lit(a + b))
+        a, b = beta_prior(moments.hosts, moments.docs, moments.squares, moments[r], moments[f"{r}_spread"], how.max_prior)
+        rates[r] = (F.col(r) + F.lit(a)) / (n + F.lit(a + b))
     kept = ~F.greatest(*[rates[r] > how.max_rate for r in rules])
     return hosts.select("host", "n_docs", *[rates[r].alias(f"rate_{r}") for r in rules], kept.alias("host_kept"))
 
@@ -144,13 +165,17 @@ def judge(docs: DataFrame, host: str = "source", how: HostRule = HostRule()) ->
 
 
 def keep_documents(docs: DataFrame, host: str = "source", how: HostRule = HostRule()) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns; rows that repeat a doc_id are judged each."""
-    counts = store(base_counts(docs, host).drop("doc_id"))
-    gone = store(host_verdicts(counts, how).where("not host_kept").select(F.col("host").alias("_rejected")))
-
-    def passes(x: Column) -> Column:
-        tests = _failures(how, x.getField)
-        return ~(tests["short"] | tests["repetitive"])
+    """The rows of docs that judge() keeps, with all their columns.
 
-    kept = docs.where(_let(_counted(docs["text"]), passes))
-    return kept.join(gone, kept[host].cast("string") == F.col("_rejected"), "left_anti")
+    Rows that repeat a doc_id are judged each; a null text goes, a null
+    host is never rejected, an empty table gives an empty result.  Texts
+    are looked at once: the first pass stores every row's counts, and the
+    row itself where the base rules keep it.
+    """
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+    seen = docs.select(row, docs[host].cast("string").alias("host"), _counted(docs["text"]).alias("c")).select("_row", "host", "c.*")
+    tests = _failures(how)
+    passed = F.when(~(tests["short"] | tests["repetitive"]), F.col("_row")).alias("_row")
+    judged = store(seen.select(passed, "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"))
+    gone = store(host_verdicts(judged.drop("_row"), how).where("not host_kept").select("host"))
+    return judged.where("_row is not null").select("_row", "host").join(gone, "host", "left_anti").select("_row.*")
