@@ -1,111 +1,165 @@
 """Token counts of documents in flat token files, by scanning for the end-of-document id.
 
-A flat file is token ids and nothing else: each document's ids, then the
-end id.  It is held as blocks (file, block, ids) of equal length that know
-nothing of documents.  Every block is searched at once, as an array; a
-prefix scan over a file's blocks carries the end of the last document into
-the next block, so documents that cross blocks are stitched.
+A flat file is token ids of one width and nothing else: each document's
+ids, then the end id.  A file of any size is cut into blocks, byte ranges
+that are read and searched at once, as arrays, and that know nothing of
+documents.  A prefix scan over a file's blocks carries the number of ends
+and the place of the last one into each block, so documents that cross
+blocks are stitched.  The scan runs within groups of blocks first and then
+over the groups, so a file of any size is spread over tasks.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytebpe import byte_bpe
-from .scratch import small_batches, store
+from .scratch import drop, new_path, small_batches, store
 
 END_ID = 50256
-#: 64 KB of 16-bit ids, so that an Arrow batch of blocks stays small.
+#: 64 KB of 16-bit ids.
 BLOCK_IDS = 1 << 15
+#: Blocks that one task scans at a time, and bytes that it reads.
+_GROUP, _TASK_BYTES = 4096, 64 << 20
+_KINDS = {2: "<u2", 4: "<u4"}
 
 
-def write_blocks(docs: DataFrame, path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Encode docs (doc_id, text) into flat files of unsigned 16-bit ids, one a task, stored as blocks.
+def _filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The store and the path in it that a URI, as Spark writes them, stands for."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file" or "/" in scheme:
+        return pyarrow.fs.LocalFileSystem(), "/" + (rest if scheme == "file" else uri).lstrip("/")
+    return pyarrow.fs.FileSystem.from_uri("s3:" + rest if scheme in ("s3a", "s3n") else uri)
 
-    (file, block, ids, doc_ids): doc_ids, kept beside the file, names the
-    documents that end in the block, in order.  A null text is the end id
-    alone.  path names the tokenizer's file on the workers.
+
+def write_flat(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, width: int = 2) -> DataFrame:
+    """Encode docs (doc_id, text) into flat files in folder, one a task; a stored table (file, ordinal, doc_id) tells whose they are.
+
+    A null text is the end id alone; rows that repeat a doc_id are written
+    each; an empty table writes no ids.  Files are named ``<file>.bin`` by
+    task attempt, so what a lost attempt left is in no row and is never
+    read.  path names the tokenizer's file on the workers.  Raises
+    ValueError where an id doesn't fit in width bytes.
     """
     small_batches(docs.sparkSession)
-    end = np.array([end_id], "<u2").tobytes()
-    schema = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("ids", pa.binary()), ("doc_ids", pa.list_(pa.int64()))])
+    kind, most = _KINDS[width], (1 << 8 * width) - 1
+    if not 0 <= end_id <= most:
+        raise ValueError(f"end id {end_id} doesn't fit in {width} bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = byte_bpe(path, specials=False)
-        file, block, held = TaskContext.get().partitionId(), 0, bytearray()
-        ended: list[tuple[int, int | None]] = []  # (last byte, doc_id)
-
-        def cut(size: int) -> pa.RecordBatch:
-            nonlocal block, held, ended
-            here = [d for at, d in ended if at <= size]
-            out = pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((file, block, bytes(held[:size]), here), schema)], schema=schema)
-            ended = [(at - size, d) for at, d in ended if at > size]
-            held, block = held[size:], block + 1
-            return out
-
-        for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                held += np.frombuffer(coder.encode(text.as_py()), "<u4").astype("<u2").tobytes() + end
-                ended.append((len(held), doc_id))
-                while len(held) >= 2 * block_ids:
-                    yield cut(2 * block_ids)
-        if held:
-            yield cut(len(held))
-
-    return store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "file long, block long, ids binary, doc_ids array<long>"))
-
-
-def read_blocks(spark: SparkSession, path: str, width: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """(file, block, ids) of flat files of width-byte ids, each up to 2 GB, as Spark reads them; file is a path."""
+        end = np.array([end_id], kind).tobytes()
+        file, ordinal = TaskContext.get().taskAttemptId(), 0
+        store_, place = _filesystem(f"{folder}/{file}.bin")
+        store_.create_dir(os.path.dirname(place))
+        with store_.open_output_stream(place) as out:
+            for b in batches:
+                for text in b.column("text"):
+                    ids = np.frombuffer(coder.encode(text.as_py()), "<u4")
+                    if len(ids) and int(ids.max()) > most:
+                        raise ValueError(f"id {int(ids.max())} doesn't fit in {width} bytes")
+                    if (ids == end_id).any():
+                        raise ValueError(f"a text holds the end id {end_id}")
+                    out.write(ids.astype(kind).tobytes() + end)
+                n = b.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, file)), pa.array(np.arange(ordinal, ordinal + n)), b.column("doc_id")], ["file", "ordinal", "doc_id"])
+                ordinal += n
+
+    return store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "file long, ordinal long, doc_id long"))
+
+
+def read_blocks(spark: SparkSession, path: str, width: int = 2, block_ids: int = BLOCK_IDS, files: DataFrame | None = None) -> DataFrame:
+    """(file, block, start, ids) of the flat files of width-byte ids at path: byte ranges, read where they are scanned.
+
+    file is the file's URI.  Spark lists the files without their content; a
+    range is read through Arrow's file systems, so a file may be of any
+    size.  files, if given, keeps only those whose URI its column ``file``
+    has.  Bytes behind the last whole id are left out; an empty file has no
+    blocks.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path).select(F.col("path").alias("file"), F.floor(F.col("length") / width).alias("n"))
+    if files is not None:
+        found = found.join(files.select("file").distinct(), "file", "left_semi")
+    found = store(found.where("n > 0"))
+    total = (found.agg(F.sum("n")).first()[0] or 0) * width
+    parts = max(spark.sparkContext.defaultParallelism, -(-total // _TASK_BYTES))
+    cut = found.select("file", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block_ids).cast("long"))).alias("block"))
+    start = F.col("block") * block_ids
+    ranges = cut.select("file", "block", start.alias("start"), F.least(F.lit(block_ids), F.col("n") - start).alias("size")).repartition(parts, "file", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = width * block_ids
+        opened: dict[str, pa.NativeFile] = {}
         for b in batches:
-            for file, data in zip(b.column("path"), b.column("content")):
-                view = memoryview(data.as_buffer())
-                for k in range(-(-len(view) // size)):
-                    part = bytes(view[k * size : (k + 1) * size])
-                    yield pa.RecordBatch.from_arrays([pa.array([file.as_py()]), pa.array([k], pa.int64()), pa.array([part], pa.binary())], ["file", "block", "ids"])
+            for i in range(b.num_rows):
+                file, start, size = b.column("file")[i].as_py(), b.column("start")[i].as_py(), b.column("size")[i].as_py()
+                if file not in opened:
+                    if len(opened) > 16:
+                        opened.clear()
+                    where, place = _filesystem(file)
+                    opened[file] = where.open_input_file(place)
+                data = opened[file].read_at(size * width, start * width)
+                if len(data) != size * width:
+                    raise OSError(f"{file} ends before {start + size} ids")
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, 1) for c in ("file", "block", "start")), pa.array([data], pa.binary())], ["file", "block", "start", "ids"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, ids binary")
+    return ranges.mapInArrow(run, "file string, block long, start long, ids binary")
 
 
 def count_tokens(blocks: DataFrame, end_id: int = END_ID, width: int = 2) -> DataFrame:
-    """(file, ordinal, start, n_tokens) of every document of flat files (file, block, ids).
+    """(file, ordinal, start, n_tokens) of every document of flat files (file, block, start, ids).
 
     ordinal counts a file's documents from 0, start is the place of the
-    document's first id, n_tokens leaves the end id out.  Ids behind a
-    file's last end id are a document only once their end is there.  Every
-    block but a file's last has the same number of ids; empty files and an
+    document's first id, n_tokens leaves the end id out.  A block's start
+    is the place of its first id in the file.  Ids behind a file's last end
+    id are a document only once their end is there.  Empty files and an
     empty table give no rows.
     """
-    kind = {2: "<u2", 4: "<u4"}[width]
-    extra = [c for c in blocks.columns if c == "doc_ids"]
+    kind = _KINDS[width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, sizes = [], []
-            for data in b.column("ids"):
-                ids = np.frombuffer(data.as_buffer(), kind)
-                found.append(np.flatnonzero(ids == end_id))
-                sizes.append(len(ids))
-            cols = [b.column("file"), b.column("block"), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64())), *(b.column(c) for c in extra)]
-            yield pa.RecordBatch.from_arrays(cols, ["file", "block", "size", "ends", *extra])
+            starts = b.column("start").to_numpy()
+            found = [np.flatnonzero(np.frombuffer(d.as_buffer(), kind) == end_id) + s for d, s in zip(b.column("ids"), starts)]
+            yield pa.RecordBatch.from_arrays([b.column("file"), b.column("block"), pa.array(found, pa.list_(pa.int64()))], ["file", "block", "ends"])
 
     file_kind = dict(blocks.dtypes)["file"]
-    seen = blocks.mapInArrow(run, f"file {file_kind}, block long, size long, ends array<long>" + ", doc_ids array<long>" * len(extra))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    placed = seen.withColumns({"base": F.coalesce(F.sum("size").over(before), F.lit(0)), "first": F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0))})
-    last = F.when(F.size("ends") > 0, F.col("base") + F.element_at("ends", -1))
-    stitched = placed.withColumn("last", last).withColumn("carried", F.coalesce(F.max("last").over(before), F.lit(-1)))
-    previous = F.concat(F.array("carried"), F.transform("ends", lambda e: e + F.col("base")))
-    docs = stitched.select("file", "first", previous.alias("previous"), F.posexplode("ends").alias("i", "end"), "base", *extra)
-    start = F.get("previous", F.col("i")) + 1
-    named = [F.get("doc_ids", F.col("i")).alias("doc_id")] if extra else []
-    return docs.select("file", (F.col("first") + F.col("i")).alias("ordinal"), start.alias("start"), (F.col("base") + F.col("end") - start).alias("n_tokens"), *named)
+    seen = store(blocks.select("file", "block", "start", "ids").mapInArrow(run, f"file {file_kind}, block long, ends array<long>"))
+    totals = seen.where(F.size("ends") > 0).select("file", "block", F.floor(F.col("block") / _GROUP).alias("group"), F.size("ends").cast("long").alias("n"), F.element_at("ends", -1).alias("last"))
+
+    def scan(value: Column, by: list[str], order: str, how) -> Column:
+        return how(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+
+    groups = totals.groupBy("file", "group").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    groups = groups.select("file", "group", scan(F.col("n"), ["file"], "group", F.sum).alias("n0"), scan(F.col("last"), ["file"], "group", F.max).alias("last0"))
+    inner = totals.select("file", "block", "group", scan(F.col("n"), ["file", "group"], "block", F.sum).alias("n1"), scan(F.col("last"), ["file", "group"], "block", F.max).alias("last1"))
+    zero = F.lit(0)
+    carried = inner.join(groups, ["file", "group"]).select("file", "block", (F.coalesce("n0", zero) + F.coalesce("n1", zero)).alias("first"), F.coalesce("last1", "last0", F.lit(-1)).alias("before"))
+    docs = seen.join(store(carried), ["file", "block"]).select("file", "first", "before", "ends", F.posexplode("ends").alias("i", "end"))
+    start = F.when(F.col("i") == 0, F.col("before")).otherwise(F.get("ends", F.col("i") - 1)) + 1
+    return docs.select("file", (F.col("first") + F.col("i")).alias("ordinal"), start.alias("start"), (F.col("end") - start).alias("n_tokens"))
+
+
+def count_documents(docs: DataFrame, path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
+    """(doc_id, n_tokens) of every row of docs (doc_id, text): written as flat files, found again in them.
+
+    A null or empty text has no tokens; rows that repeat a doc_id are
+    counted each; an empty table gives an empty result.
+    """
+    spark = docs.sparkSession
+    folder = new_path(spark)
+    owners = write_flat(docs, path, folder, end_id)
+    if owners.isEmpty():
+        return owners.select("doc_id", F.lit(0).cast("long").alias("n_tokens"))
+    number = F.regexp_extract("file", r"(\d+)\.bin$", 1).cast("long")
+    blocks = read_blocks(spark, folder, block_ids=block_ids).withColumn("file", number)
+    found = count_tokens(blocks, end_id)
+    drop(spark, folder)  # the scan has stored what it found
+    return owners.join(found.select("file", "ordinal", "n_tokens"), ["file", "ordinal"]).select("doc_id", "n_tokens")
