@@ -4,11 +4,13 @@ Every word is a row of symbols with one segment tree over its adjacent
 pairs; a leaf holds ``rank * leaves + position`` of the pair that starts
 there, so the root is the leftmost pair of lowest rank.  Merging it changes
 three leaves, each of which updates the tree along one path to the root.
-All words of one tree size advance together as numpy passes, one merge of
-every unfinished word a pass, until no root holds a mergeable pair.
+Many words of one tree size advance together as numpy passes, one merge of
+every unfinished word a pass, until no root holds a mergeable pair; few of
+a size, as very long words are, are merged one by one, each in time
+n log n of its length.
 
 Words are encoded once for each batch and kept in a bounded cache of the
-worker, for texts repeat their words.
+worker, for texts repeat their words; very long ones aren't kept.
 """
 
 from __future__ import annotations
@@ -41,7 +43,9 @@ def _plain_class(kind: str) -> str:
 _L, _N = _plain_class("L"), _plain_class("N")
 #: The split of a lower-cased plain text into pieces.
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_SPACES}{_L}{_N}]+")
-_CACHE_WORDS = 300_000
+_CACHE_WORDS, _CACHE_LONGEST = 300_000, 256
+#: Below so many words of one tree size a numpy pass costs more than it saves.
+_LOCKSTEP = 48
 
 
 def byte_alphabet() -> list[str]:
@@ -63,6 +67,8 @@ class MergeTable:
         _, first = np.unique(key, return_index=True)
         self.keys, self.ranks = key[first], first.astype(np.int64)
         self.made = np.array([vocab[a + b] for a, b in merges] or [0], np.int32)
+        self.rank_of = dict(zip(self.keys.tolist(), self.ranks.tolist()))
+        self.made_of = self.made.tolist()
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, _NONE where it isn't a merge."""
@@ -82,6 +88,11 @@ def merge_words(symbols: np.ndarray, lengths: np.ndarray, table: MergeTable) ->
     for d in np.unique(depth[lengths > 1]):
         leaves = 1 << int(d)
         rows = np.flatnonzero((depth == d) & (lengths > 1))
+        if len(rows) < _LOCKSTEP:
+            for s, n in zip(begin[rows].tolist(), lengths[rows].tolist()):
+                merged = np.array(merge_word(out[s : s + n].tolist(), table), np.int32)
+                out[s : s + n], alive[s : s + n] = merged, merged >= 0
+            continue
         step = max(1, (1 << 19) // leaves)
         for at in range(0, len(rows), step):
             _merge_block(out, alive, begin, lengths, rows[at : at + step], leaves, table)
@@ -90,6 +101,47 @@ def merge_words(symbols: np.ndarray, lengths: np.ndarray, table: MergeTable) ->
     return out[alive], sizes
 
 
+def merge_word(sym: list[int], table: MergeTable) -> list[int]:
+    """The symbols of one word once merged, each in the place of its first; -1 where one was merged away."""
+    n = len(sym)
+    leaves = 1 << (n - 1).bit_length()
+    base, rank_of, made_of = table.base, table.rank_of, table.made_of
+    none = len(made_of) * leaves
+    tree = [none] * (2 * leaves)
+    for i in range(n - 1):
+        rank = rank_of.get(sym[i] * base + sym[i + 1])
+        if rank is not None:
+            tree[leaves + i] = rank * leaves + i
+    for node in range(leaves - 1, 0, -1):
+        a, b = tree[2 * node], tree[2 * node + 1]
+        tree[node] = a if a < b else b
+    nxt, prv = [*range(1, n), -1], list(range(-1, n - 1))
+
+    def put(leaf: int, left: int, right: int) -> None:
+        """Point update: the pair at a leaf, then the path up to where nothing changes."""
+        rank = rank_of.get(left * base + right) if right >= 0 else None
+        node, value = leaf + leaves, none if rank is None else rank * leaves + leaf
+        while node and tree[node] != value:
+            tree[node] = value
+            other = tree[node ^ 1]
+            if other < value:
+                value = other
+            node >>= 1
+
+    while n > 1 and tree[1] < none:
+        rank, i = divmod(tree[1], leaves)
+        j = nxt[i]
+        k = nxt[i] = nxt[j]
+        sym[i], sym[j] = made_of[rank], -1
+        if k >= 0:
+            prv[k] = i
+        put(j, -1, -1)
+        put(i, sym[i], sym[k] if k >= 0 else -1)
+        if (p := prv[i]) >= 0:
+            put(p, sym[p], sym[i])
+    return sym
+
+
 def _merge_block(out, alive, begin, lengths, rows, leaves, table) -> None:
     """Merge the words in rows, whose pairs fit in ``leaves`` leaves; marks the symbols merged away."""
     n = len(rows)
@@ -228,7 +280,11 @@ def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
         fresh = list(set().union(*split))
     for at in range(0, len(fresh), 200_000):
         known.update(zip(fresh[at : at + 200_000], bpe.encode_pieces(fresh[at : at + 200_000])))
-    return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+    out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+    for piece in fresh:
+        if isinstance(piece, str) and len(piece) > _CACHE_LONGEST:
+            del known[piece]
+    return out
 
 
 def decode_texts(ids: list[bytes], path: str) -> list[str]:
@@ -242,7 +298,9 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     ids: the text's token ids as little-endian unsigned 32-bit integers in
     a binary; decoded: what decoding the ids gives.  A null text counts as
-    empty and has no ids.  path names the tokenizer's file on the workers.
+    empty and has no ids.  Rows that repeat a doc_id come back each, an
+    empty table gives an empty result.  path names the tokenizer's file on
+    the workers.
     """
     small_batches(docs.sparkSession)
 
