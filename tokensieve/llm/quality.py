@@ -2,9 +2,10 @@
 
 A document's features are hashes of its words and word pairs and of their
 shapes in ``2**bits`` buckets, each valued by the root of its share.
-Training sees a bounded sample of the labelled rows, in one task, and
-returns the weights that aren't zero; scoring is a sparse dot product in a
-single pass over the documents, without a shuffle.
+Features are hashed where the texts are; training sees those of a bounded
+sample of the labelled rows, in one task, and returns the weights that
+aren't zero.  Scoring is a sparse dot product in a single pass over the
+documents, without a shuffle.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ _BATCH = 128
 class Ftrl:
     """Parameters: buckets (bits), learning rate (alpha, beta), penalties (l1, l2), passes.
 
-    max_rows bounds the labelled rows that training sees: those of the
-    smallest hashes of doc_id.
+    max_rows and max_features bound the sample that training sees: the
+    labelled rows of the smallest hashes of doc_id, as many as have no more
+    features than max_features together (8 bytes each), one at least.
     """
 
     bits: int = 18
@@ -43,6 +45,7 @@ class Ftrl:
     l2: float = 0.5
     epochs: int = 4
     max_rows: int = 12_000
+    max_features: int = 50_000_000
 
 
 def _shape_table() -> np.ndarray:
@@ -85,25 +88,19 @@ def features(texts, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (both & np.uint64((1 << bits) - 1)).astype(np.int64), owner, _SCALE * np.sqrt(count / total[owner])
 
 
-def fit(texts, labels: np.ndarray, how: Ftrl) -> tuple[np.ndarray, float]:
-    """(weights, bias) after how.epochs passes over a list of texts in the order given."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels, how: Ftrl) -> tuple[np.ndarray, float]:
+    """(weights, bias) after how.epochs passes over (buckets, values) of each document in the order given."""
     size = (1 << how.bits) + 1  # the last is the bias
     z, n = np.zeros(size), np.zeros(size)
-    rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for start in range(0, len(texts), _BATCH):
-        part = texts[start : start + _BATCH]
-        bucket, doc, value = features(part, how.bits)
-        cut = np.searchsorted(doc, np.arange(len(part) + 1))
-        rows += [(bucket[a:b].astype(np.int32), value[a:b].astype(np.float32)) for a, b in zip(cut, cut[1:])]
 
     def weights(at):
         zi = z[at]
         return np.where(np.abs(zi) <= how.l1, 0.0, (np.sign(zi) * how.l1 - zi) / ((how.beta + np.sqrt(n[at])) / how.alpha + how.l2))
 
     for _ in range(how.epochs):
-        for i, y in enumerate(labels):
-            at = np.append(rows[i][0], size - 1)
-            x = np.append(rows[i][1], 1.0).astype(float)
+        for (bucket, value), y in zip(rows, labels):
+            at = np.append(bucket, size - 1)
+            x = np.append(value, 1.0).astype(float)
             w = weights(at)
             p = 1.0 / (1.0 + np.exp(-np.clip(w @ x, -30, 30)))
             g = (p - y) * x
@@ -114,19 +111,6 @@ def fit(texts, labels: np.ndarray, how: Ftrl) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
-class _Picked:
-    """Texts of an Arrow column in an order of their own, made Python strings a slice at a time."""
-
-    def __init__(self, column: pa.ChunkedArray, order: np.ndarray):
-        self.column, self.order = column, order
-
-    def __len__(self) -> int:
-        return len(self.order)
-
-    def __getitem__(self, part: slice) -> list:
-        return [self.column[int(i)].as_py() for i in self.order[part]]
-
-
 def score(texts, weights: np.ndarray, bias: float, bits: int) -> np.ndarray:
     """Probability of label 1 for each text; a text without words has the bias alone."""
     bucket, doc, value = features(texts, bits)
@@ -139,27 +123,53 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _hashed(rows: DataFrame, bits: int) -> DataFrame:
+    """(doc_id, text_hash, y, buckets, amounts) of rows (doc_id, text_hash, text, y): features as packed 32-bit integers and floats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, _BATCH):
+                part = b.slice(at, _BATCH)
+                bucket, doc, value = features(part.column("text").to_pylist(), bits)
+                cut = np.searchsorted(doc, np.arange(part.num_rows + 1)).tolist()
+                packed = [[x[i:j].astype(kind).tobytes() for i, j in zip(cut, cut[1:])] for x, kind in ((bucket, "<i4"), (value, "<f4"))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "text_hash", "y")), *(pa.array(x, pa.binary()) for x in packed)], ["doc_id", "text_hash", "y", "buckets", "amounts"])
+
+    return rows.select("doc_id", "text_hash", "y", "text").mapInArrow(run, "doc_id long, text_hash long, y int, buckets binary, amounts binary")
+
+
 def train(docs: DataFrame, labels: DataFrame, how: Ftrl = Ftrl()) -> tuple[np.ndarray, float]:
     """Weights and bias from labelled documents (doc_id, text) with labels (doc_id, quality 0 or 1) that aren't held out.
 
     Rows without a label, doc_id or label in {0, 1} are left out; of
-    several labels of one doc_id the smallest counts.  Without any usable
-    row all weights are zero and every score is one half.
+    several labels of one doc_id the smallest counts, of several texts that
+    of the least hash.  Without any usable row, an empty table included,
+    all weights are zero and every score is one half.
     """
     small_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     one = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("y"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.max_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").join(F.broadcast(chosen), "doc_id")
+    made = _hashed(rows, how.bits).groupBy("doc_id").agg(F.min_by(F.struct("y", "buckets", "amounts"), "text_hash").alias("row"))  # max_rows rows at most
 
-    def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("place").to_numpy(), kind="stable")
-        w, bias = fit(_Picked(table.column("text"), order), table.column("y").to_numpy()[order], how)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[tuple[np.ndarray, np.ndarray]] = []
+        ys: list[int] = []
+        total = 0
+        for b in batches:
+            for y, bucket, value in zip(*(b.column(c) for c in ("y", "buckets", "amounts"))):
+                total += len(bucket.as_buffer()) // 4
+                if total > how.max_features and seen:
+                    continue
+                seen.append((np.frombuffer(bucket.as_py(), "<i4"), np.frombuffer(value.as_py(), "<f4")))
+                ys.append(y.as_py())
+        w, bias = fit(seen, ys, how)
         at = np.flatnonzero(w)
-        return pa.table({"bucket": pa.array(np.append(at, -1), pa.int64()), "weight": pa.array(np.append(w[at], bias), pa.float64())})
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(w[at], bias), pa.float64())], ["bucket", "weight"])
 
-    placed = rows.select("text", "y", F.xxhash64("doc_id").alias("place"), F.lit(1).alias("model"))
-    got = placed.groupBy("model").applyInArrow(run, "bucket long, weight double").collect()  # 2**bits rows at most
+    placed = made.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("row.*")
+    got = placed.mapInArrow(run, "bucket long, weight double").collect()  # 2**bits rows at most
     weights, bias = np.zeros(1 << how.bits), 0.0
     for r in got:
         if r.bucket < 0:
@@ -170,7 +180,11 @@ def train(docs: DataFrame, labels: DataFrame, how: Ftrl = Ftrl()) -> tuple[np.nd
 
 
 def classify(docs: DataFrame, weights: np.ndarray, bias: float, how: Ftrl = Ftrl()) -> DataFrame:
-    """(doc_id, score) for every row of docs (doc_id, text); null texts count as empty."""
+    """(doc_id, score) for every row of docs (doc_id, text).
+
+    Null texts count as empty, rows that repeat a doc_id are scored each,
+    an empty table gives an empty result.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(weights)  # 2**bits doubles
