@@ -13,10 +13,12 @@ _RULES = {
 
 
 def _shrunk(rule: str) -> str:
-    """The shrunk rate of a rule, from its moments m and v over hosts."""
-    m, v = f"{rule}_m", f"{rule}_v"
-    weight = f"least(greatest(CASE WHEN coalesce({v}, 0) = 0 THEN 100.0::DOUBLE ELSE {m} * (1 - {m}) / {v} - 1 END, 1.0::DOUBLE), 100.0::DOUBLE)"
-    return f"({rule} + {m} * {weight}) / (n + {weight})"
+    """The shrunk rate of a rule, from sums over hosts (hosts, docs, squares, <rule>_x and <rule>_y)."""
+    p, between = f"({rule}_x::DOUBLE / docs)", "(docs - squares / docs - (hosts - 1))"
+    share = f"((({rule}_y - {rule}_x * {p}) / ({p} * (1 - {p})) - (hosts - 1)) / {between})"
+    solved = f"CASE WHEN {rule}_x > 0 AND {rule}_x < docs AND {between} > 0 THEN CASE WHEN {share} > 0 THEN 1 / {share} - 1 END END"
+    weight = f"least(greatest(coalesce({solved}, 100.0::DOUBLE), 1.0::DOUBLE), 100.0::DOUBLE)"
+    return f"({rule} + {p} * {weight}) / (n + {weight})"
 
 
 OP1 = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, {_TEXT} AS t FROM documents),
@@ -27,17 +29,17 @@ p AS (SELECT r, count(DISTINCT i + j) AS n_repeat_words FROM h, range(3) s(j) GR
 c AS (SELECT r, doc_id, source, len(l)::BIGINT AS n_words, length(array_to_string(l, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN p USING (r)),
 s AS (SELECT source, count(*) AS n, {", ".join(f"count_if({t}) AS {k}" for k, t in _RULES.items())} FROM c WHERE source IS NOT NULL GROUP BY source),
-m AS (SELECT {", ".join(f"avg({k}::DOUBLE / n) AS {k}_m, var_samp({k}::DOUBLE / n) AS {k}_v" for k in _RULES)} FROM s),
+m AS (SELECT count(*) AS hosts, sum(n) AS docs, sum(n::DOUBLE * n) AS squares, {", ".join(f"sum({k}) AS {k}_x, sum({k}::DOUBLE * {k} / n) AS {k}_y" for k in _RULES)} FROM s),
 b AS (SELECT source FROM s, m WHERE greatest({", ".join(_shrunk(k) for k in _RULES)}) > 0.7::DOUBLE)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({_RULES["short"]} OR {_RULES["repetitive"]}) AS base_failed,
   NOT ({_RULES["short"]} OR {_RULES["repetitive"]}) AND b.source IS NULL AS kept FROM c LEFT JOIN b ON c.source = b.source"""
 
 OP3 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-u AS (SELECT vec_id, min(e) AS e FROM v GROUP BY vec_id),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])), lambda a, b: a + b)) AS score
-  FROM u q JOIN u c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id))::INT AS rank, vec_id, score FROM p QUALIFY rank <= 10"""
+u AS (SELECT row_number() OVER () AS r, vec_id, e FROM v),
+p AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])), lambda a, b: a + b)) AS score
+  FROM u q JOIN u c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY r ORDER BY score, vec_id))::INT AS rank, vec_id, score FROM p QUALIFY rank <= 10"""
 
 _URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 _HOST = r"translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -53,21 +55,45 @@ def _fits(host: str, path: str, out: int) -> str:
     return "CASE " + " ".join(whens) + " END"
 
 
+_QUERY = r"regexp_extract({0}, '(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)', 1)"
+
+
+def _plain_path(path: str) -> str:
+    """The path without . and .. segments: each segment as a list, appended to the list so far or taking its last."""
+    fold = f"list_reduce(list_transform(string_split({path}, '/'), lambda s: [s]), lambda a, x: CASE WHEN x[1] = '..' THEN a[1 : greatest(len(a) - 1, 1)] WHEN x[1] = '.' THEN a ELSE list_concat(a, x) END)"
+    open_end = f"CASE WHEN regexp_matches({path}, '/[.][.]?$') THEN '/' ELSE '' END"
+    return f"CASE WHEN contains({path}, '/.') THEN CASE WHEN len({fold}) = 1 THEN '/' ELSE concat(array_to_string({fold}, '/'), {open_end}) END ELSE {path} END"
+
+
 def _node(url: str) -> str:
-    rest = rf"regexp_extract({url}, '(?s)^.*?://[^/?#]*([^#]*)', 1)"
-    host = _HOST.format(url)
-    return f"CASE WHEN {host} <> '' THEN concat({host}, CASE WHEN {rest} = '' THEN '/' ELSE {rest} END) END"
+    host, path = _HOST.format(url), _PATH.format(url)
+    return f"CASE WHEN {host} <> '' THEN concat({host}, CASE WHEN {path} = '' THEN '/' ELSE {_plain_path(path)} END, {_QUERY.format(url)}) END"
 
 
 _CANONICAL = r"""(?is)\brel\s*=\s*["'']?\s*canonical\b"""
 _REFRESH = r"""(?is)\bhttp-equiv\s*=\s*["'']?\s*refresh\b"""
+_HREF = r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))"""
 _SCHEME = "regexp_extract(url, '(?s)^(.*?)://', 1)"
+
+
+def _unescaped(text: str) -> str:
+    for name, char in (("&quot;|&#34;|&#x22;", '"'), ("&apos;|&#39;|&#x27;", "''"), ("&lt;|&#60;|&#x3c;", "<"), ("&gt;|&#62;|&#x3e;", ">"), ("&amp;|&#38;|&#x26;", "&")):
+        text = f"regexp_replace({text}, '(?i){name}', '{char}', 'g')"
+    return text
+
+
 OP6 = rf"""WITH RECURSIVE pg AS (SELECT page_id, url, html, {_HOST.format("coalesce(url, '')")} AS host, {_PATH.format("coalesce(url, '')")} AS path, {_node("url")} AS node FROM pages),
 tg AS (SELECT url, unnest(regexp_extract_all(html, '(?is)(<link\b[^>]*>|<meta\b[^>]*>)', 1)) AS tag FROM pg WHERE contains(url, '://')),
-tr AS (SELECT url, trim(CASE WHEN regexp_matches(tag, '{_CANONICAL}') THEN concat(regexp_extract(tag, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 1), regexp_extract(tag, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 2), regexp_extract(tag, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 3))
-  WHEN regexp_matches(tag, '{_REFRESH}') THEN regexp_extract(tag, '(?is)\burl\s*=\s*[''"]?([^''">\s;]+)', 1) END) AS t FROM tg),
-tu AS (SELECT url, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN {_SCHEME} || ':' || t WHEN starts_with(t, '/') THEN {_SCHEME} || '://' || {_HOST.format("url")} || t
-  WHEN t <> '' THEN {_SCHEME} || '://' || {_HOST.format("url")} || regexp_extract({_PATH.format("url")}, '(?s)^(.*/)?', 0) || t END AS target FROM tr),
+tr AS (SELECT url, CASE WHEN regexp_matches(tag, '{_CANONICAL}') THEN concat(regexp_extract(tag, '{_HREF}', 1), regexp_extract(tag, '{_HREF}', 2), regexp_extract(tag, '{_HREF}', 3))
+  WHEN regexp_matches(tag, '{_REFRESH}') THEN regexp_extract(tag, '(?is)\burl\s*=\s*[''"]?([^''">\s;]+)', 1) END AS t FROM tg),
+te AS (SELECT url, trim({_unescaped("t")}) AS t FROM tr),
+tp AS (SELECT url, t, regexp_extract(t, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) AS s, {_SCHEME} AS us, {_HOST.format("url")} AS uh, {_PATH.format("url")} AS up FROM te WHERE t <> ''),
+tq AS (SELECT *, CASE WHEN s = '' THEN t ELSE substr(t, len(s) + 2) END AS r, CASE WHEN up = '' THEN '/' ELSE up END AS bp FROM tp),
+tz AS (SELECT *, regexp_extract(r, '(?s)^(?://[^/?#]*)?([^?#]*)', 1) AS p, regexp_extract(r, '(?s)^[^?#]*(\?[^#]*)', 1) AS q FROM tq),
+tm AS (SELECT *, concat(regexp_extract(bp, '(?s)^(.*/)', 1), p) AS mp FROM tz),
+tu AS (SELECT url, CASE WHEN s <> '' THEN CASE WHEN starts_with(r, '//') THEN t END WHEN starts_with(r, '//') THEN us || ':' || r
+  WHEN p = '' THEN concat(us, '://', uh, bp, CASE WHEN q = '' THEN {_QUERY.format("url")} ELSE q END)
+  WHEN starts_with(p, '/') THEN concat(us, '://', uh, {_plain_path("p")}, q) ELSE concat(us, '://', uh, {_plain_path("mp")}, q) END AS target FROM tm),
 e0 AS (SELECT {_node("url")} AS u, {_node("target")} AS v FROM tu),
 ed AS (SELECT u, v FROM e0 WHERE u IS NOT NULL AND v IS NOT NULL UNION SELECT v, u FROM e0 WHERE u IS NOT NULL AND v IS NOT NULL),
 re AS (SELECT u AS a, u AS b FROM ed UNION SELECT re.a, ed.v FROM re JOIN ed ON re.b = ed.u),
