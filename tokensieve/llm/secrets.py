@@ -1,11 +1,13 @@
 """Secret scans: known patterns and sliding-window Shannon entropy.
 
-Base kinds are found by pattern.  Beyond them, every run of key-like
-characters that no base span touches is a candidate; its class (hex,
+Base kinds are found by pattern.  Beyond them, runs of key-like characters
+that no base span touches are looked at.  The parts of a run, between
+slashes and equals signs, that hold an allowed word are taken out; each
+stretch that is left is a candidate, and its class (hex, letters,
 alphanumeric, base64) fixes a window's threshold.  The entropy of each
 window of ``window`` characters follows from the last one's by changing two
 counts.  A candidate whose largest window entropy reaches its class's
-threshold is a span of kind ``entropy``, unless an allow rule holds.
+threshold is a span of kind ``entropy``, unless an allow pattern fits it.
 """
 
 from __future__ import annotations
@@ -36,21 +38,26 @@ _LONG = 20
 
 @dataclass(frozen=True)
 class EntropyRule:
-    """Thresholds in bits a character by class; allow: patterns whose full match, or the places of whose words, acquit."""
+    """Thresholds in bits a character by class.
+
+    allow: patterns that acquit a candidate they fit as a whole;
+    allow_words: those that acquit the part of a run, between slashes and
+    equals signs, that holds one, in either case.
+    """
 
     window: int = 20
     hex: float = 3.0
+    letters: float = 4.0
     alnum: float = 3.7
     base64: float = 3.9
     allow: tuple[str, ...] = field(
         default=(
-            r"[A-Za-z]+",  # words without a digit
             r"[0-9_=/+-]+",  # numbers and rules
             r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
-            r"(?i).*(example|sample|dummy|placeholder|xxxx|0000|1234567).*",
             r"([A-Za-z]{2,}[0-9]{0,4}[-_/=+])+[A-Za-z]*[0-9]{0,4}",  # words with joints
         )
     )
+    allow_words: tuple[str, ...] = ("example", "sample", "dummy", "placeholder", "xxxx", "0000", "1234567")
 
 
 def window_entropy(text: str, window: int) -> float:
@@ -78,6 +85,8 @@ def _class(text: str) -> str | None:
         return "hex"
     if re.search("[0-9]", text) and re.search("[A-Za-z]", text):
         return "alnum" if text.isalnum() else "base64"
+    if text.isalpha() and not text.islower() and not text.isupper():
+        return "letters"
     return None
 
 
@@ -102,18 +111,39 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _stretches(run: str, words: tuple[str, ...]) -> Iterator[tuple[int, str]]:
+    """(start, text) of what is left of a run without the parts that hold one of the words, if long enough."""
+    low = run.lower()
+    if not any(w in low for w in words):
+        yield 0, run
+        return
+    start = at = 0
+    for part in re.split("([/=])", low):
+        if any(w in part for w in words):
+            if at - 1 - start >= _LONG:
+                yield start, run[start : at - 1]
+            start = at + len(part) + 1
+        at += len(part)
+    if at - start >= _LONG:
+        yield start, run[start:at]
+
+
 def entropy_spans(text: str, taken: list[tuple[int, int, int]], rule: EntropyRule) -> list[tuple[int, int, int]]:
-    """Spans of kind entropy that touch no span taken."""
+    """Spans of kind entropy that touch no span taken (sorted by start)."""
     out = []
+    ahead, reach = 0, -1  # spans that start before the run's end, and the furthest end of those
     for m in _CANDIDATE.finditer(text):
-        run = m.group()
-        kind = _class(run)
-        if not kind or any(s < m.end() and m.start() < e for s, _, e in taken):
-            continue
-        if any(re.fullmatch(p, run) for p in rule.allow):
+        while ahead < len(taken) and taken[ahead][0] < m.end():
+            reach = max(reach, taken[ahead][2])
+            ahead += 1
+        if m.start() < reach:
             continue
-        if window_entropy(run, rule.window) >= getattr(rule, kind):
-            out.append((m.start(), 3, m.end()))
+        for at, part in _stretches(m.group(), rule.allow_words):
+            kind = _class(part)
+            if not kind or any(re.fullmatch(p, part) for p in rule.allow):
+                continue
+            if window_entropy(part, rule.window) >= getattr(rule, kind):
+                out.append((m.start() + at, 3, m.start() + at + len(part)))
     return out
 
 
@@ -147,7 +177,8 @@ def scan(docs: DataFrame, rule: EntropyRule = EntropyRule()) -> DataFrame:
 
     base and spans list ``kind:start:end`` by start, then kind; spans has
     the entropy kind too.  masked is the text with its spans replaced; null
-    stays null.  A null text counts as empty and has no spans.
+    stays null.  A null text counts as empty and has no spans.  Rows that
+    repeat a doc_id come back each, an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
 
@@ -169,7 +200,7 @@ def scan(docs: DataFrame, rule: EntropyRule = EntropyRule()) -> DataFrame:
 
 
 def mask_documents(docs: DataFrame, rule: EntropyRule = EntropyRule()) -> DataFrame:
-    """docs with the spans of each text replaced; other columns and rows stay, a null text too."""
+    """docs with the spans of each text replaced; other columns and rows stay, repeated ones and null texts too."""
     small_batches(docs.sparkSession)
     place = docs.columns.index("text")
 
