@@ -6,11 +6,18 @@ embeddings never exceeds the Hamming distance of the fingerprints.  Written
 in unary (0, 1, 2 set bits as 00, 01, 11) that distance is one XOR and one
 popcount.
 
-The grid: the segments form ``blocks`` blocks.  Embeddings within Manhattan
-distance d differ in at most d blocks, so they agree on some
-``blocks - d`` of them.  Each choice of that many blocks is a grid; two
-fingerprints within reach share a cell of at least one grid.  With 8 blocks
-and distance 4 that is 70 grids of about 22.6 bits.
+The grid range-join: the segments form blocks.  Embeddings within Manhattan
+distance d differ in at most d blocks, so they agree on all but d of them.
+Each choice of the blocks agreed on is a grid; two fingerprints within
+reach share a cell of at least one grid, and none outside a shared cell is
+looked at.  With 8 blocks and distance 4 that is 70 grids of about 22.6
+bits; more fingerprints get more blocks, so that cells of unrelated ones
+stay small.
+
+Cells are counted first.  The rows of a cell beyond a size are dealt anew
+over finer grids: what the cell doesn't fix of the segments forms blocks
+again, of which again all but d agree.  So a dense cell is split over tasks
+without a pair lost, down to cells that fix all but d segments.
 
 Only distinct fingerprints enter the grids, so any number of exact copies
 is one row.  A cell is searched breadth first and gives the edges of a
@@ -24,7 +31,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,6 +41,9 @@ from .hashing import mix
 from .scratch import release, small_batches, store
 
 _CHUNK = 1 << 16
+#: Cells of up to so many rows are searched only if a pair in them is within reach.
+_SMALL = 64
+_CELL = "cell long, mask long, fp long"
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -66,10 +75,22 @@ def unary(fp: np.ndarray) -> np.ndarray:
     return ((fp | high) & odd) | (((fp & high) & odd) << np.uint64(1))
 
 
-def _masks(blocks: int, distance: int) -> list[int]:
-    edges = [round(i * 32 / blocks) * 2 for i in range(blocks + 1)]
-    block = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
-    return [sum(block[i] for i in c) for c in combinations(range(blocks), blocks - distance)]
+def _masks(mask: int, distance: int, blocks: int) -> list[int]:
+    """The mask with all choices of blocks but ``distance`` of the segments that it leaves free; none if too few are free."""
+    free = [3 << b for b in range(0, 64, 2) if not mask >> b & 3]
+    if len(free) <= distance:
+        return []
+    parts = np.array_split(np.array(free, object), min(blocks, len(free)))
+    return [mask | sum(int(x) for i in c for x in parts[i]) for c in combinations(range(len(parts)), len(parts) - distance)]
+
+
+def blocks_for(rows: int, distance: int, mates: int = 32) -> int:
+    """The fewest blocks, twice the distance at least, whose cells hold at most ``mates`` unrelated fingerprints of so many."""
+    for blocks in range(max(2 * distance, distance + 1), 32):
+        agreed = min(m.bit_count() for m in _masks(0, distance, blocks)) // 2
+        if rows * (3 / 8) ** agreed <= mates:  # chance that two random bits and two others have one popcount
+            return blocks
+    return 32
 
 
 def spanning_edges(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,45 +129,75 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
-def link_edges(distinct: DataFrame, distance: int = 4, blocks: int = 8) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints (column fp) that span the same components as all links."""
-    masks = np.array(_masks(blocks, distance), np.uint64)
-    salt = mix(np.arange(1, len(masks) + 1, dtype=np.uint64))
+def _cells(masks: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, mask, fp) of the fingerprints in the grids of the masks."""
+    t, salt = unary(fp), mix(masks)
+    for at in range(0, len(fp), 4096):
+        cell = mix((t[at : at + 4096, None] & masks) ^ salt)
+        n = len(cell)
+        cols = [cell.ravel(), np.tile(masks, n), np.repeat(fp[at : at + 4096], len(masks))]
+        yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in cols], ["cell", "mask", "fp"])
+
+
+def _grid(distinct: DataFrame, masks: list[int]) -> DataFrame:
+    top = np.array(masks, np.uint64)
 
-    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = b["fp"].to_numpy(np.int64)
-            t = unary(fp.view(np.uint64))
-            for at in range(0, len(fp), 4096):
-                cell = mix((t[at : at + 4096, None] & masks) ^ salt)
-                yield pd.DataFrame({"cell": cell.ravel().view(np.int64), "fp": np.repeat(fp[at : at + 4096], len(masks))})
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def found(cell: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
-            cut = np.flatnonzero(np.diff(cell)) + 1
-            first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(cell)]])
-            u, v = [], []
-            two = first[last - first == 2]
-            if len(two):
-                a, b = fp[two], fp[two + 1]
-                ok = np.bitwise_count(unary(a) ^ unary(b)) <= distance
-                ok[ok] = np.bitwise_count(a[ok] ^ b[ok]) <= distance
-                u.append(a[ok])
-                v.append(b[ok])
-            more = last - first > 2
-            for s, e in zip(first[more].tolist(), last[more].tolist()):
-                a, b = spanning_edges(fp[s:e], distance)
-                u.append(a)
-                v.append(b)
-            none = [np.zeros(0, np.uint64)]
-            return pd.DataFrame({"u": np.concatenate(u or none).view(np.int64), "v": np.concatenate(v or none).view(np.int64)}).drop_duplicates()
+            yield from _cells(top, b.column("fp").to_numpy().view(np.uint64))
+
+    return distinct.select("fp").mapInArrow(run, _CELL)
+
+
+def _refined(rows: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """The rows (mask, fp) of dense cells in the finer grids of their masks; rows whose mask can't be refined keep their cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            mask, fp = (b.column(c).to_numpy().view(np.uint64) for c in ("mask", "fp"))
+            for m in np.unique(mask).tolist():
+                yield from _cells(np.array(_masks(m, distance, blocks) or [m], np.uint64), fp[mask == m])
+
+    return rows.select("mask", "fp").mapInArrow(run, _CELL)
+
+
+def _search_cells(cell: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span the links within each cell; rows are sorted by cell and fp."""
+    new = np.ones(len(cell), bool)
+    new[1:] = (cell[1:] != cell[:-1]) | (fp[1:] != fp[:-1])
+    cell, fp = cell[new], fp[new]
+    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    size = np.diff(np.append(first, len(cell)))
+    few = np.repeat((size > 1) & (size <= _SMALL), size)
+    owner, f, t = np.repeat(np.arange(len(size)), size)[few], fp[few], unary(fp[few])
+    linked = np.zeros(len(size), bool)
+    for off in range(1, _SMALL):
+        at = np.flatnonzero(owner[off:] == owner[:-off])
+        if not len(at):
+            break
+        at = at[np.bitwise_count(t[at] ^ t[at + off]) <= distance]  # Manhattan bound
+        linked[owner[at[np.bitwise_count(f[at] ^ f[at + off]) <= distance]]] = True
+    linked |= size > _SMALL
+    found = [spanning_edges(fp[s : s + n], distance) for s, n in zip(first[linked].tolist(), size[linked].tolist())]
+    none = [np.zeros(0, np.uint64)]
+    return np.concatenate([u for u, _ in found] or none), np.concatenate([v for _, v in found] or none)
+
+
+def _search(grid: DataFrame, distance: int) -> DataFrame:
+    """Edges (u, v) that span the links within each cell of the grid."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(cell: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            u, v = _search_cells(cell, fp, distance)
+            pairs = np.unique(np.stack([u, v], axis=1), axis=0).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
         held: list[tuple[np.ndarray, np.ndarray]] = []  # the last cell, which may go on in the next batch
         for b in batches:
-            cell, fp = b["cell"].to_numpy(np.int64), b["fp"].to_numpy(np.int64).view(np.uint64)
+            cell, fp = (b.column(c).to_numpy().view(np.uint64) for c in ("cell", "fp"))
             if not len(cell):
                 continue
-            start = int(np.searchsorted(cell, cell[-1]))
+            start = int(np.flatnonzero(cell == cell[-1])[0])
             if start or held and held[0][0][0] != cell[0]:
                 yield found(np.concatenate([*(h[0] for h in held), cell[:start]]), np.concatenate([*(h[1] for h in held), fp[:start]]))
                 held = []
@@ -154,11 +205,41 @@ def link_edges(distinct: DataFrame, distance: int = 4, blocks: int = 8) -> DataF
         if held:
             yield found(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
 
-    grid = distinct.select("fp").mapInPandas(cells, "cell long, fp long")
-    return grid.repartition("cell").sortWithinPartitions("cell", "fp").mapInPandas(search, "u long, v long").distinct()
+    dealt = grid.select("cell", "fp").repartition("cell").sortWithinPartitions("cell", "fp")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
 
+def link_edges(distinct: DataFrame, distance: int = 4, blocks: int | None = None, cell_rows: int = 1 << 14) -> DataFrame:
+    """Edges (u, v) between distinct fingerprints (column fp) that span the same components as all links.
 
-def _grouped(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int = 8) -> tuple[DataFrame, DataFrame]:
+    blocks: see blocks_for, which is the default.  Cells of more than
+    cell_rows rows are dealt over finer grids.  An empty table gives none.
+    """
+    spark = distinct.sparkSession
+    small_batches(spark)
+    masks = _masks(0, distance, blocks or blocks_for(distinct.count(), distance))
+    grid, parts, held = _grid(distinct, masks), [], []
+    while True:
+        hot = store(grid.groupBy("cell").agg(F.count("*").alias("rows")).where(F.col("rows") > cell_rows).select("cell"))
+        finer = [_masks(m, distance, 2 * distance) for m in masks]
+        if not any(finer) or hot.isEmpty():
+            parts.append(_search(grid, distance))
+            release(hot)
+            break
+        parts.append(_search(grid.join(hot, "cell", "left_anti"), distance))
+        grid = store(_refined(grid.join(hot, "cell"), distance, 2 * distance))
+        masks = list({m for more in finer for m in more})
+        held.append(hot)
+    edges = parts[0]
+    for p in parts[1:]:
+        edges = edges.unionByName(p)
+    if held:
+        edges = store(edges)
+        release(*held)
+    return edges
+
+
+def _grouped(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Two stored tables: fingerprints(docs), and (fp, first) with the first row of fp's component.
 
     first is (no_id, doc_id, text_hash) of the component's least row, null
@@ -168,14 +249,15 @@ def _grouped(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int =
     row = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_hash")
     groups = store(fps.groupBy("fp").agg(F.min(row).alias("first")))
     joined = connected_components(link_edges(groups, distance, blocks))
-    rooted = groups.join(joined, groups.fp == joined.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    rooted = store(groups.join(joined, groups.fp == joined.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root")))
+    release(groups, joined)
+    least = store(rooted.groupBy("root").agg(F.min("first").alias("first")))
     named = store(rooted.select("fp", "root").join(least, "root").select("fp", "first"))
-    release(groups)
+    release(rooted, least)
     return fps, named
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int | None = None) -> DataFrame:
     """(doc_id, text_hash, fp, component_id) for every row of docs (doc_id, text).
 
     component_id is the smallest doc_id that links of ``distance`` bits or
