@@ -7,8 +7,10 @@ capacity, both as shares of the capacity, among those where it fits.
 
 Documents may be cut: full sequences are cut off the front, the rest is an
 item, and an item that fits nowhere fills the fullest open sequence and
-goes on behind the cut.  What is open when a task ends is relaid, without
-padding, into sequences whose lengths are powers of two.
+goes on behind the cut.  What is open when a task ends is laid end to end
+into full sequences; the one rest of a task, and what a segment or loss
+limit closes early, is cut, without padding, into sequences whose lengths
+are powers of two.
 
 Each task packs its own rows in one pass: nothing is shuffled, gathered or
 kept beyond the open sequences, and a lost task is packed again alike.
@@ -84,7 +86,9 @@ def pack_cuttable(items, limits: Limits):
 
     Tokens before loss_from bear no loss.  Every sequence has limits.tokens
     tokens, or fewer where a segment or loss limit closes it or the items
-    end; such rests are cut into lengths that are powers of two.
+    end; such rests are cut into lengths that are powers of two.  What is
+    open at the end is laid end to end first, so that without such limits
+    there are at most as many short sequences as limits.tokens has bits.
     """
     packer, size = VectorPacker(limits), limits.tokens
 
@@ -92,7 +96,7 @@ def pack_cuttable(items, limits: Limits):
         return np.array([length, 1, max(0, start + length - max(start, loss_from))], np.int64)
 
     def close(slot: int):
-        pieces = packer.take(slot)
+        pieces = [p[:3] for p in packer.take(slot)]
         total = sum(p[2] for p in pieces)
         if total == size:
             yield pieces
@@ -113,17 +117,31 @@ def pack_cuttable(items, limits: Limits):
                 slot = packer.room()
                 left = int(min(left, packer.free[slot, 0], packer.free[slot, 2]))
             if left > 0:
-                packer.put(slot, (item, start, left), demand(start, left, loss_from))
+                packer.put(slot, (item, start, left, loss_from), demand(start, left, loss_from))
                 start += left
             if (packer.free[slot] <= 0).any():
                 yield from close(slot)
-    for slot, pieces in enumerate(packer.bins):
-        if pieces:
-            yield from close(slot)
+    held: list[tuple] = []
+    free, segments, loss = size, limits.segments, limits.loss_tokens
+    for item, start, length, loss_from in [p for pieces in packer.bins if pieces for p in pieces]:
+        while length:
+            bare = min(length, max(0, loss_from - start))  # tokens that bear no loss come first
+            got = min(length, free, bare + loss)
+            if got <= 0 or segments <= 0:
+                yield from _powers(held, size - free)
+                held, free, segments, loss = [], size, limits.segments, limits.loss_tokens
+                continue
+            held.append((item, start, got))
+            free, segments, loss = free - got, segments - 1, loss - max(0, got - bare)
+            start, length = start + got, length - got
+            if not free:
+                yield held
+                held, free, segments, loss = [], size, limits.segments, limits.loss_tokens
+    yield from _powers(held, size - free)
 
 
 def _powers(pieces: list, total: int):
-    """Cut the pieces, laid end to end, into sequences whose lengths are the powers of two that sum to total."""
+    """Cut the pieces, laid end to end, into sequences whose lengths are the powers of two that sum to total; none for 0."""
     rest = list(reversed(pieces))
     while total:
         want = 1 << (total.bit_length() - 1)
@@ -146,8 +164,10 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
     Each id lies in exactly one piece, and a sequence's pieces follow each
     other without gaps.  ids packs the piece's ids as little-endian
     unsigned 32-bit integers.  sequence_id is unique over all tasks.  Rows
-    that repeat a doc_id are packed each.  path names the tokenizer's file
-    on the workers.
+    that repeat a doc_id are packed each; an empty table gives an empty
+    result.  Every token of a document bears loss; examples whose prompts
+    don't are for pack_examples.  path names the tokenizer's file on the
+    workers.
     """
     small_batches(docs.sparkSession)
     end = int(end_id).to_bytes(4, "little")
@@ -185,7 +205,9 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(example_id, bin_id) for whole examples (example_id, n_tokens, n_segments, n_loss): instruction data.
 
     A null demand counts as zero.  An example beyond a limit by itself gets
-    a null bin_id; all others share bins within every limit.
+    a null bin_id; all others share bins within every limit.  Rows that
+    repeat an example_id are placed each; an empty table gives an empty
+    result.
     """
     capacity = [limits.tokens, limits.segments, limits.loss_tokens]
 
@@ -215,3 +237,24 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
     kind = examples.select("example_id").dtypes[0][1]
     return examples.select(*cols).mapInArrow(run, f"example_id {kind}, bin_id long")
 
+
+
+def conversation_examples(turns: DataFrame, path: str, end_id: int = 1) -> DataFrame:
+    """(example_id, n_tokens, n_segments, n_loss) of each conversation of turns (conv_id, role, text).
+
+    A turn is its token ids and end_id, one segment; those of the assistant
+    bear loss.  A null text is end_id alone, a null role bears none, rows
+    without conv_id are left out, repeated rows count each.  Counts combine
+    before they shuffle, so a hot conversation is a row a task.
+    """
+    small_batches(turns.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = byte_bpe(path)
+        for b in batches:
+            n = [len(coder.encode(t.as_py())) // 4 + 1 for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("example_id"), b.column("bears"), pa.array(n, pa.int64())], ["example_id", "bears", "n"])
+
+    bears = F.coalesce(F.lower("role") == "assistant", F.lit(False)).alias("bears")
+    counted = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("example_id"), bears, "text").mapInArrow(run, "example_id long, bears boolean, n long")
+    return counted.groupBy("example_id").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_segments"), F.sum(F.when(F.col("bears"), F.col("n")).otherwise(0)).alias("n_loss"))

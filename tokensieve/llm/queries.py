@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import ann, bpe, packing, quality, rules, secrets, simhash, substring, tokens, urls
 from .oracles import ORACLES
+from .scratch import store
 
 #: The rules that pages are judged by.
 URL_RULES = [
@@ -38,8 +39,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document, found in flat token files of all documents."""
-    blocks = tokens.write_blocks(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return tokens.count_tokens(blocks).select("doc_id", "n_tokens")
+    return tokens.count_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as whole examples in bins of at most 2048 tokens, 64 turns and 1536 tokens that bear loss; null bin_id beyond."""
+    examples = store(packing.conversation_examples(_table(spark, sf_dir, "conversations"), public_tokenizers.path("byte_bpe_50k.json")))
+    bins = packing.pack_examples(examples, packing.Limits(tokens=2048, segments=64, loss_tokens=1536))
+    return examples.join(bins, "example_id").select("example_id", "n_tokens", "n_segments", "n_loss", "bin_id")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of each document."""
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"), distance=4, shingle=4)
@@ -101,4 +108,5 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
+    "instruction_packing": instruction_packing,
 }
