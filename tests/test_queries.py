@@ -41,8 +41,8 @@ def test_rouge_l(spark, sf_dir):
         for (t, _, p), (_, _, q) in zip(rows, rows[1:]):
             a, b = p.lower().split(), q.lower().split()
             n = lcs(a, b)
-            want[c * 1000 + t] = (n / max(len(a), 1), n / max(len(b), 1))
-    got = {r.pair_id: r for r in QUERIES["rouge_l"](spark, sf_dir).collect()}
+            want[c, t] = (n / max(len(a), 1), n / max(len(b), 1))
+    got = {(r.conv_id, r.turn): r for r in QUERIES["rouge_l"](spark, sf_dir).collect()}
     assert got.keys() == want.keys()
     for k, (p, r) in want.items():
         assert abs(got[k].precision - p) < 1e-6 and abs(got[k].recall - r) < 1e-6

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import tone
+from ..functions import pairs, tone
 
 
 def exact_match(a: Column, b: Column) -> Column:
@@ -24,46 +24,66 @@ def char_overlap(pred: Column, ref: Column) -> Column:
     return F.struct(p.alias("precision"), r.alias("recall"), F.when(both > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0)).alias("f1"))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays, row by row of the table of prefixes."""
-
-    def row(prev: Column, x: Column) -> Column:
-        # prev[j] is for b's first j words; the fold carries (prev[j-1], row so far)
-        start = F.struct(F.lit(0).alias("diagonal"), F.array(F.lit(0)).alias("row"))
-        step = lambda acc, yj: F.struct(
-            yj["up"].alias("diagonal"),
-            F.concat(acc["row"], F.array(F.when(yj["y"] == x, acc["diagonal"] + 1).otherwise(F.greatest(yj["up"], F.element_at(acc["row"], -1))))).alias("row"),
-        )
-        zipped = F.zip_with(b, F.slice(prev, 2, F.greatest(F.size(b), F.lit(0))), lambda y, up: F.struct(y.alias("y"), up.alias("up")))
-        return F.aggregate(zipped, start, step)["row"]
-
-    return F.element_at(F.aggregate(a, F.array_repeat(F.lit(0), F.size(b) + 1), row), -1)
+def f_measure(n: Column, pred: Column, ref: Column) -> Column:
+    """(precision, recall, f1) of n tokens in common of so many each."""
+    p, r = n / F.greatest(pred, F.lit(1)), n / F.greatest(ref, F.lit(1))
+    return F.struct(p.alias("precision"), r.alias("recall"), F.when(n > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0)).alias("f1"))
 
 
 def rouge_l(pred: Column, ref: Column) -> Column:
     """(precision, recall, f1) of two word arrays by their longest common subsequence."""
-    n = lcs_length(pred, ref)
-    p, r = n / F.greatest(F.size(pred), F.lit(1)), n / F.greatest(F.size(ref), F.lit(1))
-    return F.struct(p.alias("precision"), r.alias("recall"), F.when(n > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0)).alias("f1"))
+    return f_measure(pairs.lcs_length(pred, ref), F.size(pred), F.size(ref))
 
 
-def bleu(pairs: DataFrame, order: int = 4) -> DataFrame:
-    """One row: corpus BLEU of (pair_id, pred, ref) word arrays, with clipped n-gram matches and brevity penalty."""
+def sentence_bleu(hits: Column, totals: Column, pred: Column, ref: Column) -> Column:
+    """BLEU of one pair from n-gram matches and n-grams by size, of texts of so many tokens.
 
-    def grams(side: str) -> DataFrame:
-        return pairs.select("pair_id", F.explode(F.array(*map(F.lit, range(1, order + 1)))).alias("size"), F.col(side).alias("w")).select(
-            "pair_id",
-            "size",
-            F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - F.col("size") + 1, F.lit(1))), lambda i: F.slice("w", i, F.col("size")))).alias("gram"),
-        ).where(F.size("gram") == F.col("size")).groupBy("pair_id", "size", "gram").agg(F.count("*").alias(f"c_{side}"))
+    The k-th order without a match counts as 1 / (2 ** k n-grams), which is
+    exponential smoothing; 0 without any match, or where an order has no
+    n-gram.
+    """
+    start = F.struct(F.lit(0.0).alias("logs"), F.lit(1.0).alias("smooth"))
+    step = lambda acc, x: F.struct(
+        (acc["logs"] + F.ln(F.when(x["h"] > 0, x["h"] / x["t"]).otherwise(F.lit(1.0) / (acc["smooth"] * 2.0 * x["t"])))).alias("logs"),
+        F.when(x["h"] > 0, acc["smooth"]).otherwise(acc["smooth"] * 2.0).alias("smooth"),
+    )
+    logs = F.aggregate(F.zip_with(hits, totals, lambda h, t: F.struct(h.alias("h"), t.alias("t"))), start, step)["logs"]
+    brevity = F.when(pred >= ref, 1.0).otherwise(F.exp(1.0 - ref / F.greatest(pred, F.lit(1))))
+    return F.when((F.array_max(hits) > 0) & (F.array_min(totals) > 0), brevity * F.exp(logs / F.size(hits))).otherwise(F.lit(0.0))
+
+
+def answer_metrics(rows: DataFrame) -> DataFrame:
+    """Adds rouge_l_precision, _recall and _f1, bleu_score, exact_match, quality and efficiency to answers.
+
+    rows: word arrays pred and ref, texts answer and reference, and
+    token_savings_pct.  Both metrics of words lower-case them.
+    """
+    low = lambda c: F.transform(c, lambda x: F.lower(x))
+    seen = rows.withColumn("o", pairs.overlap(low("pred"), low("ref")))
+    seen = seen.withColumn("f", f_measure(F.col("o.lcs"), F.size("pred"), F.size("ref")))
+    seen = seen.withColumns(
+        {
+            "rouge_l_f1": F.col("f.f1"),
+            "rouge_l_precision": F.col("f.precision"),
+            "rouge_l_recall": F.col("f.recall"),
+            "bleu_score": sentence_bleu(F.col("o.hits"), F.col("o.totals"), F.size("pred"), F.size("ref")),
+            "exact_match": F.coalesce(exact_match(F.col("answer"), F.col("reference")), F.lit(False)).cast("double"),
+        }
+    )
+    score = quality(F.col("rouge_l_f1"), F.col("bleu_score"), F.col("exact_match"))
+    return seen.withColumns({"quality": score, "efficiency": F.col("token_savings_pct") / 100.0}).drop("o", "f")
 
-    matched = grams("pred").join(grams("ref"), ["pair_id", "size", "gram"], "left")
-    precision = matched.groupBy("size").agg(F.sum(F.least("c_pred", F.coalesce("c_ref", F.lit(0)))).alias("hit"), F.sum("c_pred").alias("total"))
-    lengths = pairs.agg(F.sum(F.size("pred")).alias("pred_len"), F.sum(F.size("ref")).alias("ref_len"))
-    mean = precision.agg(F.sum(F.ln(F.when(F.col("hit") > 0, F.col("hit") / F.col("total")))).alias("logs"), F.count(F.when(F.col("hit") > 0, 1)).alias("orders"))
+
+def bleu(turns: DataFrame, order: int = 4) -> DataFrame:
+    """One row: corpus BLEU of (pred, ref) word arrays, with clipped n-gram matches and brevity penalty."""
+    seen = turns.select(F.size("pred").alias("p"), F.size("ref").alias("r"), pairs.overlap(F.col("pred"), F.col("ref")).alias("o"))
+    sums = seen.agg(
+        F.sum("p").alias("pred_len"), F.sum("r").alias("ref_len"), *[F.sum(F.get(f"o.{k}", F.lit(i))).alias(f"{k}{i}") for k in ("hits", "totals") for i in range(order)]
+    )
+    mean = sum((F.ln(F.col(f"hits{i}") / F.col(f"totals{i}")) for i in range(order)), F.lit(0.0)) / order
+    found = F.least(*[F.col(f"hits{i}") for i in range(order)]) > 0
     brevity = F.when(F.col("pred_len") >= F.col("ref_len"), 1.0).otherwise(F.exp(1.0 - F.col("ref_len") / F.col("pred_len")))
-    score = F.when(F.col("orders") == order, brevity * F.exp(F.col("logs") / order)).otherwise(F.lit(0.0))
-    return mean.join(F.broadcast(lengths)).select("pred_len", "ref_len", F.round(score, 6).alias("bleu"))
+    return sums.select("pred_len", "ref_len", F.round(F.when(found, brevity * F.exp(mean)).otherwise(F.lit(0.0)), 6).alias("bleu"))
 
 
 def quality(rouge: Column, bleu_score: Column, match: Column) -> Column:
@@ -95,11 +115,14 @@ def speedup(prefill: Column, decode: Column, prefill_after: Column, decode_after
 
 
 def cells(rows: DataFrame) -> DataFrame:
-    """Means over the samples of each (method, task, ratio)."""
+    """Means over the samples of each (method, task, ratio); of processing_time_ms too, where rows have it."""
+    timed = [F.avg("processing_time_ms").alias("mean_processing_time_ms")] if "processing_time_ms" in rows.columns else []
     return rows.groupBy("method", "task", "ratio").agg(
         F.avg("compression_ratio").alias("mean_compression_ratio"),
         F.avg("token_savings_pct").alias("mean_token_savings_pct"),
+        *timed,
         F.avg("rouge_l_f1").alias("mean_rouge_l_f1"),
+        F.avg("bleu_score").alias("mean_bleu"),
         F.avg("exact_match").alias("exact_match_rate"),
         F.avg("quality").alias("mean_quality_score"),
         F.avg("efficiency").alias("mean_efficiency_score"),

@@ -12,18 +12,44 @@ def document():
 
 
 
+def with_predecessor(toks: DataFrame) -> DataFrame:
+    """Adds prev: the token before within the document, empty for the first."""
+    return toks.withColumn("prev", F.coalesce(F.lag("tok").over(by_document()), F.lit("")))
+
+
+def bigrams(toks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(prev, tok, c2), (prev, c1) and one row (v): pair counts, predecessor counts and vocabulary size of a corpus.
+
+    All three come from the one shuffle of the pair counts, which combine
+    before it; first tokens count as pairs of the empty predecessor.
+    """
+    two = with_predecessor(toks).groupBy("prev", "tok").agg(F.count("*").alias("c2"))
+    one = two.groupBy("prev").agg(F.sum("c2").alias("c1"))
+    return two, one, two.agg(F.count_distinct(F.when(F.col("c2") > 0, F.col("tok"))).alias("v"))
+
+
+def _surprisal() -> Column:
+    """-ln of the add-one probability from c2, c1 and v, to 6 decimals; 0 for a document's first token."""
+    zero = F.lit(0)
+    s = F.round(-F.ln((F.coalesce("c2", zero) + 1.0) / (F.coalesce("c1", zero) + F.col("v"))), 6)
+    return F.when(F.col("prev") == "", F.lit(0.0)).otherwise(s)
+
+
 def ngram_surprisal(toks: DataFrame) -> DataFrame:
     """Adds surprisal: -ln of the add-one bigram probability in this corpus, to 6 decimals; 0 at position 0.
 
-    Both counts combine before they shuffle; the joins on a frequent pair
-    leave its rows to adaptive skew splitting.
+    The join on a frequent pair leaves its rows to adaptive skew splitting.
     """
-    pairs = toks.withColumn("prev", F.lag("tok").over(by_document()))
-    two = pairs.where("prev is not null").groupBy("prev", "tok").agg(F.count("*").alias("c2"))
-    one = two.groupBy("prev").agg(F.sum("c2").alias("c1"))
-    size = toks.select("tok").distinct().agg(F.count("*").alias("v"))
-    model = two.join(one, "prev").join(F.broadcast(size)).select("prev", "tok", F.round(-F.ln((F.col("c2") + 1.0) / (F.col("c1") + F.col("v"))), 6).alias("s"))
-    return pairs.join(model, ["prev", "tok"], "left").withColumn("surprisal", F.coalesce("s", F.lit(0.0))).drop("s", "prev")
+    two, one, size = bigrams(toks)
+    model = two.join(one, "prev").join(F.broadcast(size)).select("prev", "tok", _surprisal().alias("surprisal"))
+    return with_predecessor(toks).join(model, ["prev", "tok"]).select(*toks.columns, "surprisal")
+
+
+def rescored(kept: DataFrame, toks: DataFrame) -> DataFrame:
+    """kept with its surprisals computed again by the tokens that now precede, with the counts of the corpus toks."""
+    two, one, size = bigrams(toks)
+    now = with_predecessor(kept.drop("surprisal")).join(two, ["prev", "tok"], "left").join(one, "prev", "left").join(F.broadcast(size))
+    return now.withColumn("surprisal", _surprisal()).select(*kept.columns)
 
 
 def chunked(toks: DataFrame, size: int = 512) -> DataFrame:

@@ -230,16 +230,50 @@ _GRID = (
     )
     + ")"
 )
-_ROWS = _GRID + """,
-br AS (SELECT g.*, lang AS task, n::DOUBLE / greatest(kept, 1) AS compression_ratio, (n - kept)::DOUBLE / n * 100.0::DOUBLE AS ts_pct, kept::DOUBLE / n AS rl,
-  (kept = n)::INT::DOUBLE AS em, CASE WHEN toned > 0 THEN toned_kept::DOUBLE / toned END AS tr FROM grid g JOIN documents USING (doc_id)),
-bq AS (SELECT *, 0.4::DOUBLE * rl + 0.4::DOUBLE * em AS q, ts_pct / 100.0::DOUBLE AS e FROM br),
-ce AS (SELECT method, task, ratio, avg(compression_ratio) AS cr, avg(ts_pct) AS ts, avg(rl) AS rl, avg(em) AS em, avg(q) AS q, avg(e) AS e, avg(tr) AS tr, count(*) AS num FROM bq GROUP BY ALL),
-su AS (SELECT method, avg(q) AS q, avg(e) AS e FROM ce GROUP BY method)"""
+_TURNS = """tp AS (SELECT conv_id, turn, role, text AS pred, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role) AS ref FROM conversations),
+pairs AS (SELECT * FROM tp WHERE ref IS NOT NULL)"""
+_MORPH = f"{{0}} AS (SELECT *, {_edge()} AS is_edge, " + ", ".join(f"row_number() OVER (PARTITION BY doc_id, {_edge()} ORDER BY {o}) AS r_{m}" for m, o in _EVALUATED.items()) + (
+    f", row_number() OVER (PARTITION BY doc_id, {_edge()}, word_class ORDER BY {_SEED}) AS r_class, count(*) OVER (PARTITION BY doc_id, {_edge()}, word_class) AS c FROM cl)"
+)
+
+
+def _cells_of(ratios: str) -> str:
+    """Kept tokens of every method at every ratio."""
+    keeps = {m: f"is_edge OR r_{m} <= greatest(floor(n / ratio)::INT, 4) - 4" for m in _EVALUATED} | {"morph_only": f"is_edge OR r_class <= floor(c * {_case(CLASS_KEEP, 'word_class')})", "none": "TRUE"}
+    return "un AS (" + " UNION ALL ".join(f"SELECT '{m}' AS method, ratio, doc_id, pos, tok, n, m FROM mq, (SELECT unnest([{ratios}])::DOUBLE AS ratio) WHERE {k}" for m, k in keeps.items()) + ")"
+
+
+#: The subsequence is the longest increasing run of the reference's places that the answer's words meet, latest place first.
+_ROWS = _with(
+    _TURNS,
+    "sm AS (SELECT conv_id || ':' || turn AS doc_id, role AS task, pred AS text, ref FROM pairs)",
+    _TOKS.replace("FROM documents", "FROM sm"),
+    _TONE,
+    _classed("ts"),
+    _MORPH.format("mq"),
+    _cells_of("2.0, 4.0, 8.0"),
+    "kp AS (SELECT *, lower(tok) AS w, row_number() OVER (PARTITION BY doc_id, method, ratio ORDER BY pos) AS i FROM un)",
+    f"rl AS (SELECT doc_id, task, ref, {_words('lower(ref)')} AS b FROM sm)",
+    "rf AS (SELECT doc_id, generate_subscripts(b, 1) AS j, unnest(b) AS w FROM rl)",
+    "mt AS (SELECT doc_id, method, ratio, list([j] ORDER BY i, j DESC) AS ms FROM kp JOIN rf USING (doc_id, w) GROUP BY ALL)",
+    "ll AS (SELECT doc_id, method, ratio, len(list_reduce(list_prepend([]::BIGINT[], ms), lambda t, x: list_concat(list_concat(t[1 : len(list_filter(t, lambda y: y < x[1]))], x), t[len(list_filter(t, lambda y: y < x[1])) + 2 :]))) AS common FROM mt)",
+    "kl AS (SELECT doc_id, method, ratio, max(n) AS n, list(w ORDER BY i) AS a, string_agg(tok, ' ' ORDER BY i) AS answer, count_if(length(m) > 0) AS toned_kept FROM kp GROUP BY ALL)",
+    "tn AS (SELECT doc_id, count_if(length(m) > 0) AS toned FROM ts GROUP BY 1)",
+    "ga AS (SELECT doc_id, method, ratio, k, a[i : i + k - 1] AS g, count(*) AS c FROM kl, range(1, 5) r(k), range(1, len(a) - k + 2) s(i) GROUP BY ALL)",
+    "gb AS (SELECT doc_id, k, b[i : i + k - 1] AS g, count(*) AS c FROM rl, range(1, 5) r(k), range(1, len(b) - k + 2) s(i) GROUP BY ALL)",
+    "gh AS (SELECT doc_id, method, ratio, k, sum(least(ga.c, coalesce(gb.c, 0)))::DOUBLE AS h, sum(ga.c)::DOUBLE AS t FROM ga LEFT JOIN gb USING (doc_id, k, g) GROUP BY ALL)",
+    "gz AS (SELECT *, sum((h = 0)::INT) OVER (PARTITION BY doc_id, method, ratio ORDER BY k) AS z FROM gh)",
+    "bu AS (SELECT doc_id, method, ratio, CASE WHEN count(*) = 4 AND max(h) > 0 THEN exp(sum(ln(CASE WHEN h > 0 THEN h / t ELSE 1.0::DOUBLE / (pow(2, z) * t) END)) / 4) ELSE 0 END AS b FROM gz GROUP BY ALL)",
+    "br AS (SELECT kl.*, task, toned, coalesce(common, 0) AS common, len(a) AS np, len(rl.b) AS nr, coalesce(bu.b, 0) * CASE WHEN len(a) >= len(rl.b) THEN 1.0::DOUBLE ELSE exp(1.0::DOUBLE - len(rl.b)::DOUBLE / len(a)) END AS bleu, (lower(trim(answer)) = lower(trim(ref)))::INT::DOUBLE AS em FROM kl JOIN rl USING (doc_id) JOIN tn USING (doc_id) LEFT JOIN ll USING (doc_id, method, ratio) LEFT JOIN bu USING (doc_id, method, ratio))",
+    "bs AS (SELECT *, n::DOUBLE / np AS compression_ratio, (n - np)::DOUBLE / n * 100.0::DOUBLE AS ts_pct, common::DOUBLE / np AS p, common::DOUBLE / greatest(nr, 1) AS r, CASE WHEN toned > 0 THEN toned_kept::DOUBLE / toned END AS tr FROM br)",
+    "bt AS (SELECT *, CASE WHEN common > 0 THEN 2.0::DOUBLE * p * r / (p + r) ELSE 0 END AS f1, ts_pct / 100.0::DOUBLE AS e FROM bs)",
+    "bq AS (SELECT *, 0.4::DOUBLE * f1 + 0.2::DOUBLE * bleu + 0.4::DOUBLE * em AS q FROM bt)",
+    "ce AS (SELECT method, task, ratio, avg(compression_ratio) AS cr, avg(ts_pct) AS ts, avg(f1) AS rl, avg(bleu) AS bl, avg(em) AS em, avg(q) AS q, avg(e) AS e, avg(tr) AS tr, count(*) AS num FROM bq GROUP BY ALL)",
+    "su AS (SELECT method, avg(q) AS q, avg(e) AS e FROM ce GROUP BY method)",
+    select="",
+)
 _H = "2.0::DOUBLE * q * e / (q + e + 1e-8::DOUBLE)"
 
-_TURNS = """tp AS (SELECT conv_id * 1000 + turn AS pair_id, text AS pred, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role) AS ref FROM conversations),
-pairs AS (SELECT * FROM tp WHERE ref IS NOT NULL)"""
 _CHARS = "list_distinct(list_filter(string_split({0}, ''), lambda x: x <> ''))"
 _VEC = [f"length(regexp_replace(lower(tok), '[^{c}]', '', 'g'))" for c in "aeiounrst"]
 _ATTN = """vec AS (SELECT floor(vec_id / 40)::BIGINT AS doc_id, (vec_id % 40)::INT AS p, embedding FROM embeddings),
@@ -355,8 +389,9 @@ ORACLES: dict[str, str] = {
         _BIGRAM,
         _SENTENCES,
         "l1 AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS m, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i FROM sf)",
-        "l2 AS (SELECT *, i < 2 OR i >= m - 2 AS is_edge FROM l1)",
-        "l3 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, is_edge ORDER BY CASE WHEN i = 0 THEN 0 ELSE surprisal END DESC, pos) AS rank FROM l2)",
+        "lp AS (SELECT *, i < 2 OR i >= m - 2 AS is_edge, lag(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM l1)",
+        "l2 AS (SELECT lp.*, CASE WHEN i = 0 THEN 0 ELSE round(-ln((coalesce(c2, 0) + 1.0::DOUBLE) / (coalesce(c1, 0) + (SELECT count(DISTINCT tok) FROM toks))), 6) END AS again FROM lp LEFT JOIN two ON two.prev = lp.prev AND two.tok = lp.tok LEFT JOIN one ON one.prev = lp.prev)",
+        "l3 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, is_edge ORDER BY again DESC, pos) AS rank FROM l2)",
         "l4 AS (SELECT * FROM l3 WHERE is_edge OR m <= goal * 1.5::DOUBLE OR greatest(goal - 4, 0) <= 0 OR rank <= goal - 4)",
         "kept AS (SELECT * FROM l4 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 32768)",
     ),
@@ -396,13 +431,9 @@ ORACLES: dict[str, str] = {
         _TOKS,
         _TONE,
         _classed("ts"),
-        f"mq AS (SELECT *, {_edge()} AS is_edge, "
-        + ", ".join(f"row_number() OVER (PARTITION BY doc_id, {_edge()} ORDER BY {o}) AS r_{m}" for m, o in _EVALUATED.items())
-        + f", row_number() OVER (PARTITION BY doc_id, {_edge()}, word_class ORDER BY {_SEED}) AS r_class, count(*) OVER (PARTITION BY doc_id, {_edge()}, word_class) AS c FROM cl)",
-        "un AS ("
-        + " UNION ALL ".join(f"SELECT '{m}' AS method, doc_id, tok FROM mq WHERE is_edge OR r_{m} <= {_budget()}" for m in _EVALUATED)
-        + f" UNION ALL SELECT 'morph_only', doc_id, tok FROM mq WHERE is_edge OR r_class <= floor(c * {_case(CLASS_KEEP, 'word_class')}))",
-        select="SELECT method, 4.0::DOUBLE AS ratio, count(DISTINCT doc_id) AS n_docs, count(*) AS n_kept, (sum(length(tok) + 1) - count(DISTINCT doc_id))::BIGINT AS n_chars FROM un GROUP BY method",
+        _MORPH.format("mq"),
+        _cells_of("4.0"),
+        select="SELECT method, ratio, count(DISTINCT doc_id) AS n_docs, count(*) AS n_kept, (sum(length(tok) + 1) - count(DISTINCT doc_id))::BIGINT AS n_chars FROM un WHERE method <> 'none' GROUP BY method, ratio",
     ),
     "tone_names": f"SELECT doc_id, md5(array_to_string(list_transform(string_split({_DIGITS}, ''), lambda c: ([{_list(TONES)}])[c::INT + 1]), ',')) AS names_md5 FROM documents WHERE text <> ''",
     "decoded_pieces": _with(
@@ -419,13 +450,21 @@ ORACLES: dict[str, str] = {
     ),
     "ratio_grid": _with(_GRID, select="SELECT doc_id, n, toned, method, ratio, kept, toned_kept FROM grid"),
     "length_ratio_rollup": _with(_GRID, select="SELECT method, ratio, sum(kept)::BIGINT AS kept, sum(n)::BIGINT AS n, count(*) AS rows FROM grid GROUP BY ROLLUP (method, ratio)"),
-    "bench_cells": _with(
-        _ROWS,
-        select="SELECT method, task, ratio, round(cr, 6) AS mean_compression_ratio, round(ts, 6) AS mean_token_savings_pct, round(rl, 6) AS mean_rouge_l_f1, round(em, 6) AS exact_match_rate, round(q, 6) AS mean_quality_score, round(e, 6) AS mean_efficiency_score, round(tr, 6) AS mean_tone_preservation_rate, num AS num_samples FROM ce",
+    "bench_samples": _ROWS + "SELECT doc_id, task, method, ratio, round(compression_ratio, 6) AS compression_ratio, round(f1, 6) AS rouge_l_f1, round(p, 6) AS rouge_l_precision, round(r, 6) AS rouge_l_recall, round(bleu, 6) AS bleu_score, round(q, 6) AS quality, em AS exact_match FROM bq",
+    "bench_cells": _ROWS
+    + "SELECT method, task, ratio, round(cr, 6) AS mean_compression_ratio, round(ts, 6) AS mean_token_savings_pct, round(rl, 6) AS mean_rouge_l_f1, round(bl, 6) AS mean_bleu, round(em, 6) AS exact_match_rate, round(q, 6) AS mean_quality_score, round(e, 6) AS mean_efficiency_score, round(tr, 6) AS mean_tone_preservation_rate, num AS num_samples FROM ce",
+    "bench_summary": _ROWS + f"SELECT method, round(q, 6) AS avg_quality, round(e, 6) AS avg_efficiency, round({_H}, 6) AS harmonized_score FROM su",
+    "bench_rounded": _ROWS + "SELECT format('{}@{:.0f}x', method, ratio) AS name, round_even(avg(compression_ratio), 2) AS mean_cr, round_even(avg(ts_pct), 1) AS mean_ts FROM bq GROUP BY method, ratio",
+    "bench_report": _ROWS + f"SELECT printf('| %s | %.4f | %.4f | %.4f |', method, q, e, {_H}) AS line FROM su",
+    "method_bench": _with(
+        _TOKS,
+        _TONE,
+        _classed("ts"),
+        _MORPH.format("mq"),
+        _cells_of("2.0, 4.0, 6.0, 8.0"),
+        "dc AS (SELECT method, ratio, doc_id, round(max(n)::DOUBLE / count(*), 6) AS cr, round((max(n) - count(*))::DOUBLE / max(n) * 100.0::DOUBLE, 6) AS ts FROM un WHERE method <> 'none' GROUP BY ALL)",
+        select="SELECT format('{}@{:.1f}x', method, ratio) AS name, round_even(avg(cr), 2) AS avg_compression_ratio, round_even(avg(ts), 1) AS avg_token_savings_pct, count(*) AS num_samples FROM dc GROUP BY method, ratio",
     ),
-    "bench_summary": _with(_ROWS, select=f"SELECT method, round(q, 6) AS avg_quality, round(e, 6) AS avg_efficiency, round({_H}, 6) AS harmonized_score FROM su"),
-    "bench_rounded": _with(_ROWS, select="SELECT format('{}@{:.0f}x', method, ratio) AS name, round_even(avg(compression_ratio), 2) AS mean_cr, round_even(avg(ts_pct), 1) AS mean_ts FROM bq GROUP BY method, ratio"),
-    "bench_report": _with(_ROWS, select=f"SELECT printf('| %s | %.4f | %.4f | %.4f |', method, q, e, {_H}) AS line FROM su"),
     "ngram_surprisal": _with(_TOKS, _BIGRAM, select="SELECT doc_id, round(sum(surprisal), 3) AS sum_surprisal, max(surprisal) AS max_surprisal FROM sp GROUP BY doc_id"),
     "chunked_surprisal": _with(
         _TOKS,
@@ -453,32 +492,32 @@ ORACLES: dict[str, str] = {
         select="SELECT *, round(CASE WHEN toned_tokens > 0 THEN toned_chars_kept::DOUBLE / toned_tokens ELSE 1 END, 6) AS tone_char_token_rate, round(CASE WHEN toned_tokens > 0 THEN toned_tokens_kept::DOUBLE / toned_tokens ELSE 1 END, 6) AS tone_token_rate FROM tp",
     ),
     "kv_saved": _with(_TOKS, _kept("toks", "pos"), select="SELECT doc_id, (max(n) - count(*)) * 16384 AS kv_bytes_saved, max(n)::BIGINT * 524288 AS kv_cache_bytes FROM kept GROUP BY doc_id"),
-    "exact_match": _with(_TURNS, select="SELECT pair_id, lower(trim(pred)) = lower(trim(ref)) AS is_match FROM pairs"),
+    "exact_match": _with(_TURNS, select="SELECT conv_id, turn, lower(trim(pred)) = lower(trim(ref)) AS is_match FROM pairs"),
     "char_overlap_f1": _with(
         _TURNS,
-        f"co AS (SELECT pair_id, len({_CHARS.format('pred')}) AS a, len({_CHARS.format('ref')}) AS b, len(list_intersect({_CHARS.format('pred')}, {_CHARS.format('ref')})) AS c FROM pairs)",
+        f"co AS (SELECT conv_id, turn, len({_CHARS.format('pred')}) AS a, len({_CHARS.format('ref')}) AS b, len(list_intersect({_CHARS.format('pred')}, {_CHARS.format('ref')})) AS c FROM pairs)",
         "cp AS (SELECT *, c::DOUBLE / greatest(a, 1) AS p, c::DOUBLE / greatest(b, 1) AS r FROM co)",
-        select='SELECT pair_id, round(p, 6) AS "precision", round(r, 6) AS recall, round(CASE WHEN c > 0 THEN 2.0::DOUBLE * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM cp',
+        select='SELECT conv_id, turn, round(p, 6) AS "precision", round(r, 6) AS recall, round(CASE WHEN c > 0 THEN 2.0::DOUBLE * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM cp',
     ),
     "rouge_l": _recursive(
         _with(
             _TURNS,
-            f"wl AS (SELECT pair_id, {_words('lower(pred)')} AS a, {_words('lower(ref)')} AS b FROM pairs)",
+            f"wl AS (SELECT conv_id, turn, {_words('lower(pred)')} AS a, {_words('lower(ref)')} AS b FROM pairs)",
             # A row of the prefix table is the running maximum of what the row above gives.
-            """lc(pair_id, i, r) AS (SELECT pair_id, 0::BIGINT, list_transform(b, lambda x: 0) FROM wl UNION ALL
-  SELECT pair_id, i + 1, list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j])) FROM (SELECT pair_id, i, list_transform(range(1, len(b) + 1), lambda j: greatest(r[j], coalesce(r[j - 1], 0) + (a[i + 1] = b[j])::INT)) AS c
-    FROM lc JOIN wl USING (pair_id) WHERE i < len(a)))""",
-            "le AS (SELECT pair_id, len(a) AS na, len(b) AS nb, coalesce(r[len(b)], 0) AS n FROM wl JOIN lc USING (pair_id) WHERE i = len(a))",
+            """lc(conv_id, turn, i, r) AS (SELECT conv_id, turn, 0::BIGINT, list_transform(b, lambda x: 0) FROM wl UNION ALL
+  SELECT conv_id, turn, i + 1, list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j])) FROM (SELECT conv_id, turn, i, list_transform(range(1, len(b) + 1), lambda j: greatest(r[j], coalesce(r[j - 1], 0) + (a[i + 1] = b[j])::INT)) AS c
+    FROM lc JOIN wl USING (conv_id, turn) WHERE i < len(a)))""",
+            "le AS (SELECT conv_id, turn, len(a) AS na, len(b) AS nb, coalesce(r[len(b)], 0) AS n FROM wl JOIN lc USING (conv_id, turn) WHERE i = len(a))",
             "lp AS (SELECT *, n::DOUBLE / greatest(na, 1) AS p, n::DOUBLE / greatest(nb, 1) AS q FROM le)",
-            select='SELECT pair_id, round(p, 6) AS "precision", round(q, 6) AS recall, round(CASE WHEN n > 0 THEN 2.0::DOUBLE * p * q / (p + q) ELSE 0 END, 6) AS f1 FROM lp',
+            select='SELECT conv_id, turn, round(p, 6) AS "precision", round(q, 6) AS recall, round(CASE WHEN n > 0 THEN 2.0::DOUBLE * p * q / (p + q) ELSE 0 END, 6) AS f1 FROM lp',
         )
     ),
     "bleu": _with(
         _TURNS,
-        f"wl AS (SELECT pair_id, {_words('pred')} AS pred, {_words('ref')} AS ref FROM pairs)",
-        "gp AS (SELECT pair_id, k, pred[i : i + k - 1] AS g, count(*) AS c FROM wl, range(1, 5) r(k), range(1, len(pred) - k + 2) s(i) GROUP BY ALL)",
-        "gq AS (SELECT pair_id, k, ref[i : i + k - 1] AS g, count(*) AS c FROM wl, range(1, 5) r(k), range(1, len(ref) - k + 2) s(i) GROUP BY ALL)",
-        "pc AS (SELECT k, sum(least(gp.c, coalesce(gq.c, 0)))::DOUBLE AS hit, sum(gp.c)::DOUBLE AS total FROM gp LEFT JOIN gq USING (pair_id, k, g) GROUP BY k)",
+        f"wl AS (SELECT conv_id, turn, {_words('pred')} AS pred, {_words('ref')} AS ref FROM pairs)",
+        "gp AS (SELECT conv_id, turn, k, pred[i : i + k - 1] AS g, count(*) AS c FROM wl, range(1, 5) r(k), range(1, len(pred) - k + 2) s(i) GROUP BY ALL)",
+        "gq AS (SELECT conv_id, turn, k, ref[i : i + k - 1] AS g, count(*) AS c FROM wl, range(1, 5) r(k), range(1, len(ref) - k + 2) s(i) GROUP BY ALL)",
+        "pc AS (SELECT k, sum(least(gp.c, coalesce(gq.c, 0)))::DOUBLE AS hit, sum(gp.c)::DOUBLE AS total FROM gp LEFT JOIN gq USING (conv_id, turn, k, g) GROUP BY k)",
         "ln_ AS (SELECT sum(len(pred))::BIGINT AS pl, sum(len(ref))::BIGINT AS rl FROM wl)",
         select="SELECT pl AS pred_len, rl AS ref_len, round((SELECT CASE WHEN count_if(hit > 0) = 4 THEN exp(sum(ln(hit / total)) / 4) ELSE 0 END FROM pc) * CASE WHEN pl >= rl THEN 1.0::DOUBLE ELSE exp(1.0::DOUBLE - rl::DOUBLE / pl) END, 6) AS bleu FROM ln_",
     ),
@@ -500,3 +539,7 @@ ORACLES: dict[str, str] = {
     ),
     "event_throughput": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 }
+
+#: Queries on words run over the lexicon stream and, by this name and _text, over the documents' own tokens.
+_ON_WORDS = ("word_class_dist", "redup_pairs", "word_normalize", "func_word_ext", "word_segment", "align_spans", "word_analysis", "decoded_pieces", "compress_morph_quota", "compress_morph_aware")
+ORACLES |= {f"{name}_text": ORACLES[name].replace(_LEX, _TOKS) for name in _ON_WORDS}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tone, words
 from ..lexicon import SINO_MORPHEMES
-from ..operators import dataset, methods, metrics, scores, segment, select
+from ..operators import dataset, methods, metrics, runners, scores, segment, select
 from ..operators import tokens as T
 from ..sources.tables import table
 from ..streaming import stream
@@ -23,6 +23,13 @@ def query(f):
     return f
 
 
+def query_of_words(f):
+    """Register f(spark, sf_dir, words) over the lexicon stream, and as <name>_text over the documents' own tokens."""
+    for name, source in ((f.__name__, _stream), (f"{f.__name__}_text", _tokens)):
+        QUERIES[name] = lambda spark, sf_dir, source=source: f(spark, sf_dir, source(spark, sf_dir))
+    return f
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
@@ -37,6 +44,10 @@ def _tokens(spark, sf_dir):
     return T.tokens(documents(spark, sf_dir))
 
 
+def _stream(spark, sf_dir):
+    return T.lexicon_stream(documents(spark, sf_dir))
+
+
 def _with_base(toks: DataFrame) -> DataFrame:
     """A base score that stands in for a model's: longer tokens weigh more."""
     return toks.withColumn("base_score", F.length("tok") / (F.length("tok") + F.lit(4.0)))
@@ -102,9 +113,9 @@ def tone_of_characters(spark, sf_dir):
 # words
 
 
-@query
-def word_class_dist(spark, sf_dir):
-    toks = T.with_class(T.lexicon_stream(documents(spark, sf_dir)))
+@query_of_words
+def word_class_dist(spark, sf_dir, toks):
+    toks = T.with_class(toks)
     names = ["function", "content", "reduplicative", "compound", "other"]
     return toks.groupBy("doc_id").agg(*[F.count_if(F.col("word_class") == c).alias(c) for c in names])
 
@@ -116,21 +127,20 @@ def word_class_of_tokens(spark, sf_dir):
     return out.select("tok", "n_used", "word_class", words.class_multiplier(F.col("word_class")).alias("multiplier"), words.class_keep(F.col("word_class")).alias("keep"))
 
 
-@query
-def redup_pairs(spark, sf_dir):
-    toks = methods.pair_partners(T.lexicon_stream(documents(spark, sf_dir)))
+@query_of_words
+def redup_pairs(spark, sf_dir, toks):
+    toks = methods.pair_partners(toks)
     return toks.where("partner is not null").select("doc_id", F.col("pos").alias("left_pos"), F.col("partner").alias("right_pos"))
 
 
-@query
-def word_normalize(spark, sf_dir):
-    toks = T.lexicon_stream(documents(spark, sf_dir)).groupBy("tok").agg(F.count("*").alias("n_used"))
-    return toks.select("tok", "n_used", words.normalise(F.col("tok")).alias("norm"))
+@query_of_words
+def word_normalize(spark, sf_dir, toks):
+    used = toks.groupBy("tok").agg(F.count("*").alias("n_used"))
+    return used.select("tok", "n_used", words.normalise(F.col("tok")).alias("norm"))
 
 
-@query
-def func_word_ext(spark, sf_dir):
-    toks = T.lexicon_stream(documents(spark, sf_dir))
+@query_of_words
+def func_word_ext(spark, sf_dir, toks):
     return toks.groupBy("doc_id").agg(F.count_if(words.is_function_word(F.col("tok"))).alias("n_function"), F.count("*").alias("n_tokens"))
 
 
@@ -154,23 +164,22 @@ def sino_compounds(spark, sf_dir):
     return pairs.where(F.length("compound") >= 6).withColumn("is_sino", segment.is_sino(F.col("compound")))
 
 
-@query
-def word_segment(spark, sf_dir):
-    words_ = segment.segment(T.lexicon_stream(documents(spark, sf_dir)))
+@query_of_words
+def word_segment(spark, sf_dir, toks):
+    words_ = segment.segment(toks)
     return words_.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count_if(F.col("word").contains("_")).alias("n_joined"), F.sum(F.col("start") * (F.length("word") + 1)).alias("checksum"))
 
 
-@query
-def align_spans(spark, sf_dir):
-    toks = T.lexicon_stream(documents(spark, sf_dir))
+@query_of_words
+def align_spans(spark, sf_dir, toks):
     counts = toks.groupBy("doc_id").agg(F.max("n").alias("n"))
     spans = segment.align(segment.segment(toks), counts)
     return spans.groupBy("doc_id").agg(F.sum("span_start").alias("sum_start"), F.sum("span_end").alias("sum_end"), F.max("span_end").alias("last_end"))
 
 
-@query
-def word_analysis(spark, sf_dir):
-    out = segment.analyse(segment.segment(T.lexicon_stream(documents(spark, sf_dir))))
+@query_of_words
+def word_analysis(spark, sf_dir, toks):
+    out = segment.analyse(segment.segment(toks))
     return out.groupBy("norm", "tone", "word_class", "multiplier").agg(F.count("*").alias("n_words"))
 
 
@@ -196,11 +205,7 @@ def _base(spark, sf_dir):
 
 
 def _stream_base(spark, sf_dir):
-    return _with_base(T.lexicon_stream(documents(spark, sf_dir)))
-
-
-def _stream(spark, sf_dir):
-    return T.lexicon_stream(documents(spark, sf_dir))
+    return _with_base(_stream(spark, sf_dir))
 
 
 def _sentences(spark, sf_dir):
@@ -216,7 +221,9 @@ _method("random", methods.random)
 _method("combined", methods.combined)
 _method("combined_lexicon", methods.combined, _stream)
 _method("morph_quota", methods.class_quota, _stream)
+_method("morph_quota_text", methods.class_quota)
 _method("morph_aware", methods.morph_aware, _stream_base)
+_method("morph_aware_text", methods.morph_aware, _base)
 _method("combined_base", methods.combined_base, _base)
 _method("enhanced", methods.enhanced, _with_surprisal)
 _method("enhanced_no_scorer", methods.enhanced, lambda s, d: _tokens(s, d).withColumn("surprisal", F.lit(0.5)), weights=scores.auto_weights(False))
@@ -301,12 +308,12 @@ def tone_names(spark, sf_dir):
     return docs.select("doc_id", F.md5(F.array_join(tone.tone_names(F.col("text")), ",").cast("binary")).alias("names_md5"))
 
 
-@query
-def decoded_pieces(spark, sf_dir):
+@query_of_words
+def decoded_pieces(spark, sf_dir, toks):
     """Pieces made of the lexicon stream by marking each as a word's start, decoded and cleaned."""
     mark = F.element_at(F.array(*map(F.lit, ("▁", "Ġ", "##", "_", ""))), (F.col("pos") % 5 + 1).cast("int"))
     piece = F.concat(mark, F.col("tok")).alias("piece")
-    pieces = T.lexicon_stream(documents(spark, sf_dir)).select(piece).groupBy("piece").agg(F.count("*").alias("n_used"))
+    pieces = toks.select(piece).groupBy("piece").agg(F.count("*").alias("n_used"))
     return pieces.select("piece", "n_used", words.decode_piece(F.col("piece")).alias("decoded"), words.clean_piece(F.col("piece")).alias("cleaned"))
 
 
@@ -348,26 +355,25 @@ def ratio_grid(spark, sf_dir):
 
 
 def _bench_rows(spark, sf_dir):
-    """Rows of metrics: the grid, a task by language, the benchmark's quality figures from each document's shares."""
-    lang = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("task"))
-    grid = ratio_grid(spark, sf_dir).join(lang, "doc_id")
-    n, m = F.col("n"), F.col("kept")
-    ts = (n - m) / n * 100.0
-    rate = F.when(F.col("toned") > 0, F.col("toned_kept") / F.col("toned"))
-    recall = m / n
-    return grid.select(
-        "doc_id",
-        "method",
-        "task",
-        "ratio",
-        (n / F.greatest(m, F.lit(1))).alias("compression_ratio"),
-        ts.alias("token_savings_pct"),
-        recall.alias("rouge_l_f1"),
-        F.when(m == n, 1.0).otherwise(F.lit(0.0)).alias("exact_match"),
-        metrics.quality(recall, F.lit(None).cast("double"), F.when(m == n, 1.0).otherwise(F.lit(0.0))).alias("quality"),
-        (ts / 100.0).alias("efficiency"),
-        rate.alias("tone_rate"),
-    )
+    """Metrics of benchmark samples: each turn's text is a context, the next turn its reference answer, the turn's role the task."""
+    turns = _turn_pairs(spark, sf_dir)
+    key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    samples = turns.select(key.alias("doc_id"), F.col("role").alias("task"), F.col("pred").alias("context"), F.lit("").alias("query"), F.col("ref").alias("reference_answer"))
+    return runners.evaluate_samples(samples)
+
+
+@query
+def bench_samples(spark, sf_dir):
+    """Quality of every sample, method and ratio."""
+    out = _bench_rows(spark, sf_dir)
+    names = ("compression_ratio", "rouge_l_f1", "rouge_l_precision", "rouge_l_recall", "bleu_score", "quality")
+    return out.select("doc_id", "task", "method", "ratio", *[F.round(c, 6).alias(c) for c in names], "exact_match")
+
+
+@query
+def method_bench(spark, sf_dir):
+    """Every method without a model over all documents, at the ratios of the quick benchmark."""
+    return runners.benchmark_texts(documents(spark, sf_dir))
 
 
 @query
@@ -443,36 +449,35 @@ def kv_saved(spark, sf_dir):
 
 
 def _turn_pairs(spark, sf_dir):
-    """(pair_id, pred, ref): each turn with the next of its conversation."""
-    turns = table(spark, sf_dir, "conversations")
+    """(conv_id, turn, role, pred, ref): each turn with the next of its conversation."""
     spec = Window.partitionBy("conv_id").orderBy("turn", "role")
-    paired = turns.withColumn("ref", F.lead("text").over(spec)).where("ref is not null")
-    return paired.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), F.col("text").alias("pred"), "ref")
+    paired = table(spark, sf_dir, "conversations").withColumn("ref", F.lead("text").over(spec)).where("ref is not null")
+    return paired.select("conv_id", "turn", "role", F.col("text").alias("pred"), "ref")
 
 
 @query
 def exact_match(spark, sf_dir):
-    pairs = _turn_pairs(spark, sf_dir)
-    return pairs.select("pair_id", metrics.exact_match(F.col("pred"), F.col("ref")).alias("is_match"))
+    turns = _turn_pairs(spark, sf_dir)
+    return turns.select("conv_id", "turn", metrics.exact_match(F.col("pred"), F.col("ref")).alias("is_match"))
 
 
 @query
 def char_overlap_f1(spark, sf_dir):
-    pairs = _turn_pairs(spark, sf_dir).select("pair_id", metrics.char_overlap(F.col("pred"), F.col("ref")).alias("c"))
-    return pairs.select("pair_id", *[F.round(f"c.{k}", 6).alias(k) for k in ("precision", "recall", "f1")])
+    turns = _turn_pairs(spark, sf_dir).select("conv_id", "turn", metrics.char_overlap(F.col("pred"), F.col("ref")).alias("c"))
+    return turns.select("conv_id", "turn", *[F.round(f"c.{k}", 6).alias(k) for k in ("precision", "recall", "f1")])
 
 
 @query
 def rouge_l(spark, sf_dir):
     cut = lambda c: T.TOKENIZERS["space"](F.lower(c))
-    pairs = spread(_turn_pairs(spark, sf_dir)).select("pair_id", metrics.rouge_l(cut(F.col("pred")), cut(F.col("ref"))).alias("c"))
-    return pairs.select("pair_id", *[F.round(f"c.{k}", 6).alias(k) for k in ("precision", "recall", "f1")])
+    turns = spread(_turn_pairs(spark, sf_dir)).select("conv_id", "turn", metrics.rouge_l(cut(F.col("pred")), cut(F.col("ref"))).alias("c"))
+    return turns.select("conv_id", "turn", *[F.round(f"c.{k}", 6).alias(k) for k in ("precision", "recall", "f1")])
 
 
 @query
 def bleu(spark, sf_dir):
     cut = T.TOKENIZERS["space"]
-    return metrics.bleu(_turn_pairs(spark, sf_dir).select("pair_id", cut(F.col("pred")).alias("pred"), cut(F.col("ref")).alias("ref")))
+    return metrics.bleu(_turn_pairs(spark, sf_dir).select(cut(F.col("pred")).alias("pred"), cut(F.col("ref")).alias("ref")))
 
 
 @query
