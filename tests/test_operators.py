@@ -1,15 +1,17 @@
 """Worked values, properties and awkward rows of the compression operators."""
 
 import json
+import math
+import random
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from tokensieve import lexicon
-from tokensieve.functions import tone, words
+from tokensieve.functions import pairs, tone, words
 from tokensieve.functions.rowwise import let
-from tokensieve.operators import dataset, methods, metrics, scores, segment, select
+from tokensieve.operators import dataset, methods, metrics, runners, scores, segment, select
 from tokensieve.operators import tokens as T
 from tokensieve.sources import tables
 from tokensieve.streaming import stream
@@ -182,10 +184,10 @@ def test_metric_scalars(spark):
 
 
 def test_bleu_of_equal_texts(spark):
-    pairs = spark.createDataFrame([(1, list("abcdef"), list("abcdef"))], "pair_id long, pred array<string>, ref array<string>")
-    assert metrics.bleu(pairs).first().bleu == 1.0
-    pairs = spark.createDataFrame([(1, list("ab"), list("cd"))], "pair_id long, pred array<string>, ref array<string>")
-    assert metrics.bleu(pairs).first().bleu == 0.0
+    same = spark.createDataFrame([(1, list("abcdef"), list("abcdef"))], "pair_id long, pred array<string>, ref array<string>")
+    assert metrics.bleu(same).first().bleu == 1.0
+    other = spark.createDataFrame([(1, list("ab"), list("cd"))], "pair_id long, pred array<string>, ref array<string>")
+    assert metrics.bleu(other).first().bleu == 0.0
 
 
 def test_training_rows(spark, edges):
@@ -227,3 +229,61 @@ def test_let_and_plan(spark, sf_dir):
     plan = select.assemble(methods.tone_only(T.tokens(docs)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "source" not in plan
     assert "Exchange" not in stream.compress_rows(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_common_subsequence_and_grams():
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 90))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(new[-1], row[j + 1]))
+            row = new
+        assert pairs.lcs(a, b) == row[-1]
+    assert pairs.clipped("aab", "abab", 1) == (3, 3) and pairs.clipped("aab", "ab", 2) == (1, 2) and pairs.clipped("a", "a", 2) == (0, 0)
+
+
+def test_sentence_bleu(spark):
+    made = [("a b c d e".split(), "a b c d e".split(), 1.0), ("a b c d".split(), "a b c x".split(), (3 / 4 * 2 / 3 * 1 / 2 * 1 / 2) ** 0.25), ("a b c d".split(), "z z z z".split(), 0.0)]
+    made += [("a x b y".split(), "a b a b a b".split(), (2 / 4 * 1 / (2 * 3) * 1 / (4 * 2) * 1 / (8 * 1)) ** 0.25 * math.exp(1 - 6 / 4)), ("a b".split(), "a b".split(), 0.0), ([], ["a"], 0.0)]
+    df = spark.createDataFrame(made, "p array<string>, r array<string>, want double").withColumn("o", pairs.overlap(F.col("p"), F.col("r")))
+    got = df.select("want", metrics.sentence_bleu(F.col("o.hits"), F.col("o.totals"), F.size("p"), F.size("r")).alias("got")).collect()
+    assert all(math.isclose(r.got, r.want, abs_tol=1e-12) for r in got)
+
+
+def test_runners(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    one = {r.method: r for r in runners.compress_text(spark, text).collect()}
+    assert set(one) == set(methods.NO_MODEL) and one["first"].compressed_text == " ".join([*text.split()[:8], "w38", "w39"]) and one["first"].compressed_length == 10
+    got = runners.evaluate_sample(spark, text, "what?", "w0 w1 w38 w39", "first", 10.0).first()
+    assert got.answer == "w0 w1 w38 w39" and got.exact_match == 1.0 and got.rouge_l_f1 == 1.0 and got.bleu_score == 1.0 and got.quality == 1.0 and got.processing_time_ms > 0
+    asked = runners.evaluate_sample(spark, text, "what?", "what? w0", "first", 10.0, generate=lambda c, q: F.concat_ws(" ", q, F.substring_index(c, " ", 1))).first()
+    assert asked.answer == "what? w0" and asked.exact_match == 1.0 and asked.bleu_score == 0.0
+    names = [r.name for r in runners.benchmark_texts(spark.createDataFrame([(1, text)], "doc_id long, text string"), ("first", "none")).orderBy("name").collect()]
+    assert names == [f"{m}@{r}x" for m in ("first", "none") for r in (2.0, 4.0, 6.0, 8.0)]
+    with pytest.raises(ValueError):
+        methods.evaluate(spark.createDataFrame([], "doc_id long, pos int, tok string, n int"), ("snapkv",))
+
+
+def test_timed_cells(spark):
+    samples = spark.createDataFrame([(i, "qa", " ".join(f"w{j}" for j in range(30 + i)), "q", "w0 w1") for i in range(4)], "doc_id long, task string, context string, query string, reference_answer string")
+    rows = runners.timed(samples, lambda m, r: runners.evaluate_samples(samples, (m,), (r,)), ("first", "combined"), (2.0,))
+    cells = metrics.cells(rows).collect()
+    assert len(cells) == 2 and all(c.mean_processing_time_ms > 0 and c.num_samples == 4 and c.mean_rouge_l_f1 > 0 for c in cells)
+
+
+def test_rescored_behind_a_removed_token(spark):
+    toks = T.tokens(spark.createDataFrame([(1, "a b a c a b"), (2, "c b")], "doc_id long, text string"))
+    scored = scores.ngram_surprisal(toks)
+    got = [r.surprisal for r in scores.rescored(scored.where("not (doc_id = 1 and pos in (2, 3))"), toks).where("doc_id = 1").orderBy("pos").collect()]
+    want = [0.0, -math.log(3 / 6), -math.log(2 / 4), -math.log(3 / 6)]  # b after a: 2 of 3; a after b: 1 of 1; vocabulary of 3
+    assert all(math.isclose(a, b, abs_tol=1e-6) for a, b in zip(got, want)) and len(got) == 4
+
+
+def test_training_batches_pad(spark):
+    rows = spark.createDataFrame([(0, ["a"], ["a", "b"], [1, 0]), (3, ["c", "d"], ["c", "d", "e"], [0, 0, 2]), (9, ["x"], ["x"], [0])], "doc_id long, input_tokens array<string>, labels array<string>, tone_labels array<int>")
+    got = dataset.batches(rows, 8, fill="<pad>").orderBy("batch").collect()
+    assert got[0].doc_ids == [0, 3] and got[0].input_tokens == [["a", "<pad>"], ["c", "d"]] and got[0].attention == [[1, 0], [1, 1]]
+    assert got[0].labels == [["a", "b", "-100"], ["c", "d", "e"]] and got[0].tone_labels == [[1, 0, 0], [0, 0, 2]] and got[1].labels == [["x"]]

@@ -114,3 +114,16 @@ def is_vietnamese(text: Column, threshold: float = 0.10) -> Column:
     letters = F.length(F.regexp_replace(text, r"\P{L}", ""))
     own = F.length(F.regexp_replace(text, f"[^{VIETNAMESE}]", ""))
     return F.coalesce(F.when(letters > 0, own / letters >= threshold), F.lit(False))
+
+
+def analysis(tok: Column, tone_id: Column, rho: Column, nu: Column, weight: Column) -> Column:
+    """The full analysis of a token as one struct; weight is its preservation weight times its contrast."""
+    present = F.transform(F.filter(F.split(tone_marks(tok), ""), lambda c: c != ""), lambda c: tone_name(c.cast("int")))
+    return F.struct(
+        tok.alias("token"),
+        present.alias("tones_present"),
+        tone_name(tone_id).alias("dominant_tone"),
+        rho.alias("tone_density"),
+        nu.cast("int").alias("tone_variety"),
+        weight.alias("preservation_weight"),
+    )

@@ -39,6 +39,28 @@ def pad(array: Column, length: int, value) -> Column:
     return F.slice(F.concat(array, F.array_repeat(F.lit(value), length)), 1, length)
 
 
+def batches(rows: DataFrame, size: int = 8, fill: str = "", ignore: str = "-100") -> DataFrame:
+    """(batch, doc_ids, input_tokens, attention, labels, tone_labels): training rows padded to the longest of their batch.
+
+    A batch is the rows of ``size`` consecutive doc_ids.  Inputs are padded
+    by fill, labels by ignore, tones by 0; attention is 1 where an input
+    isn't padding.
+    """
+    batch = F.floor(F.col("doc_id") / size).alias("batch")
+    row = F.struct("doc_id", "input_tokens", "labels", "tone_labels")
+    held = rows.groupBy(batch).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    longest = lambda c: F.array_max(F.transform("rows", lambda x: F.size(x[c])))
+    sized = held.withColumns({"m": longest("input_tokens"), "n": longest("labels")})
+    padded = lambda c, length, value: F.transform("rows", lambda x: _padded(x[c], F.col(length), value)).alias(c)
+    ones = F.transform("rows", lambda x: _padded(F.transform(x["input_tokens"], lambda _: F.lit(1)), F.col("m"), 0)).alias("attention")
+    ids = F.transform("rows", lambda x: x["doc_id"]).alias("doc_ids")
+    return sized.select("batch", ids, padded("input_tokens", "m", fill), ones, padded("labels", "n", ignore), padded("tone_labels", "n", 0))
+
+
+def _padded(array: Column, length: Column, value) -> Column:
+    return F.concat(array, F.array_repeat(F.lit(value), length - F.size(array)))
+
+
 def tone_loss(rows: DataFrame, weight: float = 0.1) -> DataFrame:
     """One row: masked mean of -ln p, of (p, mask), times the weight."""
     total = F.sum(-F.ln("p") * F.col("mask")) / (F.sum("mask") + F.lit(1e-8))

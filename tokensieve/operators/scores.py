@@ -101,3 +101,11 @@ def layer_budgets(layers: int, budget: int, pyramid: bool = True, alpha: float =
         return [budget // layers] * layers
     share = [1.0 - alpha * i / layers for i in range(layers)]
     return [max(1, int(budget * s / sum(share))) for s in share]
+
+
+def layer_budget_array(budget: Column, layers: int, pyramid: bool = True, alpha: float = 0.3) -> Column:
+    """layer_budgets() of a column's budget, as an array."""
+    if not pyramid:
+        return F.array_repeat(F.floor(budget / layers).cast("int"), layers)
+    share = [1.0 - alpha * i / layers for i in range(layers)]
+    return F.transform(F.array(*map(F.lit, share)), lambda s: F.greatest(F.lit(1), F.floor(budget * s / F.lit(sum(share))).cast("int")))

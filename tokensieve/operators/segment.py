@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tone, words
 from ..lexicon import MAX_PARTS, SINO_MORPHEMES, WORD_LIST
-from .tokens import by_document
+from .tokens import by_document, tokens
 
 
 def match_lengths(toks: DataFrame) -> DataFrame:
@@ -37,16 +37,22 @@ def _starts(lengths: Column) -> Column:
     return F.aggregate(lengths, start, step)["out"]
 
 
-def segment(toks: DataFrame) -> DataFrame:
+def segment_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, word_no, start, word) of the white-space tokens of docs (doc_id, text), in lower case."""
+    toks = tokens(docs)
+    return segment(toks.withColumn("tok", F.lower("tok")), clean=False)
+
+
+def segment(toks: DataFrame, clean: bool = True) -> DataFrame:
     """(doc_id, word_no, start, word): words in order from tokens (doc_id, pos, tok) of subword pieces.
 
-    Marks of word boundaries are taken off each piece and empty pieces
-    dropped first.  A document's matches are found by windows; only their
+    Marks of word boundaries are taken off each piece, if ``clean``, and
+    empty pieces dropped first.  A document's matches are found by windows; only their
     overlaps are resolved in one fold over the document's lengths, in
     blocks between tokens that no longer match can cross.
     """
-    clean = toks.withColumn("tok", words.clean_piece(F.col("tok"))).where("tok <> ''")
-    placed = clean.withColumn("pos", F.row_number().over(by_document()) - 1)
+    pieces = toks.withColumn("tok", words.clean_piece(F.col("tok"))) if clean else toks
+    placed = pieces.where("tok <> ''").withColumn("pos", F.row_number().over(by_document()) - 1)
     sized = match_lengths(placed)
     # A place is free where no earlier match reaches; blocks of matches that touch are folded alone.
     reach = F.max(F.col("pos") + F.col("len")).over(by_document().rowsBetween(-MAX_PARTS, -1))

@@ -70,3 +70,10 @@ def with_class(toks: DataFrame) -> DataFrame:
 def features(toks: DataFrame) -> DataFrame:
     """Every feature of each token."""
     return with_class(with_contrast(with_tone(toks)))
+
+
+def analyse(toks: DataFrame) -> DataFrame:
+    """Adds analysis: tones present, dominant tone, density, variety and preservation weight among the neighbours, as one struct."""
+    made = with_contrast(with_tone(toks))
+    found = tone.analysis(F.col("tok"), F.col("tone_id"), F.col("density"), F.col("variety"), F.col("tone_score"))
+    return made.withColumn("analysis", found).select(*toks.columns, "analysis")

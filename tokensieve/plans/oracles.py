@@ -284,6 +284,14 @@ me AS (SELECT doc_id, head, q_pos, k_pos, avg(w) AS w FROM attn JOIN ly USING (d
 im AS (SELECT doc_id, head, k_pos, sum(w) AS importance FROM me GROUP BY ALL)"""
 _KEEP_ALL = _with(_TOKS, "kept AS (SELECT * FROM toks)")
 
+_TRAINING = (
+    _TOKS,
+    _TONED_CTE,
+    "t1 AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS c FROM tw WHERE pos < 512)",
+    "t2 AS (SELECT *, greatest(floor(c / 4.0::DOUBLE)::INT, 1) AS goal, pos < 2 OR pos >= c - 2 AS is_edge FROM t1 WHERE c >= 10)",
+    f"t3 AS (SELECT *, CASE WHEN goal <= 4 THEN pos < goal ELSE is_edge OR row_number() OVER (PARTITION BY doc_id, is_edge ORDER BY {_SEED}) <= goal - 4 END AS keep FROM t2)",
+)
+
 ORACLES: dict[str, str] = {
     "tok_stats": _with(_TOKS, select="SELECT doc_id, count(*) AS n_tokens, sum(length(tok))::BIGINT AS n_chars, max(length(tok))::INT AS longest FROM toks GROUP BY doc_id"),
     "tone_features": _with(
@@ -292,6 +300,12 @@ ORACLES: dict[str, str] = {
         _TONED_CTE,
         select=f"SELECT tok, n_used, tone_id, ([{_list(TONES)}])[tone_id + 1] AS tone, round(density, 9) AS density, variety::INT AS variety, round(w_tone, 9) AS w_tone FROM tw",
     ),
+    "token_analysis": _with(
+        _TOKS,
+        _TONE,
+        f"ta AS (SELECT tok AS token, array_to_string(list_transform(list_filter(string_split(m, ''), lambda c: c <> ''), lambda c: ([{_list(TONES)}])[c::INT + 1]), ',') AS tones_present, ([{_list(TONES)}])[tone_id + 1] AS dominant_tone, round(density, 9) AS tone_density, variety::INT AS tone_variety, round(tone_score, 6) AS preservation_weight FROM ts)",
+        select="SELECT *, count(*) AS n_used FROM ta GROUP BY ALL",
+    ),
     "tone_sequence": f"SELECT doc_id, md5({_DIGITS}) AS digits_md5, length(regexp_replace({_DIGITS}, '0', '', 'g'))::INT AS n_toned FROM documents",
     "tone_contrast": _with(_TOKS, _TONE, select="SELECT doc_id, round(avg(contrast), 6) AS mean_contrast, round(max(contrast), 6) AS max_contrast, round(sum(tone_score), 4) AS sum_score FROM ts GROUP BY doc_id"),
     "is_vietnamese": f"SELECT doc_id, {_is_vi('substr(text, 1, 500)')} AS by_prefix, {_is_vi('text')} AS by_text FROM documents",
@@ -307,6 +321,9 @@ ORACLES: dict[str, str] = {
     "critical_urls": f"SELECT page_id, {_critical('url')} AS is_critical FROM pages",
     "sino_compounds": f"SELECT c AS compound, {_sino('c')} AS is_sino FROM (SELECT a || '_' || b AS c FROM unnest([{_list(SINO_MORPHEMES)}]) x(a), unnest([{_list(SINO_MORPHEMES)}]) y(b) WHERE a <> b) WHERE length(c) >= 6",
     "word_segment": _recursive(_with(_LEX, _SEGMENT, select="SELECT doc_id, count(*) AS n_words, count_if(contains(word, '_')) AS n_joined, sum(start * (length(word) + 1))::BIGINT AS checksum FROM sg GROUP BY doc_id")),
+    "segment_text": _recursive(
+        _with(_TOKS, _SEGMENT.replace(f"{_CLEAN} AS tok", "lower(tok) AS tok"), select="SELECT doc_id, count(*) AS n_words, sum((word_no + 1) * length(word))::BIGINT AS checksum FROM sg GROUP BY doc_id")
+    ),
     "align_spans": _recursive(
         _with(
             _LEX,
@@ -491,6 +508,16 @@ ORACLES: dict[str, str] = {
         "tp AS (SELECT doc_id, count_if(length(m) > 0) AS toned_tokens, sum(CASE WHEN k THEN length(m) END)::BIGINT AS toned_chars_kept, count_if(k AND length(m) > 0) AS toned_tokens_kept FROM kp GROUP BY doc_id)",
         select="SELECT *, round(CASE WHEN toned_tokens > 0 THEN toned_chars_kept::DOUBLE / toned_tokens ELSE 1 END, 6) AS tone_char_token_rate, round(CASE WHEN toned_tokens > 0 THEN toned_tokens_kept::DOUBLE / toned_tokens ELSE 1 END, 6) AS tone_token_rate FROM tp",
     ),
+    "speedup": _with(
+        _TOKS, _TONE, _top("ts", "tone_score"), "sl AS (SELECT doc_id, max(n)::DOUBLE AS n, count(*)::DOUBLE AS m FROM kept GROUP BY 1)", select="SELECT doc_id, round((n + 32 * (20 + n * 0.001::DOUBLE)) / (m + 32 * (20 + m * 0.001::DOUBLE)), 6) AS speedup FROM sl"
+    ),
+    "layer_budgets": _with(
+        _TOKS,
+        "bg AS (SELECT doc_id, greatest(floor(count(*) / 4.0::DOUBLE)::INT, 32) AS g FROM toks GROUP BY 1)",
+        "sh AS (SELECT i, 1.0::DOUBLE - 0.3::DOUBLE * i / 32 AS s FROM range(32) r(i))",
+        "lb AS (SELECT doc_id, g, i, greatest(1, floor(g * s / (SELECT sum(s ORDER BY i) FROM sh))::INT) AS b FROM bg, sh)",
+        select="SELECT doc_id, max(b) FILTER (i = 0) AS first, max(b) FILTER (i = 31) AS last, sum(b)::INT AS total, max(g) // 32 AS even FROM lb GROUP BY doc_id",
+    ),
     "kv_saved": _with(_TOKS, _kept("toks", "pos"), select="SELECT doc_id, (max(n) - count(*)) * 16384 AS kv_bytes_saved, max(n)::BIGINT * 524288 AS kv_cache_bytes FROM kept GROUP BY doc_id"),
     "exact_match": _with(_TURNS, select="SELECT conv_id, turn, lower(trim(pred)) = lower(trim(ref)) AS is_match FROM pairs"),
     "char_overlap_f1": _with(
@@ -527,13 +554,16 @@ ORACLES: dict[str, str] = {
         select="SELECT round(coalesce(avg(t), 1), 6) AS mean_tir, round(coalesce(min(t), 1), 6) AS min_tir, round(coalesce(max(t), 1), 6) AS max_tir, round(coalesce(stddev_samp(t), 0), 6) AS std_tir FROM ti",
     ),
     "training_dataset": _with(
-        _TOKS,
-        _TONED_CTE,
-        "t1 AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS c FROM tw WHERE pos < 512)",
-        "t2 AS (SELECT *, greatest(floor(c / 4.0::DOUBLE)::INT, 1) AS goal, pos < 2 OR pos >= c - 2 AS is_edge FROM t1 WHERE c >= 10)",
-        f"t3 AS (SELECT *, CASE WHEN goal <= 4 THEN pos < goal ELSE is_edge OR row_number() OVER (PARTITION BY doc_id, is_edge ORDER BY {_SEED}) <= goal - 4 END AS keep FROM t2)",
+        *_TRAINING,
         select="SELECT doc_id, max(c)::INT AS original_length, count_if(keep)::INT AS compressed_length, md5(string_agg(tok, ' ' ORDER BY pos)) AS labels_md5, string_agg(tone_id::VARCHAR, '' ORDER BY pos) AS tone_labels, md5(string_agg(tok, ' ' ORDER BY pos) FILTER (keep)) AS input_md5 FROM t3 GROUP BY doc_id",
     ),
+    "training_batches": _with(
+        *_TRAINING,
+        "tr AS (SELECT doc_id, doc_id // 8 AS batch, list(tok ORDER BY pos) FILTER (keep) AS i, list(tok ORDER BY pos) AS l, list(tone_id::VARCHAR ORDER BY pos) AS t FROM t3 GROUP BY doc_id)",
+        "tl AS (SELECT *, max(len(i)) OVER (PARTITION BY batch) AS m, max(len(l)) OVER (PARTITION BY batch) AS n FROM tr)",
+        "td AS (SELECT *, " + ", ".join(f"array_to_string(list_concat({x}, list_transform(range({w} - len({y})), lambda _: '{v}')), ' ') AS {z}" for z, x, y, w, v in (("pi", "i", "i", "m", ""), ("pa", "list_transform(i, lambda _: '1')", "i", "m", "0"), ("pl", "l", "l", "n", "-100"), ("pt", "t", "t", "n", "0"))) + " FROM tl)",
+        select="SELECT batch, count(*)::INT AS n_rows, max(m)::INT AS input_width, max(n)::INT AS label_width, " + ", ".join(f"md5(string_agg({c}, '|' ORDER BY doc_id)) AS {k}" for c, k in (("pi", "input_md5"), ("pa", "attention_md5"), ("pl", "labels_md5"), ("pt", "tones_md5"))) + " FROM td GROUP BY batch",
+    ),
     "tone_loss": _with(
         _TOKS, _TONED_CTE, select="SELECT round(0.1::DOUBLE * (sum(-ln(1.0::DOUBLE / (length(tok) + 1)) * (tone_id > 0)::INT::DOUBLE) / (sum((tone_id > 0)::INT::DOUBLE) + 1e-8::DOUBLE)), 6) AS loss FROM tw"
     ),

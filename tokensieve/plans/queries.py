@@ -74,6 +74,14 @@ def tone_features(spark, sf_dir):
     return out.select("tok", "n_used", "tone_id", tone.tone_name(F.col("tone_id")).alias("tone"), F.round("density", 9).alias("density"), F.col("variety").cast("int").alias("variety"), F.round("w_tone", 9).alias("w_tone"))
 
 
+@query
+def token_analysis(spark, sf_dir):
+    """The full analysis of every token, counted by its outcome."""
+    a = T.analyse(_tokens(spark, sf_dir)).select("analysis.*")
+    keys = ["token", F.array_join("tones_present", ",").alias("tones_present"), "dominant_tone", F.round("tone_density", 9).alias("tone_density"), "tone_variety", F.round("preservation_weight", 6).alias("preservation_weight")]
+    return a.groupBy(*keys).agg(F.count("*").alias("n_used"))
+
+
 @query
 def tone_sequence(spark, sf_dir):
     docs = spread(documents(spark, sf_dir))
@@ -170,6 +178,13 @@ def word_segment(spark, sf_dir, toks):
     return words_.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count_if(F.col("word").contains("_")).alias("n_joined"), F.sum(F.col("start") * (F.length("word") + 1)).alias("checksum"))
 
 
+@query
+def segment_text(spark, sf_dir):
+    """Words that the text segmenter makes of each document."""
+    out = segment.segment_text(documents(spark, sf_dir))
+    return out.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.sum((F.col("word_no") + 1) * F.length("word")).alias("checksum"))
+
+
 @query_of_words
 def align_spans(spark, sf_dir, toks):
     counts = toks.groupBy("doc_id").agg(F.max("n").alias("n"))
@@ -448,6 +463,25 @@ def kv_saved(spark, sf_dir):
     return rows.select("doc_id", metrics.kv_bytes(n, m).alias("kv_bytes_saved"), metrics.kv_cache_size(n).alias("kv_cache_bytes"))
 
 
+@query
+def speedup(spark, sf_dir):
+    """Latency before over after compression, by a linear model: a millisecond a prompt token, 20 a generated one of 32 that each read the cache."""
+    rows = compress_tone(spark, sf_dir)
+    prefill = lambda c: F.col(c) * 1.0
+    decode = lambda c: F.lit(32.0) * (F.lit(20.0) + F.col(c) * 0.001)
+    n, m = "original_length", "compressed_length"
+    return rows.select("doc_id", F.round(metrics.speedup(prefill(n), decode(n), prefill(m), decode(m)), 6).alias("speedup"))
+
+
+@query
+def layer_budgets(spark, sf_dir):
+    """Cache budgets of 32 layers for each document's tokens at ratio 4, even and as a pyramid."""
+    goal = F.greatest(F.floor(F.col("n_tokens") / 4).cast("int"), F.lit(32))
+    rows = tok_stats(spark, sf_dir).select("doc_id", scores.layer_budget_array(goal, 32).alias("p"), scores.layer_budget_array(goal, 32, pyramid=False).alias("e"))
+    total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
+    return rows.select("doc_id", F.get("p", F.lit(0)).alias("first"), F.get("p", F.lit(31)).alias("last"), total("p").alias("total"), F.get("e", F.lit(0)).alias("even"))
+
+
 def _turn_pairs(spark, sf_dir):
     """(conv_id, turn, role, pred, ref): each turn with the next of its conversation."""
     spec = Window.partitionBy("conv_id").orderBy("turn", "role")
@@ -499,6 +533,15 @@ def training_dataset(spark, sf_dir):
     return rows.select("doc_id", "original_length", "compressed_length", F.md5(F.array_join("labels", " ").cast("binary")).alias("labels_md5"), F.array_join("tone_labels", "").alias("tone_labels"), F.md5(F.array_join("input_tokens", " ").cast("binary")).alias("input_md5"))
 
 
+@query
+def training_batches(spark, sf_dir):
+    """Padded batches of training rows, as digests."""
+    out = dataset.batches(dataset.training_rows(_tokens(spark, sf_dir)))
+    digest = lambda c: F.md5(F.array_join(F.transform(c, lambda x: F.array_join(x, " ")), "|").cast("binary"))
+    width = lambda c: F.size(F.get(c, F.lit(0)))
+    return out.select("batch", F.size("doc_ids").alias("n_rows"), width("input_tokens").alias("input_width"), width("labels").alias("label_width"), digest("input_tokens").alias("input_md5"), digest("attention").alias("attention_md5"), digest("labels").alias("labels_md5"), digest("tone_labels").alias("tones_md5"))
+
+
 @query
 def tone_loss(spark, sf_dir):
     """Loss over all tokens with a probability from each token's length, toned tokens unmasked."""
