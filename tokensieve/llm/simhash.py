@@ -23,10 +23,18 @@ Only distinct fingerprints enter the grids, so any number of exact copies
 is one row.  A cell is searched breadth first and gives the edges of a
 spanning forest, at most one for each of its rows: no pair list is made,
 and connectivity is exact.
+
+Documents of a similarity (Jaccard index of their word shingles) differ in
+more bits than such grids can afford: 0.8 is about ten of 64.  similar_texts
+therefore takes sketches of 128 bits and grids of single-bit segments
+chosen by hash, as many as meet any such pair with probability ``recall``;
+sketches in reach become candidate edges of three least-distance spanning
+forests, and every edge that could join two groups is verified on the shingles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -44,30 +52,64 @@ _CHUNK = 1 << 16
 #: Cells of up to so many rows are searched only if a pair in them is within reach.
 _SMALL = 64
 _CELL = "cell long, mask long, fp long"
+#: Spanning forests of edges to verify that a cell gives.
+_FORESTS = 3
+#: Make two words of a sketch from one hash.
+_SEEDS = mix(np.array([1, 2], np.uint64))
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """Unsigned fingerprint: bit b is set if it is set in more than half of the shingles' XXH64.
+def _shingles(text: str | None, size: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of each shingle of a text's words, some at a time; words are lower-cased in A-Z only.
 
-    Words are lower-cased in A-Z only; a text with fewer words than a
-    shingle is one shingle; no words (or null) give zero.
+    A text with fewer words than a shingle is one shingle; no words (or
+    null) give none.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     body = b" ".join(words)
-    size = min(shingle, len(words))
+    size = min(size, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - size + 1].tolist()
     ends = ends[size - 1 :].tolist()
     h = xxhash.xxh64_intdigest
-    counts, n = np.zeros(64, np.int64), len(starts)
-    for at in range(0, n, _CHUNK):
-        part = np.array([h(body[s:e], 42) for s, e in zip(starts[at : at + _CHUNK], ends[at : at + _CHUNK])], dtype="<u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    for at in range(0, len(starts), _CHUNK):
+        yield np.array([h(body[s:e], 42) for s, e in zip(starts[at : at + _CHUNK], ends[at : at + _CHUNK])], dtype="<u8")
+
+
+def _bit_counts(words: np.ndarray) -> np.ndarray:
+    """How many rows of 64-bit words have each bit, lowest first."""
+    return np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """Unsigned fingerprint: bit b is set if it is set in more than half of the shingles' XXH64; no words (or null) give zero."""
+    counts, n = np.zeros(64, np.int64), 0
+    for part in _shingles(text, shingle):
+        counts, n = counts + _bit_counts(part.reshape(-1, 1)), n + len(part)
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The text's distinct shingle hashes, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_shingles(text, shingle)]))
+
+
+def sketch(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Two 64-bit words: the majority of each bit over hashes of 128 bits of the text's distinct shingles."""
+    hashes = shingle_set(text, shingle)
+    counts = np.zeros(128, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        counts += _bit_counts(mix(hashes[at : at + _CHUNK, None] ^ _SEEDS))
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
+
+
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard index of two sorted sets; 1 for two empty ones."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
 def unary(fp: np.ndarray) -> np.ndarray:
     """The embedding of each fingerprint, every segment's popcount in unary."""
     odd = np.uint64(0x5555555555555555)
@@ -270,18 +312,12 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks
     return fps.join(named, "fp").select("doc_id", "text_hash", "fp", F.col("first.doc_id").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, null_ids_stay: bool = True, **options) -> DataFrame:
-    """One row of each component: the smallest doc_id, then text hash, then the other columns.
-
-    Rows with a null doc_id all stay besides; without ``null_ids_stay`` they
-    are rows like others, that come after every doc_id.
-    """
-    fps, named = _grouped(docs, **options)
+def _first_rows(docs: DataFrame, named: DataFrame, null_ids_stay: bool = False) -> DataFrame:
+    """The rows of docs that are the first of their group; named: (doc_id, text_hash, first) of every row."""
     first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    keys = fps.join(named, "fp").groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"), first.alias("_first")).agg(F.count("*").alias("_n"))
+    keys = named.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"), first.alias("_first")).agg(F.count("*").alias("_n"))
     keys = keys.where("_doc is not null") if null_ids_stay else keys
     gone = store(keys.where("not _first or _n > 1").select("_doc", "_text", "_first"))
-    release(fps, named)
 
     def same(other: DataFrame):
         return docs["doc_id"].cast("long").eqNullSafe(other["_doc"]) & (F.xxhash64(docs["text"]) == other["_text"])
@@ -291,3 +327,255 @@ def drop_near_duplicates(docs: DataFrame, null_ids_stay: bool = True, **options)
     copies = docs.join(again, same(again)).select(F.struct("_doc", "_text").alias("_key"), F.struct(*[docs[c] for c in names]).alias("_row"))
     once = copies.groupBy("_key").agg(F.min("_row").alias("_row")).select("_row.*")
     return docs.join(gone, same(gone), "left_anti").unionByName(once)
+
+
+def drop_near_duplicates(docs: DataFrame, null_ids_stay: bool = True, **options) -> DataFrame:
+    """One row of each component: the smallest doc_id, then text hash, then the other columns.
+
+    Rows with a null doc_id all stay besides; without ``null_ids_stay`` they
+    are rows like others, that come after every doc_id.
+    """
+    fps, named = _grouped(docs, **options)
+    out = _first_rows(docs, fps.join(named, "fp"), null_ids_stay)
+    release(fps, named)
+    return out
+
+
+def bit_difference(similarity: float) -> float:
+    """Expected share of differing bits of the sketches of two texts of a Jaccard similarity, by the angle between their shingle sets."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def grids_for(rows: int, similarity: float, recall: float, mates: int = 8) -> tuple[int, int]:
+    """(bits of a grid's cell, grids): cells hold about ``mates`` unrelated sketches, and a pair shares one with probability recall."""
+    bits = min(max(8, math.ceil(math.log2(max(rows, 1) / mates)) if rows > mates else 8), 60)
+    chance = (1 - bit_difference(similarity)) ** bits
+    return bits, math.ceil(math.log(1 - recall) / math.log1p(-chance))
+
+
+def reach_of(similarity: float) -> int:
+    """The differing bits of 128 within which all but one in 10,000 pairs of the similarity are."""
+    p = bit_difference(similarity)
+    return math.ceil(128 * p + 3.75 * math.sqrt(128 * p * (1 - p)))
+
+
+def forest(sketches: np.ndarray, reach: int, times: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, parent, distance) of least-distance spanning forests of the rows within reach, each of edges that the ones before left.
+
+    Distances estimate similarities, so the first forest alone may hold
+    rows together by edges that don't stand up to verification.
+    """
+    n = len(sketches)
+    used: list[list[int]] = [[i] for i in range(n)]
+    out = []
+    for _ in range(times):
+        best, parent, wait = np.full(n, 999), np.full(n, -1), np.zeros(n, np.int64)
+        for _ in range(n):
+            i = int(np.argmin(best + wait))
+            wait[i] = 10_000
+            far = np.bitwise_count(sketches ^ sketches[i]).sum(axis=1, dtype=np.int64)
+            far[used[i]] = 999
+            near = (wait == 0) & (far <= reach) & (far < best)
+            best[near], parent[near] = far[near], i
+        at = np.flatnonzero(parent >= 0)
+        if not len(at):
+            break
+        out.append((at, parent[at], best[at]))
+        for i, j in zip(at.tolist(), parent[at].tolist()):
+            used[i].append(j)
+            used[j].append(i)
+    none = [np.zeros(0, np.int64)]
+    return tuple(np.concatenate([x[k] for x in out] or none) for k in range(3))
+
+
+def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, text_hash, a, b) of every row: the text's sketch as two signed longs."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.array([sketch(t, shingle) for t in batch.column("text").to_pylist()], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(made[:, 0]), pa.array(made[:, 1])], ["doc_id", "text_hash", "a", "b"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, a long, b long")
+
+
+def _bit_grid(nodes: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """(cell, id, a, b): every node in each grid; chosen has the pair of masks of each."""
+    salt = mix(np.arange(1, len(chosen) + 1, dtype=np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                ids, a, b = (batch.column(c).slice(at, 2048).to_numpy() for c in ("id", "a", "b"))
+                cell = mix(mix((a.view(np.uint64)[:, None] & chosen[:, 0]) ^ salt) ^ (b.view(np.uint64)[:, None] & chosen[:, 1]))
+                cols = [cell.ravel().view(np.int64), *(np.repeat(c, len(chosen)) for c in (ids, a, b))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["cell", "id", "a", "b"])
+
+    return nodes.select("id", "a", "b").mapInArrow(run, "cell long, id long, a long, b long")
+
+
+def _forests(grid: DataFrame, reach: int) -> DataFrame:
+    """(u, v, d): the forests' edges of each cell, u < v, each once; d is the sketches' distance."""
+
+    def found(cell: np.ndarray, ids: np.ndarray, sk: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        size = np.diff(np.append(first, len(cell)))
+        owner = np.repeat(np.arange(len(size)), size)
+        linked = size > _SMALL
+        few = np.flatnonzero(np.repeat((size > 1) & ~linked, size))
+        o, s = owner[few], sk[few]
+        for off in range(1, _SMALL):
+            at = np.flatnonzero(o[off:] == o[:-off])
+            if not len(at):
+                break
+            near = np.bitwise_count(s[at] ^ s[at + off]).sum(axis=1, dtype=np.int64) <= reach
+            linked[o[at[near]]] = True
+        rows = [np.zeros((0, 3), np.int64)]
+        for start, n in zip(first[linked].tolist(), size[linked].tolist()):
+            i, j, d = forest(sk[start : start + n], reach, _FORESTS)
+            u, v = ids[start + i], ids[start + j]
+            rows.append(np.stack([np.minimum(u, v), np.maximum(u, v), d], axis=1))
+        pairs = np.unique(np.concatenate(rows), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(3)], ["u", "v", "d"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # the last cell, which may go on in the next batch
+        for batch in batches:
+            cell, ids, a, b = (batch.column(c).to_numpy() for c in ("cell", "id", "a", "b"))
+            if not len(cell):
+                continue
+            part = (cell, ids, np.stack([a, b], axis=1).view(np.uint64))
+            start = int(np.flatnonzero(cell == cell[-1])[0])
+            if start or held and held[0][0][0] != cell[0]:
+                held.append(tuple(x[:start] for x in part))
+                yield found(*(np.concatenate(x) for x in zip(*held)))
+                held = []
+            held.append(tuple(x[start:] for x in part))
+        if held:
+            yield found(*(np.concatenate(x) for x in zip(*held)))
+
+    dealt = grid.repartition("cell").sortWithinPartitions("cell", "id")
+    return dealt.mapInArrow(run, "u long, v long, d long").distinct()
+
+
+def _choices(bits: int, grids: int, seed: int) -> np.ndarray:
+    """Masks (two words a grid) of ``bits`` of 128 bits each, drawn by a fixed seed."""
+    drawn = np.argsort(np.random.default_rng(seed).random((grids, 128)), axis=1)[:, :bits]
+    flags = np.zeros((grids, 128), np.uint8)
+    np.put_along_axis(flags, drawn, 1, axis=1)
+    return np.packbits(flags, axis=1, bitorder="little").view("<u8").astype(np.uint64)
+
+
+def candidate_edges(nodes: DataFrame, similarity: float = 0.8, recall: float = 0.99, cell_rows: int = 1 << 13) -> DataFrame:
+    """A stored table (u, v, d) of edges between the nodes (id, a, b) whose sketches are near enough for the similarity.
+
+    They span, with probability recall for each pair, what such pairs join.
+    Cells of more than cell_rows rows are dealt over grids of more bits.
+    """
+    reach, level = reach_of(similarity), 0
+    bits, grids = grids_for(nodes.count(), similarity, recall)
+    grid, parts, held = _bit_grid(nodes, _choices(bits, grids, 7)), [], []
+    while True:
+        hot = store(grid.groupBy("cell").agg(F.count("*").alias("rows")).where(F.col("rows") > cell_rows).select("cell"))
+        held.append(hot)
+        if level == 6 or hot.isEmpty():
+            parts.append(_forests(grid, reach))
+            break
+        level += 1
+        parts.append(_forests(grid.join(hot, "cell", "left_anti"), reach))
+        more, times = grids_for(1 << 13, similarity, recall, mates=128)
+        dense = grid.join(hot, "cell").withColumnRenamed("cell", "outer")
+        finer = _bit_grid_within(dense, _choices(more, times, 7 + level))
+        grid = store(finer)
+        held.append(grid)
+    edges = parts[0]
+    for p in parts[1:]:
+        edges = edges.unionByName(p)
+    out = store(edges.distinct() if len(parts) > 1 else edges)
+    release(*held)
+    return out
+
+
+def _bit_grid_within(dense: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """_bit_grid of the rows (outer, id, a, b) of dense cells; rows meet only within their outer cell."""
+    salt = mix(np.arange(1, len(chosen) + 1, dtype=np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                outer, ids, a, b = (batch.column(c).slice(at, 2048).to_numpy() for c in ("outer", "id", "a", "b"))
+                cell = mix(mix((a.view(np.uint64)[:, None] & chosen[:, 0]) ^ salt) ^ (b.view(np.uint64)[:, None] & chosen[:, 1]) ^ mix(outer.view(np.uint64))[:, None])
+                cols = [cell.ravel().view(np.int64), *(np.repeat(c, len(chosen)) for c in (ids, a, b))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["cell", "id", "a", "b"])
+
+    return dense.select("outer", "id", "a", "b").mapInArrow(run, "cell long, id long, a long, b long")
+
+
+def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """A stored table of the edges (u, v) whose texts' shingle sets (id, shingles) are of the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([np.frombuffer(s.as_buffer(), "<u8") for s in batch.column(c)] for c in ("su", "sv"))
+            true = [similarity_of(p, q) >= similarity for p, q in zip(x, y)]
+            yield batch.select(["u", "v"]).filter(pa.array(true, pa.bool_()))
+
+    one = edges.select("u", "v").join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("su")), "u")
+    both = one.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv")), "v").select("u", "v", "su", "sv")
+    return store(both.mapInArrow(run, "u long, v long"))
+
+
+def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.99) -> tuple[DataFrame, DataFrame]:
+    """Two stored tables: (doc_id, text_hash, a, b) of every row of docs (doc_id, text), and (text_hash, a, b, first) of every distinct text.
+
+    first is (no_id, doc_id, text_hash) of the least row, null doc_ids
+    last, that links between texts of the similarity reach.  A text is its
+    64-bit hash and its sketch.
+    """
+    rows = store(_sketches(docs, shingle))
+    least = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_hash")).alias("first")
+    nodes = store(rows.groupBy("text_hash", "a", "b").agg(least).withColumn("id", F.monotonically_increasing_id()))
+    edges = candidate_edges(nodes, similarity, recall)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingle_set(t, shingle).astype("<u8").tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made, pa.binary())], ["id", "shingles"])
+
+    ends = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    wanted = store(nodes.join(ends, "id").select("id", F.col("first.doc_id").alias("_doc"), F.col("first.text_hash").alias("_text")))
+    source = docs.select(F.col("doc_id").cast("long").alias("_own"), F.xxhash64("text").alias("_hash"), "text")
+    texts = source.join(wanted, source["_own"].eqNullSafe(wanted["_doc"]) & (source["_hash"] == wanted["_text"]))
+    sets = store(texts.select("id", "text").mapInArrow(run, "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles")))
+
+    # The nearest edge of each text first: what these join needs no other edge.
+    ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"))
+    near = ways.groupBy("u").agg(F.min(F.struct("d", "v")).alias("to")).select(F.least("u", "to.v").alias("u"), F.greatest("u", "to.v").alias("v")).distinct()
+    links = _verified(near, sets, similarity)
+    joined = connected_components(links)
+    side = lambda x: joined.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    open_ = edges.join(side("u"), "u", "left").join(side("v"), "v", "left").where("not coalesce(cu = cv, false)").select("u", "v")
+    more = _verified(open_.join(near, ["u", "v"], "left_anti"), sets, similarity)
+    release(joined, edges, sets, wanted)
+    joined = connected_components(links.unionByName(more))
+    rooted = store(nodes.join(joined, nodes["id"] == joined["node"], "left").select("text_hash", "a", "b", "first", F.coalesce("component", "id").alias("root")))
+    release(links, more, joined, nodes)
+    least_of = store(rooted.groupBy("root").agg(F.min("first").alias("first")))
+    named = store(rooted.drop("first").join(least_of, "root").select("text_hash", "a", "b", "first"))
+    release(rooted, least_of)
+    return rows, named
+
+
+def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
+    """One row of each group of texts that links of the similarity join: the smallest doc_id, then text hash, then the other columns.
+
+    Null doc_ids come after all others; repeated rows belong to groups like
+    others.  Null and empty texts, and texts without words, are one group.
+    An empty table gives an empty result.
+    """
+    rows, named = similar_texts(docs, shingle, similarity, recall)
+    out = _first_rows(docs, rows.join(named, ["text_hash", "a", "b"]))
+    release(rows, named)
+    return out
