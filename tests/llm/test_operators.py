@@ -154,16 +154,15 @@ def test_token_counts(docs, rows, empty, spark, tmp_path):
     tk = Tokenizer.from_file(path)
     tk.encode_special_tokens = True
     want = collections.Counter((i, len(tk.encode(t or "", add_special_tokens=False).ids)) for i, t, _ in rows)
-    for block in (7, 64, 1 << 18):
-        assert bag(tokens.count_documents(docs, path, block_ids=block).select("doc_id", "n_tokens").collect()) == want
+    for block, run in ((7, 1), (64, 3), (1 << 18, 512)):
+        assert bag(tokens.count_documents(docs, path, block_ids=block, run_blocks=run).select("doc_id", "n_tokens").collect()) == want
     assert tokens.count_documents(empty, path).count() == 0
     with pytest.raises(ValueError):
         tokens.write_flat(docs, path, str(tmp_path), end_id=1 << 16)
 
 
-def test_flat_files(spark, tmp_path, monkeypatch):
+def test_flat_files(spark, tmp_path):
     rng = np.random.default_rng(5)
-    monkeypatch.setattr(tokens, "_GROUP", 3)
     for width, kind in ((2, "<u2"), (4, "<u4")):
         folder = tmp_path / str(width)
         folder.mkdir()
@@ -173,9 +172,8 @@ def test_flat_files(spark, tmp_path, monkeypatch):
             (folder / f"{name}.bin").write_bytes(np.array(ids, kind).tobytes() + b"x" * (name == "d"))
             ends = [i for i, x in enumerate(ids) if x == 9]
             want.update((name, n, s + 1, e - s - 1) for n, (s, e) in enumerate(zip([-1, *ends], ends)))
-        for block in (2, 7, 1000):
-            flat = tokens.read_blocks(spark, f"file://{folder}", width=width, block_ids=block)
-            got = tokens.count_tokens(flat, end_id=9, width=width).collect()
+        for block, run in ((2, 1), (3, 4), (7, 2), (1000, 2)):
+            got = tokens.count_tokens(tokens.list_files(spark, f"file://{folder}", width), end_id=9, width=width, block_ids=block, run_blocks=run).collect()
             assert collections.Counter((r.file[-5], r.ordinal, r.start, r.n_tokens) for r in got) == want
 
 
@@ -828,6 +826,79 @@ def test_simhash_links_all_distances(spark, how):
         assert mates == set(groups[x])
 
 
+def shingles_of(text, n=5):
+    w = [re.sub("[A-Z]", lambda c: c[0].lower(), x) for x in words(text)]
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
+def similar_groups(texts, least=0.8):
+    """Group (a frozenset of texts) of each text by links of the similarity."""
+    sets = {t: shingles_of(t) for t in set(texts)}
+    group = {t: {t} for t in sets}
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a is not b and group[a] is not group[b] and both >= least * (len(sets[a]) + len(sets[b]) - both):
+                group[a] |= group[b]
+                for t in group[b]:
+                    group[t] = group[a]
+    return {t: frozenset(g) for t, g in group.items()}
+
+
+def near_copies(seed=31):
+    rng = random.Random(seed)
+    some = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    out = []
+    for n in (60, 120, 120, 200, 300, 400):
+        base = some(n)
+        out.append(" ".join(base))
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rng.randint(1, max(1, n // 50))):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(999)}"
+            out.append(" ".join(w).upper() if rng.random() < 0.2 else " ".join(w))
+            base = w if rng.random() < 0.3 else base
+    return out + [" ".join(some(rng.randint(30, 200))) for _ in range(150)]
+
+
+@pytest.mark.parametrize("cell_rows", [1 << 13, 4])
+def test_similar_texts(spark, monkeypatch, cell_rows):
+    whole = simhash.candidate_edges
+    monkeypatch.setattr(simhash, "candidate_edges", lambda *a, **k: whole(*a, **k, cell_rows=cell_rows))
+    texts = near_copies()
+    groups = similar_groups(texts)
+    assert len(set(groups.values())) < len(texts) - 40
+    made = [(i, t, f"s{i}") for i, t in enumerate(texts)] + [(500, texts[0], "again"), (None, texts[1], "null"), (0, texts[0], "s0"), (600, None, "e"), (601, "", "e"), (602, " ", "e")]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(3)
+    kept = simhash.drop_similar(df)
+    least = {}
+    for i, t in enumerate(texts):
+        least[groups[t]] = min(i, least.get(groups[t], i))
+    want = collections.Counter((i, texts[i], f"s{i}") for i in least.values()) + collections.Counter([(600, None, "e")])
+    assert kept.columns == df.columns and bag(kept.collect()) == want
+    assert simhash.drop_similar(df.where("false")).count() == 0
+
+
+def test_similar_texts_sketches():
+    rng = random.Random(37)
+    off = []
+    for _ in range(120):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        v = list(w)
+        while len(shingles_of(" ".join(w)) & shingles_of(" ".join(v))) > 0.9 * 296:
+            v[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        a, b = (simhash.sketch(" ".join(x)) for x in (w, v))
+        sets = [simhash.shingle_set(" ".join(x)) for x in (w, v)]
+        assert math.isclose(simhash.similarity_of(*sets), len(shingles_of(" ".join(w)) & shingles_of(" ".join(v))) / len(shingles_of(" ".join(w)) | shingles_of(" ".join(v))))
+        off.append(int(np.bitwise_count(a ^ b).sum()))
+    assert abs(np.mean(off) - 128 * simhash.bit_difference(0.81)) < 2 and max(off) <= simhash.reach_of(0.8) == 35
+    bits, grids = simhash.grids_for(200_000, 0.8, 0.99)
+    assert (1 - (1 - (1 - simhash.bit_difference(0.8)) ** bits) ** grids) >= 0.99 and 200_000 / 2**bits <= 8
+    assert not simhash.sketch(None).any() and not simhash.sketch(" ").any() and simhash.similarity_of(np.zeros(0), np.zeros(0)) == 1
+    sk = np.array([[0, 0], [1, 0], [7, 0], [2**63, 2**40 - 1], [2**63, 2**40 - 2]], np.uint64)
+    assert [x.tolist() for x in simhash.forest(sk, 3)] == [[1, 2, 4], [0, 1, 3], [1, 2, 1]]
+
+
 def test_simhash_blocks():
     assert [simhash.blocks_for(n, 4) for n in (0, 10**5, 10**9)] == [8, 8, 10]
     assert len(simhash._masks(0, 4, 8)) == 70 and simhash._masks((1 << 56) - 1, 4, 8) == []
@@ -853,12 +924,11 @@ def test_pipeline(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir).collect()
 
     kept = [(i, t) for i, t in rows if (b := base_of(t))[0] >= 50 and 100 * b[4] <= 50 * b[0]]
-    groups = linked({fingerprint(t) for _, t in kept}, 4)
+    groups = similar_groups([t for _, t in kept])
     least = {}
     for i, t in kept:
-        g = groups[fingerprint(t)]
-        least[g] = min(i, least.get(g, i))
-    kept = [(i, t) for i, t in kept if least[groups[fingerprint(t)]] == i]
+        least[groups[t]] = min(i, least.get(groups[t], i))
+    kept = [(i, t) for i, t in kept if least[groups[t]] == i]
     kept = [(i, c[2] if c[1] else t) for (i, t), c in zip(kept, cut([t for _, t in kept])) if not c[1] or c[2]]
     kept = [(i, secrets.mask(t, secrets.find_spans(t)[1])) for i, t in kept]
     from tokenizers import Tokenizer

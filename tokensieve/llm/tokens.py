@@ -1,12 +1,11 @@
 """Token counts of documents in flat token files, by scanning for the end-of-document id.
 
 A flat file is token ids of one width and nothing else: each document's
-ids, then the end id.  A file of any size is cut into blocks, byte ranges
-that are read and searched at once, as arrays, and that know nothing of
-documents.  A prefix scan over a file's blocks carries the number of ends
-and the place of the last one into each block, so documents that cross
-blocks are stitched.  The scan runs within groups of blocks first and then
-over the groups, so a file of any size is spread over tasks.
+ids, then the end id.  A file of any size is cut into runs, byte ranges
+that tasks read and search on their own, block by block as arrays, without
+knowing what documents they are in.  A prefix scan carries the number of
+ends and the place of the last one across blocks within a run, and another
+across a file's runs, so documents that cross either are stitched.
 """
 
 from __future__ import annotations
@@ -18,17 +17,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytebpe import byte_bpe
 from .scratch import drop, new_path, small_batches, store
 
 END_ID = 50256
-#: 64 KB of 16-bit ids.
-BLOCK_IDS = 1 << 15
-#: Blocks that one task scans at a time, and bytes that it reads.
-_GROUP, _TASK_BYTES = 4096, 64 << 20
+#: 64 KB of 16-bit ids, searched at once; and how many of them are a run.
+BLOCK_IDS, RUN_BLOCKS = 1 << 15, 512
 _KINDS = {2: "<u2", 4: "<u4"}
 
 
@@ -76,90 +73,66 @@ def write_flat(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, wi
     return store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "file long, ordinal long, doc_id long"))
 
 
-def read_blocks(spark: SparkSession, path: str, width: int = 2, block_ids: int = BLOCK_IDS, files: DataFrame | None = None) -> DataFrame:
-    """(file, block, start, ids) of the flat files of width-byte ids at path: byte ranges, read where they are scanned.
-
-    file is the file's URI.  Spark lists the files without their content; a
-    range is read through Arrow's file systems, so a file may be of any
-    size.  files, if given, keeps only those whose URI its column ``file``
-    has.  Bytes behind the last whole id are left out; an empty file has no
-    blocks.
-    """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path).select(F.col("path").alias("file"), F.floor(F.col("length") / width).alias("n"))
-    if files is not None:
-        found = found.join(files.select("file").distinct(), "file", "left_semi")
-    found = store(found.where("n > 0"))
-    total = (found.agg(F.sum("n")).first()[0] or 0) * width
-    parts = max(spark.sparkContext.defaultParallelism, -(-total // _TASK_BYTES))
-    cut = found.select("file", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block_ids).cast("long"))).alias("block"))
-    start = F.col("block") * block_ids
-    ranges = cut.select("file", "block", start.alias("start"), F.least(F.lit(block_ids), F.col("n") - start).alias("size")).repartition(parts, "file", "block")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened: dict[str, pa.NativeFile] = {}
-        for b in batches:
-            for i in range(b.num_rows):
-                file, start, size = b.column("file")[i].as_py(), b.column("start")[i].as_py(), b.column("size")[i].as_py()
-                if file not in opened:
-                    if len(opened) > 16:
-                        opened.clear()
-                    where, place = _filesystem(file)
-                    opened[file] = where.open_input_file(place)
-                data = opened[file].read_at(size * width, start * width)
-                if len(data) != size * width:
-                    raise OSError(f"{file} ends before {start + size} ids")
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, 1) for c in ("file", "block", "start")), pa.array([data], pa.binary())], ["file", "block", "start", "ids"])
-
-    return ranges.mapInArrow(run, "file string, block long, start long, ids binary")
+def list_files(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+    """(file, n): URI and number of ids of every flat file (*.bin) at path, as Spark lists them; bytes behind the last whole id are left out."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path)
+    return found.select(F.col("path").alias("file"), F.floor(F.col("length") / width).cast("long").alias("n"))
 
 
-def count_tokens(blocks: DataFrame, end_id: int = END_ID, width: int = 2) -> DataFrame:
-    """(file, ordinal, start, n_tokens) of every document of flat files (file, block, start, ids).
+def count_tokens(files: DataFrame, end_id: int = END_ID, width: int = 2, block_ids: int = BLOCK_IDS, run_blocks: int = RUN_BLOCKS) -> DataFrame:
+    """(file, ordinal, start, n_tokens) of every document of flat files (file, n) of width-byte ids.
 
     ordinal counts a file's documents from 0, start is the place of the
-    document's first id, n_tokens leaves the end id out.  A block's start
-    is the place of its first id in the file.  Ids behind a file's last end
-    id are a document only once their end is there.  Empty files and an
-    empty table give no rows.
+    document's first id, n_tokens leaves the end id out.  Ids behind a
+    file's last end id are a document only once their end is there.  A
+    run's bytes are read through Arrow's file systems, so a file may be of
+    any size.  Empty files and an empty table give no rows.
     """
-    kind = _KINDS[width]
+    kind, run_ids = _KINDS[width], block_ids * run_blocks
+    cut = files.where("n > 0").select("file", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / run_ids).cast("long"))).alias("run"))
+    runs = cut.select("file", "run", F.least(F.lit(run_ids), F.col("n") - F.col("run") * run_ids).cast("long").alias("size"))
+    schema = pa.schema([("file", pa.string()), ("run", pa.int64()), ("place", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            starts = b.column("start").to_numpy()
-            found = [np.flatnonzero(np.frombuffer(d.as_buffer(), kind) == end_id) + s for d, s in zip(b.column("ids"), starts)]
-            yield pa.RecordBatch.from_arrays([b.column("file"), b.column("block"), pa.array(found, pa.list_(pa.int64()))], ["file", "block", "ends"])
-
-    file_kind = dict(blocks.dtypes)["file"]
-    seen = store(blocks.select("file", "block", "start", "ids").mapInArrow(run, f"file {file_kind}, block long, ends array<long>"))
-    totals = seen.where(F.size("ends") > 0).select("file", "block", F.floor(F.col("block") / _GROUP).alias("group"), F.size("ends").cast("long").alias("n"), F.element_at("ends", -1).alias("last"))
-
-    def scan(value: Column, by: list[str], order: str, how) -> Column:
-        return how(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-
-    groups = totals.groupBy("file", "group").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
-    groups = groups.select("file", "group", scan(F.col("n"), ["file"], "group", F.sum).alias("n0"), scan(F.col("last"), ["file"], "group", F.max).alias("last0"))
-    inner = totals.select("file", "block", "group", scan(F.col("n"), ["file", "group"], "block", F.sum).alias("n1"), scan(F.col("last"), ["file", "group"], "block", F.max).alias("last1"))
-    zero = F.lit(0)
-    carried = inner.join(groups, ["file", "group"]).select("file", "block", (F.coalesce("n0", zero) + F.coalesce("n1", zero)).alias("first"), F.coalesce("last1", "last0", F.lit(-1)).alias("before"))
-    docs = seen.join(store(carried), ["file", "block"]).select("file", "first", "before", "ends", F.posexplode("ends").alias("i", "end"))
-    start = F.when(F.col("i") == 0, F.col("before")).otherwise(F.get("ends", F.col("i") - 1)) + 1
-    return docs.select("file", (F.col("first") + F.col("i")).alias("ordinal"), start.alias("start"), (F.col("end") - start).alias("n_tokens"))
-
-
-def count_documents(docs: DataFrame, path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
+            for file, run, size in zip(*(b.column(c).to_pylist() for c in ("file", "run", "size"))):
+                where, path = _filesystem(file)
+                first, seen, last = run * run_ids, 0, None
+                with where.open_input_file(path) as data:
+                    for at in range(first, first + size, block_ids):
+                        ids = np.frombuffer(data.read_at(min(block_ids, first + size - at) * width, at * width), kind)
+                        if len(ids) < min(block_ids, first + size - at):
+                            raise OSError(f"{file} ends before id {first + size}")
+                        ends = np.flatnonzero(ids == end_id) + at
+                        if not len(ends):
+                            continue
+                        starts = pa.array([last, *(ends[:-1] + 1).tolist()], pa.int64())  # null: it starts in an earlier run
+                        n = len(ends)
+                        yield pa.RecordBatch.from_arrays([pa.array([file] * n), pa.array(np.full(n, run)), pa.array(np.arange(seen, seen + n)), starts, pa.array(ends)], schema=schema)
+                        seen, last = seen + n, int(ends[-1]) + 1
+
+    found = store(runs.repartition("file", "run").mapInArrow(scan, "file string, run long, place long, start long, end long"))
+    before = Window.partitionBy("file").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    totals = found.groupBy("file", "run").agg(F.count("*").alias("n"), F.max("end").alias("last"))
+    carried = store(totals.select("file", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.coalesce(F.max("last").over(before) + 1, F.lit(0)).alias("open")))
+    start = F.coalesce("start", "open")
+    docs = found.join(carried, ["file", "run"])
+    return docs.select("file", (F.col("first") + F.col("place")).alias("ordinal"), start.alias("start"), (F.col("end") - start).alias("n_tokens"))
+
+
+def count_documents(docs: DataFrame, path: str, end_id: int = END_ID, **options) -> DataFrame:
     """(doc_id, n_tokens) of every row of docs (doc_id, text): written as flat files, found again in them.
 
     A null or empty text has no tokens; rows that repeat a doc_id are
-    counted each; an empty table gives an empty result.
+    counted each; an empty table gives an empty result.  options are
+    count_tokens'.
     """
     spark = docs.sparkSession
     folder = new_path(spark)
     owners = write_flat(docs, path, folder, end_id)
     if owners.isEmpty():
         return owners.select("doc_id", F.lit(0).cast("long").alias("n_tokens"))
-    number = F.regexp_extract("file", r"(\d+)\.bin$", 1).cast("long")
-    blocks = read_blocks(spark, folder, block_ids=block_ids).withColumn("file", number)
-    found = count_tokens(blocks, end_id)
+    found = count_tokens(list_files(spark, folder), end_id, **options)
     drop(spark, folder)  # the scan has stored what it found
-    return owners.join(found.select("file", "ordinal", "n_tokens"), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    number = F.regexp_extract("file", r"(\d+)\.bin$", 1).cast("long").alias("file")
+    return owners.join(found.select(number, "ordinal", "n_tokens"), ["file", "ordinal"]).select("doc_id", "n_tokens")
