@@ -108,4 +108,105 @@ o AS (SELECT r, i, l[i] AS tok FROM d, range(1, len(l) + 1) s(i)),
 k AS (SELECT r, string_agg(tok, ' ' ORDER BY i) AS kept, count(*) AS n FROM o ANTI JOIN g USING (r, i) GROUP BY r)
 SELECT doc_id, len(l)::BIGINT AS n_words, (len(l) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)"""
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op3_nearest": OP3, "op6_url_filter": OP6, "op8_substring_dedup": OP8}
+
+
+def _any_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_KEYWORDS = "|".join(map(_any_case, ("password", "passwd", "secret", "token", "api_?key")))
+#: Kind, pattern (its value in a group of its own), length that its value needs.
+_SECRETS = (
+    (0, "assign", rf"""((?:{_KEYWORDS})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+))""", 3, 6),
+    (1, "access", "(AKIA[A-Z0-9]+)", 2, 20),
+    (2, "hex", "([0-9a-f]{24,})", 2, 24),
+    (3, "run", "([A-Za-z0-9+/_=-]{20,})", 2, 20),
+)
+
+
+def _found(k: int, pattern: str, group: int, least: int) -> str:
+    """Every match of a pattern with its place: prefixes and matches alternate, so their lengths add up to it."""
+    each = ", ".join(f"regexp_extract_all(t, '(?s)(.*?){pattern}', {g}) AS {n}" for n, g in (("p", 1), ("m", 2), ("v", group)))
+    rows = f"SELECT r, generate_subscripts(p, 1) AS i, unnest(p) AS p, unnest(m) AS m, unnest(v) AS v FROM (SELECT r, {each} FROM d)"
+    placed = f"SELECT r, m, v, (sum(length(p) + length(m)) OVER (PARTITION BY r ORDER BY i) - length(m))::BIGINT AS s FROM ({rows})"
+    return f"SELECT r, {k} AS k, s, s + length(m) AS e, m FROM ({placed}) WHERE length(v) >= {least}"
+
+
+_ACQUITTED = ("[0-9_=/+-]+", "[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", "([A-Za-z]{2,}[0-9]{0,4}[-_/=+])+[A-Za-z]*[0-9]{0,4}")
+OP7 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TEXT} AS t FROM documents),
+b AS ({" UNION ALL ".join(_found(k, p, g, n) for k, _, p, g, n in _SECRETS[:3])}),
+c AS (SELECT * FROM ({_found(3, *_SECRETS[3][2:])}) x WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = x.r AND b.s < x.e AND x.s < b.e)),
+p AS (SELECT r, s, m, generate_subscripts(l, 1) AS i, unnest(l) AS part FROM (SELECT *, string_split_regex(m, '[/=]') AS l FROM c)),
+q AS (SELECT *, sum(length(part) + 1) OVER w - length(part) AS o, regexp_matches(lower(part), 'example|sample|dummy|placeholder|xxxx|0000|1234567') AS bad FROM p WINDOW w AS (PARTITION BY r, s ORDER BY i)),
+u AS (SELECT *, sum(bad::INT) OVER (PARTITION BY r, s ORDER BY i) AS island FROM q),
+z AS (SELECT r, s + min(o) - 1 AS s, max(o + length(part)) - min(o) AS n, substr(any_value(m), min(o)::BIGINT, (max(o + length(part)) - min(o))::BIGINT) AS x FROM u WHERE NOT bad GROUP BY r, u.s, island),
+y AS (SELECT *, CASE WHEN regexp_full_match(x, '[0-9a-f]+|[0-9A-F]+') THEN 3.0 WHEN regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]') THEN CASE WHEN regexp_full_match(x, '[A-Za-z0-9]+') THEN 3.7 ELSE 3.9 END
+  WHEN regexp_full_match(x, '[A-Za-z]+') AND lower(x) <> x AND upper(x) <> x THEN 4.0 END AS least FROM z WHERE n >= 20 AND NOT ({" OR ".join(f"regexp_full_match(x, '{a}')" for a in _ACQUITTED)})),
+h AS (SELECT r, 3 AS k, s::BIGINT AS s, (s + n)::BIGINT AS e FROM y WHERE round(list_max(list_transform(range(1, n::BIGINT - 18), lambda i: list_aggregate(string_split(substr(x, i, 20), ''), 'entropy'))), 9) >= least::DOUBLE),
+a AS (SELECT r, k, s, e FROM b UNION ALL SELECT * FROM h),
+f AS (SELECT r, count_if(k = 0) AS n_assign, count_if(k = 1) AS n_access, count_if(k = 2) AS n_hex, string_agg(concat((['assign', 'access', 'hex', 'entropy'])[k + 1], ':', s, ':', e), ',' ORDER BY s, k) AS spans,
+  string_agg(concat((['assign', 'access', 'hex'])[k + 1], ':', s, ':', e), ',' ORDER BY s, k) FILTER (k < 3) AS base FROM a GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN f USING (r)"""
+
+# XXH64 in 128-bit arithmetic: fixed values of that hash, and its steps.
+_P1, _P2, _P3, _P4, _P5 = (f"{x}::UHUGEINT" for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+_ALL = "18446744073709551615::UHUGEINT"
+
+
+def _low(x: str) -> str:
+    return f"(({x}) & {_ALL})"
+
+
+def _turned(x: str, by: int) -> str:
+    """x, a plain name, turned left within 64 bits."""
+    return _low(f"({x} << {by}) | ({x} >> {64 - by})")
+
+
+def _lane(x: str, digits: int) -> str:
+    """A little-endian number from its hexadecimal digits."""
+    return f"(concat('0x', {', '.join(f'substr({x}, {i}, 2)' for i in range(digits - 1, 0, -2))})::UBIGINT::UHUGEINT)"
+
+
+def _fold(first: str, items: str, step: str) -> str:
+    """The steps over items from first on; a and x name what is so far and the item."""
+    return f"list_reduce(list_prepend({first}, {items}), lambda a, x: {step})"
+
+
+def _through(x: str, *steps: str) -> str:
+    """x through steps in each of which it is y."""
+    for s in steps:
+        x = f"list_transform([{x}], lambda y: {s})[1]"
+    return x
+
+
+_ROUND = _through(_low(f"a + x * {_P2} % (1::UHUGEINT << 64)"), _low(_turned("y", 31) + f" * {_P1}"))
+_WORD = _through(_low(f"x * {_P2}"), _low(_turned("y", 31) + f" * {_P1}"))  # a round of zero and x
+_ACC = [42 + 11400714785074694791 + 14029467366897019727, 42 + 14029467366897019727, 42, 42 - 11400714785074694791]
+_STRIPES = ", ".join(f"""{_fold(f"{v % 2**64}::UHUGEINT", f"list_transform(range({k}, n // 32 * 4, 4), lambda i: lanes[i + 1])", _ROUND)} AS v{k}""" for k, v in enumerate(_ACC))
+_MERGED = _fold(
+    _low(" + ".join(_turned(f"v{k}", r) for k, r in enumerate((1, 7, 12, 18)))), "[v0, v1, v2, v3]", _low(f"xor(a, {_WORD}) * {_P1} % (1::UHUGEINT << 64) + {_P4}")
+)
+_EIGHTS = _fold("h", "list_transform(range(n // 32 * 4, n // 8), lambda i: lanes[i + 1])", _through(f"xor(a, {_WORD})", _low(_turned("y", 27) + f" * {_P1} % (1::UHUGEINT << 64) + {_P4}")))
+_FOUR = "CASE WHEN n % 8 >= 4 THEN " + _through(f"xor(h, {_low(_lane('substr(x, 16 * (n // 8) + 1, 8)', 8) + f' * {_P1}')})", _low(_turned("y", 23) + f" * {_P2} % (1::UHUGEINT << 64) + {_P3}")) + " ELSE h END"
+_BYTES = _fold("h", "list_transform(range(n // 4 * 4, n), lambda i: concat('0x', substr(x, 2 * i + 1, 2))::UBIGINT::UHUGEINT)", _through(f"xor(a, {_low(f'x * {_P5}')})", _low(_turned("y", 11) + f" * {_P1}")))
+_FINAL = _through("h", "xor(y, y >> 33)", _low(f"y * {_P2}"), "xor(y, y >> 29)", _low(f"y * {_P3}"), "xor(y, y >> 32)")
+_HASHED = f"""hx AS (SELECT s, hex(s) AS x, (length(hex(s)) // 2)::BIGINT AS n FROM (SELECT DISTINCT s FROM sh)),
+hl AS (SELECT *, list_transform(range(0, n // 8), lambda i: {_lane("substr(x, 16 * i + 1, 16)", 16)}) AS lanes FROM hx),
+hv AS (SELECT *, {_STRIPES} FROM hl),
+hm AS (SELECT s, x, n, lanes, {_low(f"CASE WHEN n >= 32 THEN {_MERGED} ELSE 42 + {_P5} END + n::UHUGEINT")} AS h FROM hv),
+he AS (SELECT s, x, n, {_EIGHTS} AS h FROM hm),
+hf AS (SELECT s, x, n, {_FOUR} AS h FROM he),
+hb AS (SELECT s, {_BYTES} AS h FROM hf),
+hh AS (SELECT s, ({_FINAL})::UBIGINT AS h FROM hb)"""
+OP10 = rf"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate({_TEXT}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS l FROM documents),
+sh AS (SELECT r, array_to_string(l[i : i + 3], ' ') AS s FROM d, range(1, greatest(len(l) - 2, 2)) q(i) WHERE len(l) > 0),
+{_HASHED},
+ct AS (SELECT r, count(*) AS n, {", ".join(f"sum((h >> {b}) & 1)::BIGINT AS b{b}" for b in range(64))} FROM sh JOIN hh USING (s) GROUP BY r),
+fp AS (SELECT d.r, doc_id, coalesce({" + ".join(f"CASE WHEN 2 * b{b} > n THEN {1 << b}::UHUGEINT ELSE 0::UHUGEINT END" for b in range(64))}, 0)::UBIGINT AS f FROM d LEFT JOIN ct USING (r)),
+ds AS (SELECT DISTINCT f FROM fp),
+ed AS (SELECT x.f AS u, y.f AS v FROM ds x, ds y WHERE x.f <> y.f AND bit_count(xor(x.f, y.f)::BIT) <= 4),
+re AS (SELECT f AS u, f AS v FROM ds UNION SELECT re.u, ed.v FROM re JOIN ed ON re.v = ed.u),
+cm AS (SELECT re.u AS f, min(doc_id) AS component_id FROM re JOIN fp ON fp.f = re.v GROUP BY re.u)
+SELECT doc_id, lpad(lower(to_hex(f)), 16, '0') AS fingerprint, component_id FROM fp JOIN cm USING (f)"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op3_nearest": OP3, "op6_url_filter": OP6, "op7_secrets": OP7, "op8_substring_dedup": OP8, "op10_simhash": OP10}
