@@ -210,7 +210,9 @@ def snapkv(heads: DataFrame, ratio: float = 4.0, k: int = 2, cap: int = 512) ->
 
 
 def selective(toks: DataFrame, ratio: float = 4.0) -> DataFrame:
-    """Best cosine similarity to the query; toks has the column similarity."""
+    """Best cosine similarity to the query, toks' column similarity; without a query, and so without that column, a seeded sample."""
+    if "similarity" not in toks.columns:
+        return keep_ranked(rank_middle(toks, [seeded(SEED, F.col("doc_id"), F.col("pos"))]), ratio, family="identity")
     return top_k(toks, F.col("similarity"), ratio, family="identity")
 
 

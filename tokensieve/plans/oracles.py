@@ -26,6 +26,7 @@ from ..lexicon import (
     WORD_LIST,
 )
 from ..operators.tokens import lexicon_words
+from ..sources.tables import DEMO_SAMPLES
 
 _WS = r"[ \t\n\r\f\x0B]+"
 _MARK_FROM, _MARK_TO = TONED + STRIP_DELETE, TONED_DIGITS + "12345"
@@ -244,9 +245,9 @@ def _cells_of(ratios: str) -> str:
 
 
 #: The subsequence is the longest increasing run of the reference's places that the answer's words meet, latest place first.
+_SAMPLES = _TURNS + ",\nsm AS (SELECT conv_id || ':' || turn AS doc_id, role AS task, pred AS text, ref FROM pairs)"
 _ROWS = _with(
-    _TURNS,
-    "sm AS (SELECT conv_id || ':' || turn AS doc_id, role AS task, pred AS text, ref FROM pairs)",
+    _SAMPLES,
     _TOKS.replace("FROM documents", "FROM sm"),
     _TONE,
     _classed("ts"),
@@ -272,6 +273,8 @@ _ROWS = _with(
     "su AS (SELECT method, avg(q) AS q, avg(e) AS e FROM ce GROUP BY method)",
     select="",
 )
+_QUALITY = "SELECT doc_id, task, method, ratio, round(compression_ratio, 6) AS compression_ratio, round(f1, 6) AS rouge_l_f1, round(p, 6) AS rouge_l_precision, round(r, 6) AS rouge_l_recall, round(bleu, 6) AS bleu_score, round(q, 6) AS quality, em AS exact_match FROM bq"
+_DEMO = "sm AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {_q(t)}, {_q(c)}, {_q(r)})" for i, (t, c, _, r) in enumerate(DEMO_SAMPLES)) + ") v(doc_id, task, text, ref))"
 _H = "2.0::DOUBLE * q * e / (q + e + 1e-8::DOUBLE)"
 
 _CHARS = "list_distinct(list_filter(string_split({0}, ''), lambda x: x <> ''))"
@@ -467,7 +470,10 @@ ORACLES: dict[str, str] = {
     ),
     "ratio_grid": _with(_GRID, select="SELECT doc_id, n, toned, method, ratio, kept, toned_kept FROM grid"),
     "length_ratio_rollup": _with(_GRID, select="SELECT method, ratio, sum(kept)::BIGINT AS kept, sum(n)::BIGINT AS n, count(*) AS rows FROM grid GROUP BY ROLLUP (method, ratio)"),
-    "bench_samples": _ROWS + "SELECT doc_id, task, method, ratio, round(compression_ratio, 6) AS compression_ratio, round(f1, 6) AS rouge_l_f1, round(p, 6) AS rouge_l_precision, round(r, 6) AS rouge_l_recall, round(bleu, 6) AS bleu_score, round(q, 6) AS quality, em AS exact_match FROM bq",
+    "demo_bench": _ROWS.replace(_SAMPLES, _DEMO) + _QUALITY,
+    "sample_counts": f"WITH {_DEMO} SELECT task, count(*) AS num_samples FROM sm GROUP BY ROLLUP (task)",
+    "compress_selective_no_query": _with(_TOKS, _kept("toks", _SEED, "identity")),
+    "bench_samples": _ROWS + _QUALITY,
     "bench_cells": _ROWS
     + "SELECT method, task, ratio, round(cr, 6) AS mean_compression_ratio, round(ts, 6) AS mean_token_savings_pct, round(rl, 6) AS mean_rouge_l_f1, round(bl, 6) AS mean_bleu, round(em, 6) AS exact_match_rate, round(q, 6) AS mean_quality_score, round(e, 6) AS mean_efficiency_score, round(tr, 6) AS mean_tone_preservation_rate, num AS num_samples FROM ce",
     "bench_summary": _ROWS + f"SELECT method, round(q, 6) AS avg_quality, round(e, 6) AS avg_efficiency, round({_H}, 6) AS harmonized_score FROM su",

@@ -11,6 +11,7 @@ from ..functions import tone, words
 from ..lexicon import SINO_MORPHEMES
 from ..operators import dataset, methods, metrics, runners, scores, segment, select
 from ..operators import tokens as T
+from ..sources import tables
 from ..sources.tables import table
 from ..streaming import stream
 
@@ -244,6 +245,7 @@ _method("enhanced", methods.enhanced, _with_surprisal)
 _method("enhanced_no_scorer", methods.enhanced, lambda s, d: _tokens(s, d).withColumn("surprisal", F.lit(0.5)), weights=scores.auto_weights(False))
 _method("scorer", methods.scorer, _with_surprisal)
 _method("scorer_select", methods.scorer_select, _base)
+_method("selective_no_query", methods.selective)
 _method("llmlingua", methods.llmlingua, _sentences)
 _method("streamingllm", methods.streaming_llm)
 
@@ -377,12 +379,27 @@ def _bench_rows(spark, sf_dir):
     return runners.evaluate_samples(samples)
 
 
+def _quality(out):
+    names = ("compression_ratio", "rouge_l_f1", "rouge_l_precision", "rouge_l_recall", "bleu_score", "quality")
+    return out.select("doc_id", "task", "method", "ratio", *[F.round(c, 6).alias(c) for c in names], "exact_match")
+
+
 @query
 def bench_samples(spark, sf_dir):
     """Quality of every sample, method and ratio."""
-    out = _bench_rows(spark, sf_dir)
-    names = ("compression_ratio", "rouge_l_f1", "rouge_l_precision", "rouge_l_recall", "bleu_score", "quality")
-    return out.select("doc_id", "task", "method", "ratio", *[F.round(c, 6).alias(c) for c in names], "exact_match")
+    return _quality(_bench_rows(spark, sf_dir))
+
+
+@query
+def demo_bench(spark, sf_dir):
+    """The same of the built-in samples."""
+    return _quality(runners.evaluate_samples(tables.demo_samples(spark)))
+
+
+@query
+def sample_counts(spark, sf_dir):
+    """Built-in samples by task and in all."""
+    return tables.samples_by_task(tables.demo_samples(spark))
 
 
 @query
