@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytebpe import byte_bpe
-from .scratch import drop, new_path, small_batches, store
+from .scratch import drop, new_path, release, small_batches, store
 
 END_ID = 50256
 #: 64 KB of 16-bit ids, searched at once; and how many of them are a run.
@@ -90,7 +90,8 @@ def count_tokens(files: DataFrame, end_id: int = END_ID, width: int = 2, block_i
     """
     kind, run_ids = _KINDS[width], block_ids * run_blocks
     cut = files.where("n > 0").select("file", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / run_ids).cast("long"))).alias("run"))
-    runs = cut.select("file", "run", F.least(F.lit(run_ids), F.col("n") - F.col("run") * run_ids).cast("long").alias("size"))
+    runs = store(cut.select("file", "run", F.least(F.lit(run_ids), F.col("n") - F.col("run") * run_ids).cast("long").alias("size")))
+    parts = min(max(runs.count(), 1), 1 << 16)  # a row stands for a run's bytes, which adaptive execution can't know
     schema = pa.schema([("file", pa.string()), ("run", pa.int64()), ("place", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +112,8 @@ def count_tokens(files: DataFrame, end_id: int = END_ID, width: int = 2, block_i
                         yield pa.RecordBatch.from_arrays([pa.array([file] * n), pa.array(np.full(n, run)), pa.array(np.arange(seen, seen + n)), starts, pa.array(ends)], schema=schema)
                         seen, last = seen + n, int(ends[-1]) + 1
 
-    found = store(runs.repartition("file", "run").mapInArrow(scan, "file string, run long, place long, start long, end long"))
+    found = store(runs.repartition(parts, "file", "run").mapInArrow(scan, "file string, run long, place long, start long, end long"))
+    release(runs)
     before = Window.partitionBy("file").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     totals = found.groupBy("file", "run").agg(F.count("*").alias("n"), F.max("end").alias("last"))
     carried = store(totals.select("file", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.coalesce(F.max("last").over(before) + 1, F.lit(0)).alias("open")))
