@@ -201,7 +201,7 @@ def test_training_rows(spark, edges):
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps(["một", {"text": "hai"}]), encoding="utf8")
     assert sorted(r.text for r in tables.training_texts(spark, f"file://{tmp_path}/t.json").collect()) == ["hai", "một"]
-    assert tables.training_texts(spark).count() == 2
+    assert tables.training_texts(spark).count() == 4
     cells = spark.createDataFrame([("m", "t", 4.0, 0.5)], "method string, task string, ratio double, q double")
     tables.write_cells(cells, f"file://{tmp_path}/cells")
     assert spark.read.json(f"file://{tmp_path}/cells").first().q == 0.5
