@@ -806,7 +806,7 @@ def test_one_row_of_each_group_stays(spark):
     assert corpus_pipeline.near_dedup(spark, df.where("false"), "").count() == 0
 
 
-@pytest.mark.parametrize("how", [{}, {"cell_rows": 20}, {"cell_rows": 3}, {"blocks": 9, "cell_rows": 5}])
+@pytest.mark.parametrize("how", [{}, {"blocks": 9, "cell_rows": 5}])
 def test_simhash_links_all_distances(spark, how):
     rng = random.Random(11)
     fps = {rng.getrandbits(64) for _ in range(40)}
@@ -891,12 +891,15 @@ def test_similar_texts_sketches():
         sets = [simhash.shingle_set(" ".join(x)) for x in (w, v)]
         assert math.isclose(simhash.similarity_of(*sets), len(shingles_of(" ".join(w)) & shingles_of(" ".join(v))) / len(shingles_of(" ".join(w)) | shingles_of(" ".join(v))))
         off.append(int(np.bitwise_count(a ^ b).sum()))
-    assert abs(np.mean(off) - 128 * simhash.bit_difference(0.81)) < 2 and max(off) <= simhash.reach_of(0.8) == 35
+    assert abs(np.mean(off) - 256 * simhash.bit_difference(0.81)) < 3 and max(off) <= simhash.reach_of(0.8) == 54
     bits, grids = simhash.grids_for(200_000, 0.8, 0.99)
     assert (1 - (1 - (1 - simhash.bit_difference(0.8)) ** bits) ** grids) >= 0.99 and 200_000 / 2**bits <= 8
     assert not simhash.sketch(None).any() and not simhash.sketch(" ").any() and simhash.similarity_of(np.zeros(0), np.zeros(0)) == 1
     sk = np.array([[0, 0], [1, 0], [7, 0], [2**63, 2**40 - 1], [2**63, 2**40 - 2]], np.uint64)
     assert [x.tolist() for x in simhash.forest(sk, 3)] == [[1, 2, 4], [0, 1, 3], [1, 2, 1]]
+    assert [x.tolist() for x in simhash.forest(sk, 3, 2)] == [[1, 2, 4, 2], [0, 1, 3, 0], [1, 2, 1, 3]]
+    assert [x.tolist() for x in simhash.forest(sk, 3, 2, sure=2)] == [[1, 2, 4], [0, 1, 3], [1, 2, 1]]
+    assert [x.tolist() for x in simhash.forest(sk, 3, 1, -1, np.array([[6, 1]], np.uint64))] == [[1, 2, 4], [2, 0, 3], [2, 3, 1]]
 
 
 def test_simhash_blocks():

@@ -9,6 +9,7 @@ import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: dict[str, SparkSession] = {}
 
@@ -58,6 +59,11 @@ def release(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def light(table: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A stored table of narrow rows, to be broadcast in a join if it has at most so many (some 100 MB); as it is beyond."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete what was written to a path of new_path()."""
     if _written.pop(path, None):

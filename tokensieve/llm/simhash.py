@@ -26,10 +26,12 @@ and connectivity is exact.
 
 Documents of a similarity (Jaccard index of their word shingles) differ in
 more bits than such grids can afford: 0.8 is about ten of 64.  similar_texts
-therefore takes sketches of 128 bits and grids of single-bit segments
-chosen by hash, as many as meet any such pair with probability ``recall``;
-sketches in reach become candidate edges of three least-distance spanning
-forests, and every edge that could join two groups is verified on the shingles.
+therefore takes sketches of 256 bits and grids of single-bit segments drawn
+at random, as many as meet any such pair with probability ``recall``.  A pair
+counts in the first grid whose cell it shares.  Sketches in reach become
+candidate edges of least-distance spanning forests, three of them where
+distances leave doubt, and every edge that could join two groups is verified
+on the shingles.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .hashing import mix
-from .scratch import release, small_batches, store
+from .scratch import free_shuffles, light, release, small_batches, store
 
 _CHUNK = 1 << 16
 #: Cells of up to so many rows are searched only if a pair in them is within reach.
@@ -54,8 +56,11 @@ _SMALL = 64
 _CELL = "cell long, mask long, fp long"
 #: Spanning forests of edges to verify that a cell gives.
 _FORESTS = 3
-#: Make two words of a sketch from one hash.
-_SEEDS = mix(np.array([1, 2], np.uint64))
+#: Bits of a sketch; seeds make its words from one hash.
+_BITS = 256
+_SEEDS = mix(np.arange(1, _BITS // 64 + 1, dtype=np.uint64))
+#: Low bits of a cell's number that name its grid.
+_GRID_BITS = 12
 
 
 def _shingles(text: str | None, size: int) -> Iterator[np.ndarray]:
@@ -96,9 +101,9 @@ def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
 
 
 def sketch(text: str | None, shingle: int = 5) -> np.ndarray:
-    """Two 64-bit words: the majority of each bit over hashes of 128 bits of the text's distinct shingles."""
+    """Four 64-bit words: the majority of each bit over hashes of 256 bits of the text's distinct shingles."""
     hashes = shingle_set(text, shingle)
-    counts = np.zeros(128, np.int64)
+    counts = np.zeros(_BITS, np.int64)
     for at in range(0, len(hashes), _CHUNK):
         counts += _bit_counts(mix(hashes[at : at + _CHUNK, None] ^ _SEEDS))
     return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
@@ -324,6 +329,7 @@ def _first_rows(docs: DataFrame, named: DataFrame, null_ids_stay: bool = False)
 
     names = docs.columns
     again = gone.where("_first")
+    gone, again = light(gone), light(again)
     copies = docs.join(again, same(again)).select(F.struct("_doc", "_text").alias("_key"), F.struct(*[docs[c] for c in names]).alias("_row"))
     once = copies.groupBy("_key").agg(F.min("_row").alias("_row")).select("_row.*")
     return docs.join(gone, same(gone), "left_anti").unionByName(once)
@@ -353,71 +359,107 @@ def grids_for(rows: int, similarity: float, recall: float, mates: int = 8) -> tu
     return bits, math.ceil(math.log(1 - recall) / math.log1p(-chance))
 
 
-def reach_of(similarity: float) -> int:
-    """The differing bits of 128 within which all but one in 10,000 pairs of the similarity are."""
+def reach_of(similarity: float, deviations: float = 2.6) -> int:
+    """The differing bits of a sketch within which all but one in 200 pairs of the similarity are."""
     p = bit_difference(similarity)
-    return math.ceil(128 * p + 3.75 * math.sqrt(128 * p * (1 - p)))
+    return math.ceil(_BITS * p + deviations * math.sqrt(_BITS * p * (1 - p)))
 
 
-def forest(sketches: np.ndarray, reach: int, times: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def forest(sketches: np.ndarray, reach: int, times: int = 1, sure: int = -1, earlier: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, parent, distance) of least-distance spanning forests of the rows within reach, each of edges that the ones before left.
 
     Distances estimate similarities, so the first forest alone may hold
-    rows together by edges that don't stand up to verification.
+    rows together by edges that don't stand up to verification; rows that
+    edges of at most ``sure`` bits join need no further ones.  Pairs that
+    agree on any of the masks in ``earlier`` are left out.
     """
     n = len(sketches)
+    apart = np.arange(n)  # rows with one number need no edge between them
     used: list[list[int]] = [[i] for i in range(n)]
     out = []
-    for _ in range(times):
-        best, parent, wait = np.full(n, 999), np.full(n, -1), np.zeros(n, np.int64)
+    for turn in range(times):
+        best, parent, wait = np.full(n, 9999), np.full(n, -1), np.zeros(n, np.int64)
         for _ in range(n):
             i = int(np.argmin(best + wait))
-            wait[i] = 10_000
+            wait[i] = 100_000
             far = np.bitwise_count(sketches ^ sketches[i]).sum(axis=1, dtype=np.int64)
-            far[used[i]] = 999
-            near = (wait == 0) & (far <= reach) & (far < best)
+            far[used[i]] = 9999
+            if turn:
+                far[apart == apart[i]] = 9999
+            near = np.flatnonzero((wait == 0) & (far <= reach) & (far < best))
+            if earlier is not None and len(earlier) and len(near):
+                near = near[~((sketches[near] ^ sketches[i])[:, None, :] & earlier == 0).all(axis=2).any(axis=1)]
             best[near], parent[near] = far[near], i
         at = np.flatnonzero(parent >= 0)
         if not len(at):
             break
         out.append((at, parent[at], best[at]))
-        for i, j in zip(at.tolist(), parent[at].tolist()):
+        for i, j, d in zip(at.tolist(), parent[at].tolist(), best[at].tolist()):
             used[i].append(j)
             used[j].append(i)
+            if d <= sure and apart[i] != apart[j]:
+                apart[apart == apart[i]] = apart[j]
     none = [np.zeros(0, np.int64)]
     return tuple(np.concatenate([x[k] for x in out] or none) for k in range(3))
 
 
+def _words_of(column: pa.Array) -> np.ndarray:
+    """Sketches of a binary column, a row of 64-bit words each."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1)
+
+
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, text_hash, a, b) of every row: the text's sketch as two signed longs."""
+    """(doc_id, text_hash, sketch) of every row; a sketch is 32 bytes."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([sketch(t, shingle) for t in batch.column("text").to_pylist()], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(made[:, 0]), pa.array(made[:, 1])], ["doc_id", "text_hash", "a", "b"])
+            made = [sketch(t, shingle).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(made, pa.binary())], ["doc_id", "text_hash", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, a long, b long")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, sketch binary")
+
+
+def _choices(bits: int, grids: int, seed: int) -> np.ndarray:
+    """Masks of ``bits`` bits of a sketch each, drawn by a fixed seed."""
+    drawn = np.argsort(np.random.default_rng(seed).random((grids, _BITS)), axis=1)[:, :bits]
+    flags = np.zeros((grids, _BITS), np.uint8)
+    np.put_along_axis(flags, drawn, 1, axis=1)
+    return np.packbits(flags, axis=1, bitorder="little").view("<u8").astype(np.uint64)
 
 
 def _bit_grid(nodes: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """(cell, id, a, b): every node in each grid; chosen has the pair of masks of each."""
-    salt = mix(np.arange(1, len(chosen) + 1, dtype=np.uint64))
+    """(cell, id, sketch): every node in each grid; rows with a column ``outer`` meet only within it.  A cell's low bits name its grid."""
+    inner = "outer" in nodes.columns
+    low = np.uint64((1 << _GRID_BITS) - 1)
+    grid = np.arange(len(chosen), dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                ids, a, b = (batch.column(c).slice(at, 2048).to_numpy() for c in ("id", "a", "b"))
-                cell = mix(mix((a.view(np.uint64)[:, None] & chosen[:, 0]) ^ salt) ^ (b.view(np.uint64)[:, None] & chosen[:, 1]))
-                cols = [cell.ravel().view(np.int64), *(np.repeat(c, len(chosen)) for c in (ids, a, b))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["cell", "id", "a", "b"])
-
-    return nodes.select("id", "a", "b").mapInArrow(run, "cell long, id long, a long, b long")
-
-
-def _forests(grid: DataFrame, reach: int) -> DataFrame:
-    """(u, v, d): the forests' edges of each cell, u < v, each once; d is the sketches' distance."""
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                sk = _words_of(part.column("sketch"))
+                cell = np.zeros((len(sk), len(chosen)), np.uint64)
+                if inner:
+                    cell += part.column("outer").to_numpy().view(np.uint64)[:, None]
+                for w in range(sk.shape[1]):
+                    cell = mix(cell ^ (sk[:, w, None] & chosen[:, w]) ^ np.uint64(w + 1))
+                cell = (cell & ~low) | grid & low
+                again = np.repeat(np.arange(len(sk)), len(chosen))
+                cols = [pa.array(cell.ravel().view(np.int64)), part.column("id").take(pa.array(again)), part.column("sketch").take(pa.array(again))]
+                yield pa.RecordBatch.from_arrays(cols, ["cell", "id", "sketch"])
+
+    return nodes.select("id", "sketch", *["outer"] * inner).mapInArrow(run, "cell long, id long, sketch binary")
+
+
+def _forests(grid: DataFrame, similarity: float, chosen: np.ndarray) -> DataFrame:
+    """(u, v, d): the forests' edges of each cell, u < v, each once; d is the sketches' distance.
+
+    A pair that shares the cell of an earlier grid (of chosen) has had its
+    turn there.
+    """
+    reach, sure = reach_of(similarity), int(_BITS * bit_difference((1 + similarity) / 2))
 
     def found(cell: np.ndarray, ids: np.ndarray, sk: np.ndarray) -> pa.RecordBatch:
         first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
@@ -434,7 +476,8 @@ def _forests(grid: DataFrame, reach: int) -> DataFrame:
             linked[o[at[near]]] = True
         rows = [np.zeros((0, 3), np.int64)]
         for start, n in zip(first[linked].tolist(), size[linked].tolist()):
-            i, j, d = forest(sk[start : start + n], reach, _FORESTS)
+            number = int(cell[start]) & ((1 << _GRID_BITS) - 1)
+            i, j, d = forest(sk[start : start + n], reach, _FORESTS, sure, chosen[:number])
             u, v = ids[start + i], ids[start + j]
             rows.append(np.stack([np.minimum(u, v), np.maximum(u, v), d], axis=1))
         pairs = np.unique(np.concatenate(rows), axis=0)
@@ -443,10 +486,10 @@ def _forests(grid: DataFrame, reach: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # the last cell, which may go on in the next batch
         for batch in batches:
-            cell, ids, a, b = (batch.column(c).to_numpy() for c in ("cell", "id", "a", "b"))
+            cell, ids = (batch.column(c).to_numpy() for c in ("cell", "id"))
             if not len(cell):
                 continue
-            part = (cell, ids, np.stack([a, b], axis=1).view(np.uint64))
+            part = (cell, ids, _words_of(batch.column("sketch")))
             start = int(np.flatnonzero(cell == cell[-1])[0])
             if start or held and held[0][0][0] != cell[0]:
                 held.append(tuple(x[:start] for x in part))
@@ -460,59 +503,34 @@ def _forests(grid: DataFrame, reach: int) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long, d long").distinct()
 
 
-def _choices(bits: int, grids: int, seed: int) -> np.ndarray:
-    """Masks (two words a grid) of ``bits`` of 128 bits each, drawn by a fixed seed."""
-    drawn = np.argsort(np.random.default_rng(seed).random((grids, 128)), axis=1)[:, :bits]
-    flags = np.zeros((grids, 128), np.uint8)
-    np.put_along_axis(flags, drawn, 1, axis=1)
-    return np.packbits(flags, axis=1, bitorder="little").view("<u8").astype(np.uint64)
-
-
 def candidate_edges(nodes: DataFrame, similarity: float = 0.8, recall: float = 0.99, cell_rows: int = 1 << 13) -> DataFrame:
-    """A stored table (u, v, d) of edges between the nodes (id, a, b) whose sketches are near enough for the similarity.
+    """A stored table (u, v, d) of edges between the nodes (id, sketch) whose sketches are near enough for the similarity.
 
     They span, with probability recall for each pair, what such pairs join.
     Cells of more than cell_rows rows are dealt over grids of more bits.
     """
-    reach, level = reach_of(similarity), 0
     bits, grids = grids_for(nodes.count(), similarity, recall)
-    grid, parts, held = _bit_grid(nodes, _choices(bits, grids, 7)), [], []
-    while True:
+    chosen = _choices(bits, min(grids, 1 << _GRID_BITS), 7)
+    grid, parts, held = _bit_grid(nodes, chosen), [], []
+    for level in range(1, 8):
         hot = store(grid.groupBy("cell").agg(F.count("*").alias("rows")).where(F.col("rows") > cell_rows).select("cell"))
         held.append(hot)
-        if level == 6 or hot.isEmpty():
-            parts.append(_forests(grid, reach))
+        if level == 7 or hot.isEmpty():
+            parts.append(_forests(grid, similarity, chosen))
             break
-        level += 1
-        parts.append(_forests(grid.join(hot, "cell", "left_anti"), reach))
+        parts.append(_forests(grid.join(hot, "cell", "left_anti"), similarity, chosen))
         more, times = grids_for(1 << 13, similarity, recall, mates=128)
-        dense = grid.join(hot, "cell").withColumnRenamed("cell", "outer")
-        finer = _bit_grid_within(dense, _choices(more, times, 7 + level))
-        grid = store(finer)
+        grid = store(_bit_grid(grid.join(hot, "cell").withColumnRenamed("cell", "outer"), _choices(more, times, 7 + level)))
+        chosen = chosen[:0]
         held.append(grid)
     edges = parts[0]
     for p in parts[1:]:
         edges = edges.unionByName(p)
-    out = store(edges.distinct() if len(parts) > 1 else edges)
+    out = store(edges.groupBy("u", "v").agg(F.min("d").alias("d")) if len(parts) > 1 else edges)
     release(*held)
     return out
 
 
-def _bit_grid_within(dense: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """_bit_grid of the rows (outer, id, a, b) of dense cells; rows meet only within their outer cell."""
-    salt = mix(np.arange(1, len(chosen) + 1, dtype=np.uint64))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                outer, ids, a, b = (batch.column(c).slice(at, 2048).to_numpy() for c in ("outer", "id", "a", "b"))
-                cell = mix(mix((a.view(np.uint64)[:, None] & chosen[:, 0]) ^ salt) ^ (b.view(np.uint64)[:, None] & chosen[:, 1]) ^ mix(outer.view(np.uint64))[:, None])
-                cols = [cell.ravel().view(np.int64), *(np.repeat(c, len(chosen)) for c in (ids, a, b))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["cell", "id", "a", "b"])
-
-    return dense.select("outer", "id", "a", "b").mapInArrow(run, "cell long, id long, a long, b long")
-
-
 def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """A stored table of the edges (u, v) whose texts' shingle sets (id, shingles) are of the similarity."""
 
@@ -522,13 +540,14 @@ def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             true = [similarity_of(p, q) >= similarity for p, q in zip(x, y)]
             yield batch.select(["u", "v"]).filter(pa.array(true, pa.bool_()))
 
-    one = edges.select("u", "v").join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("su")), "u")
-    both = one.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv")), "v").select("u", "v", "su", "sv")
+    # The sets grow with the corpus, so they are merged, never broadcast.
+    one = edges.select("u", "v").join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("su")).hint("merge"), "u")
+    both = one.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv")).hint("merge"), "v").select("u", "v", "su", "sv")
     return store(both.mapInArrow(run, "u long, v long"))
 
 
 def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.99) -> tuple[DataFrame, DataFrame]:
-    """Two stored tables: (doc_id, text_hash, a, b) of every row of docs (doc_id, text), and (text_hash, a, b, first) of every distinct text.
+    """Two stored tables: (doc_id, text_hash, sketch) of every row of docs (doc_id, text), and (text_hash, sketch, first) of every distinct text.
 
     first is (no_id, doc_id, text_hash) of the least row, null doc_ids
     last, that links between texts of the similarity reach.  A text is its
@@ -536,7 +555,7 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, re
     """
     rows = store(_sketches(docs, shingle))
     least = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_hash")).alias("first")
-    nodes = store(rows.groupBy("text_hash", "a", "b").agg(least).withColumn("id", F.monotonically_increasing_id()))
+    nodes = store(rows.groupBy("text_hash", "sketch").agg(least).withColumn("id", F.monotonically_increasing_id()))
     edges = candidate_edges(nodes, similarity, recall)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -547,23 +566,26 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, re
     ends = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     wanted = store(nodes.join(ends, "id").select("id", F.col("first.doc_id").alias("_doc"), F.col("first.text_hash").alias("_text")))
     source = docs.select(F.col("doc_id").cast("long").alias("_own"), F.xxhash64("text").alias("_hash"), "text")
-    texts = source.join(wanted, source["_own"].eqNullSafe(wanted["_doc"]) & (source["_hash"] == wanted["_text"]))
+    texts = source.join(light(wanted), source["_own"].eqNullSafe(wanted["_doc"]) & (source["_hash"] == wanted["_text"]))
     sets = store(texts.select("id", "text").mapInArrow(run, "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles")))
 
     # The nearest edge of each text first: what these join needs no other edge.
     ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"))
     near = ways.groupBy("u").agg(F.min(F.struct("d", "v")).alias("to")).select(F.least("u", "to.v").alias("u"), F.greatest("u", "to.v").alias("v")).distinct()
+    near = store(near)
     links = _verified(near, sets, similarity)
+    free_shuffles(docs.sparkSession)
     joined = connected_components(links)
     side = lambda x: joined.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
     open_ = edges.join(side("u"), "u", "left").join(side("v"), "v", "left").where("not coalesce(cu = cv, false)").select("u", "v")
     more = _verified(open_.join(near, ["u", "v"], "left_anti"), sets, similarity)
-    release(joined, edges, sets, wanted)
+    release(joined, edges, sets, wanted, near)
+    free_shuffles(docs.sparkSession)
     joined = connected_components(links.unionByName(more))
-    rooted = store(nodes.join(joined, nodes["id"] == joined["node"], "left").select("text_hash", "a", "b", "first", F.coalesce("component", "id").alias("root")))
+    rooted = store(nodes.join(joined, nodes["id"] == joined["node"], "left").select("text_hash", "sketch", "first", F.coalesce("component", "id").alias("root")))
     release(links, more, joined, nodes)
     least_of = store(rooted.groupBy("root").agg(F.min("first").alias("first")))
-    named = store(rooted.drop("first").join(least_of, "root").select("text_hash", "a", "b", "first"))
+    named = store(rooted.drop("first").join(least_of, "root").select("text_hash", "sketch", "first"))
     release(rooted, least_of)
     return rows, named
 
@@ -576,6 +598,6 @@ def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rec
     An empty table gives an empty result.
     """
     rows, named = similar_texts(docs, shingle, similarity, recall)
-    out = _first_rows(docs, rows.join(named, ["text_hash", "a", "b"]))
+    out = _first_rows(docs, rows.join(named, ["text_hash", "sketch"]))
     release(rows, named)
     return out
