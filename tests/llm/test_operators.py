@@ -902,6 +902,33 @@ def test_similar_texts_sketches():
     assert [x.tolist() for x in simhash.forest(sk, 3, 1, -1, np.array([[6, 1]], np.uint64))] == [[1, 2, 4], [2, 0, 3], [2, 3, 1]]
 
 
+@pytest.mark.parametrize("tile_rows", [1 << 11, 7])
+def test_similar_texts_crowded(spark, monkeypatch, tile_rows):
+    """Links of 0.8 among many nearer pairs that are just below: forests alone lose some."""
+    rng = random.Random(1)
+    texts = []
+    for k in range(60):
+        w = [f"w{i}" for i in range(300)]
+        for at in rng.sample(range(300), 4):
+            w[at] = f"x{k}_{at}"
+        texts.append(" ".join(w))
+    groups = similar_groups(texts)
+    assert 2 < len(set(groups.values())) < 30
+    monkeypatch.setattr(simhash, "_TILE_ROWS", tile_rows)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    least = {}
+    for i, t in enumerate(texts):
+        least[groups[t]] = min(i, least.get(groups[t], i))
+    assert sorted(r.doc_id for r in simhash.drop_similar(df, recall=1 - 1e-9).collect()) == sorted(least.values())
+
+
+def test_similar_texts_grids():
+    """A cell's number names every grid that the recall calls for."""
+    for rows, similarity in ((10**9, 0.8), (10**9, 0.4), (10**6, 0.3)):
+        bits, grids = simhash.grids_for(rows, similarity, 0.99)
+        assert grids <= 1 << 12 and 1 - (1 - (1 - simhash.bit_difference(similarity)) ** bits) ** grids >= 0.99
+
+
 def test_simhash_blocks():
     assert [simhash.blocks_for(n, 4) for n in (0, 10**5, 10**9)] == [8, 8, 10]
     assert len(simhash._masks(0, 4, 8)) == 70 and simhash._masks((1 << 56) - 1, 4, 8) == []

@@ -31,7 +31,9 @@ at random, as many as meet any such pair with probability ``recall``.  A pair
 counts in the first grid whose cell it shares.  Sketches in reach become
 candidate edges of least-distance spanning forests, three of them where
 distances leave doubt, and every edge that could join two groups is verified
-on the shingles.
+on the shingles.  Forests only settle first what most likely holds: then
+every other pair in reach whose texts are still in two groups is verified
+too, in tiles of its cell.
 """
 
 from __future__ import annotations
@@ -54,8 +56,10 @@ _CHUNK = 1 << 16
 #: Cells of up to so many rows are searched only if a pair in them is within reach.
 _SMALL = 64
 _CELL = "cell long, mask long, fp long"
-#: Spanning forests of edges to verify that a cell gives.
+#: Spanning forests of edges that a cell gives to be verified first; open_rows finds what they leave.
 _FORESTS = 3
+#: Rows and bytes of shingle sets of one block of a cell; a tile holds two blocks.
+_TILE_ROWS, _TILE_BYTES = 1 << 11, 16 << 20
 #: Bits of a sketch; seeds make its words from one hash.
 _BITS = 256
 _SEEDS = mix(np.arange(1, _BITS // 64 + 1, dtype=np.uint64))
@@ -353,10 +357,18 @@ def bit_difference(similarity: float) -> float:
 
 
 def grids_for(rows: int, similarity: float, recall: float, mates: int = 8) -> tuple[int, int]:
-    """(bits of a grid's cell, grids): cells hold about ``mates`` unrelated sketches, and a pair shares one with probability recall."""
+    """(bits of a grid's cell, grids): cells hold about ``mates`` unrelated sketches, and a pair shares one with probability recall.
+
+    Where that takes more grids than a cell's number can name, cells are of
+    fewer bits and hold more.
+    """
     bits = min(max(8, math.ceil(math.log2(max(rows, 1) / mates)) if rows > mates else 8), 60)
-    chance = (1 - bit_difference(similarity)) ** bits
-    return bits, math.ceil(math.log(1 - recall) / math.log1p(-chance))
+    while True:
+        chance = (1 - bit_difference(similarity)) ** bits
+        grids = math.ceil(math.log(1 - recall) / math.log1p(-chance))
+        if grids <= 1 << _GRID_BITS or bits == 1:
+            return bits, grids
+        bits -= 1
 
 
 def reach_of(similarity: float, deviations: float = 2.6) -> int:
@@ -430,8 +442,8 @@ def _choices(bits: int, grids: int, seed: int) -> np.ndarray:
 
 
 def _bit_grid(nodes: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """(cell, id, sketch): every node in each grid; rows with a column ``outer`` meet only within it.  A cell's low bits name its grid."""
-    inner = "outer" in nodes.columns
+    """(cell, id, sketch, group if nodes have it): every node in each grid; rows with a column ``outer`` meet only within it.  A cell's low bits name its grid."""
+    inner, longs = "outer" in nodes.columns, ["id", *["group"] * ("group" in nodes.columns)]
     low = np.uint64((1 << _GRID_BITS) - 1)
     grid = np.arange(len(chosen), dtype=np.uint64)
 
@@ -447,17 +459,57 @@ def _bit_grid(nodes: DataFrame, chosen: np.ndarray) -> DataFrame:
                     cell = mix(cell ^ (sk[:, w, None] & chosen[:, w]) ^ np.uint64(w + 1))
                 cell = (cell & ~low) | grid & low
                 again = np.repeat(np.arange(len(sk)), len(chosen))
-                cols = [pa.array(cell.ravel().view(np.int64)), part.column("id").take(pa.array(again)), part.column("sketch").take(pa.array(again))]
-                yield pa.RecordBatch.from_arrays(cols, ["cell", "id", "sketch"])
+                cols = [pa.array(cell.ravel().view(np.int64)), *(part.column(c).take(pa.array(again)) for c in ("sketch", *longs))]
+                yield pa.RecordBatch.from_arrays(cols, ["cell", "sketch", *longs])
+
+    return nodes.select("sketch", *longs, *["outer"] * inner).mapInArrow(run, ", ".join(["cell long, sketch binary", *(f"{c} long" for c in longs)]))
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch], key: str, names: tuple[str, ...]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of rows sorted by the key, in parts that cut no key's rows; sketches as words, shingle sets as arrays."""
+
+    def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        if name == "sketch":
+            return _words_of(batch.column(name))
+        if name == "shingles":
+            out = np.empty(batch.num_rows, object)
+            for i, s in enumerate(batch.column(name)):
+                out[i] = np.frombuffer(s.as_buffer(), "<u8")
+            return out
+        return batch.column(name).to_numpy(zero_copy_only=False)
+
+    held: list[tuple] = []  # the last key's rows, which may go on in the next batch
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = tuple(column(batch, c) for c in (key, *names))
+        start = int(np.flatnonzero(part[0] == part[0][-1])[0])
+        if start or held and held[0][0][0] != part[0][0]:
+            held.append(tuple(x[:start] for x in part))
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held = []
+        held.append(tuple(x[start:] for x in part))
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
 
-    return nodes.select("id", "sketch", *["outer"] * inner).mapInArrow(run, "cell long, id long, sketch binary")
+def _apart(sk: np.ndarray, group: np.ndarray, i: int, reach: int, earlier: np.ndarray) -> np.ndarray:
+    """The rows in reach of row i that are of another group and agree with it on none of the masks in ``earlier``."""
+    other = np.flatnonzero(group != group[i])
+    off = sk[other] ^ sk[i]
+    near = np.bitwise_count(off).sum(axis=1, dtype=np.int64) <= reach
+    other, off = other[near], off[near]
+    for at in range(0, len(earlier) if len(other) else 0, 64):
+        new = (off[:, None, :] & earlier[at : at + 64]).any(axis=2).all(axis=1)
+        other, off = other[new], off[new]
+    return other
 
 
 def _forests(grid: DataFrame, similarity: float, chosen: np.ndarray) -> DataFrame:
     """(u, v, d): the forests' edges of each cell, u < v, each once; d is the sketches' distance.
 
     A pair that shares the cell of an earlier grid (of chosen) has had its
-    turn there.
+    turn there.  Pairs in reach that the forests leave are left to open_rows.
     """
     reach, sure = reach_of(similarity), int(_BITS * bit_difference((1 + similarity) / 2))
 
@@ -484,45 +536,73 @@ def _forests(grid: DataFrame, similarity: float, chosen: np.ndarray) -> DataFram
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(3)], ["u", "v", "d"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # the last cell, which may go on in the next batch
-        for batch in batches:
-            cell, ids = (batch.column(c).to_numpy() for c in ("cell", "id"))
-            if not len(cell):
-                continue
-            part = (cell, ids, _words_of(batch.column("sketch")))
-            start = int(np.flatnonzero(cell == cell[-1])[0])
-            if start or held and held[0][0][0] != cell[0]:
-                held.append(tuple(x[:start] for x in part))
-                yield found(*(np.concatenate(x) for x in zip(*held)))
-                held = []
-            held.append(tuple(x[start:] for x in part))
-        if held:
-            yield found(*(np.concatenate(x) for x in zip(*held)))
+        for part in _whole_cells(batches, "cell", ("id", "sketch")):
+            yield found(*part)
 
     dealt = grid.repartition("cell").sortWithinPartitions("cell", "id")
     return dealt.mapInArrow(run, "u long, v long, d long").distinct()
 
 
-def candidate_edges(nodes: DataFrame, similarity: float = 0.8, recall: float = 0.99, cell_rows: int = 1 << 13) -> DataFrame:
-    """A stored table (u, v, d) of edges between the nodes (id, sketch) whose sketches are near enough for the similarity.
+def _open_cells(grid: DataFrame, similarity: float, chosen: np.ndarray) -> DataFrame:
+    """(cell, id, nth) of the rows that are in reach of a row of another group in their cell.
 
-    They span, with probability recall for each pair, what such pairs join.
-    Cells of more than cell_rows rows are dealt over grids of more bits.
+    Of the masks chosen, the first nth are of grids where a pair would have
+    had its turn before.
     """
-    bits, grids = grids_for(nodes.count(), similarity, recall)
-    chosen = _choices(bits, min(grids, 1 << _GRID_BITS), 7)
+    reach = reach_of(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, ids, sk, group in _whole_cells(batches, "cell", ("id", "sketch", "group")):
+            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            mixed = np.minimum.reduceat(group, first) != np.maximum.reduceat(group, first)
+            ends = np.append(first[1:], len(cell))
+            open_, nth = np.zeros(len(cell), bool), cell & ((1 << _GRID_BITS) - 1) if len(chosen) else np.zeros_like(cell)
+            for start, end in zip(first[mixed].tolist(), ends[mixed].tolist()):
+                s, g, o = sk[start:end], group[start:end], open_[start:end]
+                names, code, size = np.unique(g, return_inverse=True, return_counts=True)
+                for i in np.flatnonzero(code != np.argmax(size)).tolist():  # of any such pair, one row is outside the largest group
+                    got = _apart(s, g, i, reach, chosen[: int(nth[start])])
+                    o[got] = True
+                    o[i] |= len(got) > 0
+            yield pa.RecordBatch.from_arrays([pa.array(x[open_]) for x in (cell, ids, nth)], ["cell", "id", "nth"])
+
+    dealt = grid.repartition("cell").sortWithinPartitions("cell", "id")
+    return dealt.mapInArrow(run, "cell long, id long, nth long")
+
+
+def _over_grids(nodes: DataFrame, similarity: float, recall: float, cell_rows: int, search, rows: int) -> tuple[list[DataFrame], list[DataFrame], np.ndarray]:
+    """search(grid, similarity, masks) of the grids that ``rows`` nodes call for and of the finer ones of dense cells; what they read; the first masks.
+
+    Dense cells of nodes of one group are left out.
+    """
+    bits, grids = grids_for(rows, similarity, recall)
+    top = chosen = _choices(bits, grids, 7)
     grid, parts, held = _bit_grid(nodes, chosen), [], []
+    mixed = F.min("group") < F.max("group") if "group" in nodes.columns else F.lit(True)
     for level in range(1, 8):
-        hot = store(grid.groupBy("cell").agg(F.count("*").alias("rows")).where(F.col("rows") > cell_rows).select("cell"))
-        held.append(hot)
-        if level == 7 or hot.isEmpty():
-            parts.append(_forests(grid, similarity, chosen))
+        dense = store(grid.groupBy("cell").agg(F.count("*").alias("rows"), mixed.alias("mixed")).where(F.col("rows") > cell_rows).select("cell", "mixed"))
+        held.append(dense)
+        hot = dense.where("mixed")
+        done = level == 7 or hot.isEmpty()
+        apart = dense.where("not mixed") if done else dense
+        parts.append(search(grid if apart.isEmpty() else grid.join(apart, "cell", "left_anti"), similarity, chosen))
+        if done:
             break
-        parts.append(_forests(grid.join(hot, "cell", "left_anti"), similarity, chosen))
         more, times = grids_for(1 << 13, similarity, recall, mates=128)
-        grid = store(_bit_grid(grid.join(hot, "cell").withColumnRenamed("cell", "outer"), _choices(more, times, 7 + level)))
+        grid = store(_bit_grid(grid.join(hot.select("cell"), "cell").withColumnRenamed("cell", "outer"), _choices(more, times, 7 + level)))
         chosen = chosen[:0]
         held.append(grid)
+    return parts, held, top
+
+
+def candidate_edges(nodes: DataFrame, similarity: float = 0.8, recall: float = 0.99, cell_rows: int = 1 << 13) -> DataFrame:
+    """A stored table (u, v, d) of edges between the nodes (id, sketch) whose sketches are near enough for the similarity.
+
+    Every node that has such a partner in a cell has an edge; they span, with
+    probability recall for each pair, what such pairs join if all of them
+    hold.  Cells of more than cell_rows rows are dealt over grids of more bits.
+    """
+    parts, held, _ = _over_grids(nodes, similarity, recall, cell_rows, _forests, nodes.count())
     edges = parts[0]
     for p in parts[1:]:
         edges = edges.unionByName(p)
@@ -531,6 +611,63 @@ def candidate_edges(nodes: DataFrame, similarity: float = 0.8, recall: float = 0
     return out
 
 
+def open_rows(nodes: DataFrame, rows: int, similarity: float = 0.8, recall: float = 0.99, cell_rows: int = 1 << 13) -> tuple[DataFrame, np.ndarray]:
+    """A stored table (cell, id, nth) of the nodes (id, sketch, group) that share a cell with a near one of another group, and the grids' masks.
+
+    rows: the nodes that candidate_edges had, of which these are the ends of
+    edges.  The masks are then the same, and no pair is missed that was in
+    reach in a cell there.
+    """
+    parts, held, masks = _over_grids(nodes, similarity, recall, cell_rows, _open_cells, rows)
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    out = store(found)
+    release(*held)
+    return out, masks
+
+
+def settled_links(rows: DataFrame, masks: np.ndarray, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """A stored table of links (u, v) that join the groups of the nodes as all links between open_rows do.
+
+    A cell's rows form blocks of bounded size, and each two blocks a tile;
+    within a tile every pair in reach is verified whose groups the tile's
+    links haven't joined yet.
+    """
+    reach = reach_of(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile, ids, nth, block, two, sk, group, sets_ in _whole_cells(batches, "tile", ("id", "nth", "block", "two", "sketch", "group", "shingles")):
+            first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]])).tolist()
+            links = [np.zeros((0, 2), np.int64)]
+            for start, end in zip(first, [*first[1:], len(tile)]):
+                s, root, b, across = sk[start:end], group[start:end].copy(), block[start:end], bool(two[start])
+                size = np.fromiter(map(len, sets_[start:end]), np.int64, end - start)
+                for i in range(end - start - 1):
+                    rest = slice(i, end - start)  # row i and those after it
+                    got = i + _apart(s[rest], root[rest], 0, reach, masks[: int(nth[start])])
+                    fits = np.minimum(size[got], size[i]) >= similarity * np.maximum(size[got], size[i]) - 1e-6
+                    for j in got[fits & ((b[got] != b[i]) | (not across))].tolist():
+                        if root[j] != root[i] and similarity_of(sets_[start + i], sets_[start + j]) >= similarity:
+                            links.append(np.array([[ids[start + i], ids[start + j]]]))
+                            root[root == root[j]] = root[i]
+            pairs = np.concatenate(links)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+
+    sized = rows.join(sets.select("id", "n"), "id").groupBy("cell")
+    blocks = F.ceil(F.greatest(F.sum("n") / _TILE_BYTES, F.count("*") / _TILE_ROWS)).cast("int")
+    many = store(sized.agg(blocks.alias("blocks")).where("blocks > 1"))
+    placed = rows.join(light(many), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    tile = F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other"))
+    placed = placed.select("id", "nth", "block", (F.col("block") != F.col("other")).cast("long").alias("two"), tile.alias("tile"))
+    # Of a tile of two blocks each row comes once, for its own block and the other.
+    full = placed.join(nodes.select("id", "sketch", "group"), "id").join(sets.select("id", "shingles").hint("merge"), "id")
+    out = store(full.repartition("tile").sortWithinPartitions("tile", "id").mapInArrow(run, "u long, v long"))
+    release(many)
+    return out
+
+
 def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """A stored table of the edges (u, v) whose texts' shingle sets (id, shingles) are of the similarity."""
 
@@ -567,7 +704,8 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, re
     wanted = store(nodes.join(ends, "id").select("id", F.col("first.doc_id").alias("_doc"), F.col("first.text_hash").alias("_text")))
     source = docs.select(F.col("doc_id").cast("long").alias("_own"), F.xxhash64("text").alias("_hash"), "text")
     texts = source.join(light(wanted), source["_own"].eqNullSafe(wanted["_doc"]) & (source["_hash"] == wanted["_text"]))
-    sets = store(texts.select("id", "text").mapInArrow(run, "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles")))
+    sets = texts.select("id", "text").mapInArrow(run, "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles"))
+    sets = store(sets.withColumn("n", F.length("shingles")))
 
     # The nearest edge of each text first: what these join needs no other edge.
     ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"))
@@ -579,9 +717,21 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, re
     side = lambda x: joined.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
     open_ = edges.join(side("u"), "u", "left").join(side("v"), "v", "left").where("not coalesce(cu = cv, false)").select("u", "v")
     more = _verified(open_.join(near, ["u", "v"], "left_anti"), sets, similarity)
-    release(joined, edges, sets, wanted, near)
+    release(joined, edges, near)
     free_shuffles(docs.sparkSession)
     joined = connected_components(links.unionByName(more))
+
+    # Forests leave pairs in reach out; where one could still join two groups, it is verified.
+    ends = nodes.join(wanted.select("id"), "id").join(joined, F.col("id") == F.col("node"), "left")
+    ends = store(ends.select("id", "sketch", F.coalesce("component", "id").alias("group")))
+    rest, masks = open_rows(ends, nodes.count(), similarity, recall)
+    if not rest.isEmpty():
+        last = settled_links(rest, masks, ends, sets, similarity)
+        release(joined)
+        joined = connected_components(links.unionByName(more).unionByName(last))
+        release(last)
+    release(sets, wanted, rest, ends)
+    free_shuffles(docs.sparkSession)
     rooted = store(nodes.join(joined, nodes["id"] == joined["node"], "left").select("text_hash", "sketch", "first", F.coalesce("component", "id").alias("root")))
     release(links, more, joined, nodes)
     least_of = store(rooted.groupBy("root").agg(F.min("first").alias("first")))
