@@ -922,6 +922,29 @@ def test_similar_texts_crowded(spark, monkeypatch, tile_rows):
     assert sorted(r.doc_id for r in simhash.drop_similar(df, recall=1 - 1e-9).collect()) == sorted(least.values())
 
 
+def test_similar_texts_large_group(spark, monkeypatch):
+    """Whatever the size of a group, each text brings a few rows to the joins that verify and link, not one for each grid."""
+    rng = random.Random(3)
+    texts = []
+    for k in range(150):
+        w = [f"w{i}" for i in range(300)]
+        for at in rng.sample(range(300), rng.randint(2, 4)):
+            w[at] = f"x{k}_{at}"
+        texts.append(" ".join(w))
+    groups = similar_groups(texts)
+    assert max(map(len, groups.values())) > 50
+    verified, linked_rows, verify, link = [], [], simhash._verified, simhash.connected_components
+    monkeypatch.setattr(simhash, "_verified", lambda edges, *a: (verified.append(edges.count()), verify(edges, *a))[1])
+    monkeypatch.setattr(simhash, "connected_components", lambda edges: (linked_rows.append(edges.where("u <> v").distinct().count()), link(edges))[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    least = {}
+    for i, t in enumerate(texts):
+        least[groups[t]] = min(i, least.get(groups[t], i))
+    assert sorted(r.doc_id for r in simhash.drop_similar(df, recall=1 - 1e-9).collect()) == sorted(least.values())
+    assert max(verified) <= len(texts) and sum(verified) <= 2 * len(texts)
+    assert sum(linked_rows) <= 2 * len(texts), linked_rows
+
+
 def test_similar_texts_grids():
     """A cell's number names every grid that the recall calls for."""
     for rows, similarity in ((10**9, 0.8), (10**9, 0.4), (10**6, 0.3)):

@@ -30,10 +30,10 @@ therefore takes sketches of 256 bits and grids of single-bit segments drawn
 at random, as many as meet any such pair with probability ``recall``.  A pair
 counts in the first grid whose cell it shares.  Sketches in reach become
 candidate edges of least-distance spanning forests, three of them where
-distances leave doubt, and every edge that could join two groups is verified
-on the shingles.  Forests only settle first what most likely holds: then
-every other pair in reach whose texts are still in two groups is verified
-too, in tiles of its cell.
+distances leave doubt.  Two rounds verify on the shingles the nearest edge of
+each text that could join two groups.  They only settle first what most
+likely holds, by two edges a text at most: then every other pair in reach
+whose texts are still in two groups is verified too, in tiles of its cell.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ _CHUNK = 1 << 16
 #: Cells of up to so many rows are searched only if a pair in them is within reach.
 _SMALL = 64
 _CELL = "cell long, mask long, fp long"
-#: Spanning forests of edges that a cell gives to be verified first; open_rows finds what they leave.
+#: Spanning forests of edges of a cell, of which the nearest are verified first; open_rows finds what they leave.
 _FORESTS = 3
 #: Rows and bytes of shingle sets of one block of a cell; a tile holds two blocks.
 _TILE_ROWS, _TILE_BYTES = 1 << 11, 16 << 20
@@ -442,8 +442,8 @@ def _choices(bits: int, grids: int, seed: int) -> np.ndarray:
 
 
 def _bit_grid(nodes: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """(cell, id, sketch, group if nodes have it): every node in each grid; rows with a column ``outer`` meet only within it.  A cell's low bits name its grid."""
-    inner, longs = "outer" in nodes.columns, ["id", *["group"] * ("group" in nodes.columns)]
+    """(cell, id, sketch, group and n if nodes have them): every node in each grid; rows with a column ``outer`` meet only within it.  A cell's low bits name its grid."""
+    inner, longs = "outer" in nodes.columns, ["id", *(c for c in ("group", "n") if c in nodes.columns)]
     low = np.uint64((1 << _GRID_BITS) - 1)
     grid = np.arange(len(chosen), dtype=np.uint64)
 
@@ -544,7 +544,7 @@ def _forests(grid: DataFrame, similarity: float, chosen: np.ndarray) -> DataFram
 
 
 def _open_cells(grid: DataFrame, similarity: float, chosen: np.ndarray) -> DataFrame:
-    """(cell, id, nth) of the rows that are in reach of a row of another group in their cell.
+    """(cell, id, nth, sketch, group, n) of the rows that are in reach of a row of another group in their cell.
 
     Of the masks chosen, the first nth are of grids where a pair would have
     had its turn before.
@@ -552,7 +552,7 @@ def _open_cells(grid: DataFrame, similarity: float, chosen: np.ndarray) -> DataF
     reach = reach_of(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, ids, sk, group in _whole_cells(batches, "cell", ("id", "sketch", "group")):
+        for cell, ids, sk, group, n in _whole_cells(batches, "cell", ("id", "sketch", "group", "n")):
             first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
             mixed = np.minimum.reduceat(group, first) != np.maximum.reduceat(group, first)
             ends = np.append(first[1:], len(cell))
@@ -564,10 +564,11 @@ def _open_cells(grid: DataFrame, similarity: float, chosen: np.ndarray) -> DataF
                     got = _apart(s, g, i, reach, chosen[: int(nth[start])])
                     o[got] = True
                     o[i] |= len(got) > 0
-            yield pa.RecordBatch.from_arrays([pa.array(x[open_]) for x in (cell, ids, nth)], ["cell", "id", "nth"])
+            cols = [*(pa.array(x[open_]) for x in (cell, ids, nth, group, n)), pa.array([x.tobytes() for x in sk[open_]], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["cell", "id", "nth", "group", "n", "sketch"])
 
     dealt = grid.repartition("cell").sortWithinPartitions("cell", "id")
-    return dealt.mapInArrow(run, "cell long, id long, nth long")
+    return dealt.mapInArrow(run, "cell long, id long, nth long, group long, n long, sketch binary")
 
 
 def _over_grids(nodes: DataFrame, similarity: float, recall: float, cell_rows: int, search, rows: int) -> tuple[list[DataFrame], list[DataFrame], np.ndarray]:
@@ -612,9 +613,9 @@ def candidate_edges(nodes: DataFrame, similarity: float = 0.8, recall: float = 0
 
 
 def open_rows(nodes: DataFrame, rows: int, similarity: float = 0.8, recall: float = 0.99, cell_rows: int = 1 << 13) -> tuple[DataFrame, np.ndarray]:
-    """A stored table (cell, id, nth) of the nodes (id, sketch, group) that share a cell with a near one of another group, and the grids' masks.
+    """A stored table (cell, id, nth, sketch, group, n) of the nodes (id, sketch, group, n) that share a cell with a near one of another group, and the grids' masks.
 
-    rows: the nodes that candidate_edges had, of which these are the ends of
+    n: bytes of a node's shingles.  rows: the nodes that candidate_edges had, of which these are the ends of
     edges.  The masks are then the same, and no pair is missed that was in
     reach in a cell there.
     """
@@ -627,8 +628,8 @@ def open_rows(nodes: DataFrame, rows: int, similarity: float = 0.8, recall: floa
     return out, masks
 
 
-def settled_links(rows: DataFrame, masks: np.ndarray, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """A stored table of links (u, v) that join the groups of the nodes as all links between open_rows do.
+def settled_links(rows: DataFrame, masks: np.ndarray, sets: DataFrame, similarity: float) -> DataFrame:
+    """A stored table of pairs of groups (u, v) that join the groups of open_rows as all links between the rows do.
 
     A cell's rows form blocks of bounded size, and each two blocks a tile;
     within a tile every pair in reach is verified whose groups the tile's
@@ -637,7 +638,7 @@ def settled_links(rows: DataFrame, masks: np.ndarray, nodes: DataFrame, sets: Da
     reach = reach_of(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tile, ids, nth, block, two, sk, group, sets_ in _whole_cells(batches, "tile", ("id", "nth", "block", "two", "sketch", "group", "shingles")):
+        for tile, nth, block, two, sk, group, sets_ in _whole_cells(batches, "tile", ("nth", "block", "two", "sketch", "group", "shingles")):
             first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]])).tolist()
             links = [np.zeros((0, 2), np.int64)]
             for start, end in zip(first, [*first[1:], len(tile)]):
@@ -649,38 +650,52 @@ def settled_links(rows: DataFrame, masks: np.ndarray, nodes: DataFrame, sets: Da
                     fits = np.minimum(size[got], size[i]) >= similarity * np.maximum(size[got], size[i]) - 1e-6
                     for j in got[fits & ((b[got] != b[i]) | (not across))].tolist():
                         if root[j] != root[i] and similarity_of(sets_[start + i], sets_[start + j]) >= similarity:
-                            links.append(np.array([[ids[start + i], ids[start + j]]]))
+                            links.append(np.array([[group[start + i], group[start + j]]]))
                             root[root == root[j]] = root[i]
-            pairs = np.concatenate(links)
+            pairs = np.unique(np.concatenate(links), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
-    sized = rows.join(sets.select("id", "n"), "id").groupBy("cell")
     blocks = F.ceil(F.greatest(F.sum("n") / _TILE_BYTES, F.count("*") / _TILE_ROWS)).cast("int")
-    many = store(sized.agg(blocks.alias("blocks")).where("blocks > 1"))
+    many = store(rows.groupBy("cell").agg(blocks.alias("blocks")).where("blocks > 1"))
     placed = rows.join(light(many), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     tile = F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other"))
-    placed = placed.select("id", "nth", "block", (F.col("block") != F.col("other")).cast("long").alias("two"), tile.alias("tile"))
+    placed = placed.select("id", "nth", "sketch", "group", "block", (F.col("block") != F.col("other")).cast("long").alias("two"), tile.alias("tile"))
     # Of a tile of two blocks each row comes once, for its own block and the other.
-    full = placed.join(nodes.select("id", "sketch", "group"), "id").join(sets.select("id", "shingles").hint("merge"), "id")
+    full = placed.join(sets.select("id", "shingles").hint("merge"), "id")
     out = store(full.repartition("tile").sortWithinPartitions("tile", "id").mapInArrow(run, "u long, v long"))
     release(many)
     return out
 
 
 def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """A stored table of the edges (u, v) whose texts' shingle sets (id, shingles) are of the similarity."""
+    """A stored table of the edges (u, v and longs) whose texts' shingle sets (id, shingles) are of the similarity."""
+    names = edges.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = ([np.frombuffer(s.as_buffer(), "<u8") for s in batch.column(c)] for c in ("su", "sv"))
             true = [similarity_of(p, q) >= similarity for p, q in zip(x, y)]
-            yield batch.select(["u", "v"]).filter(pa.array(true, pa.bool_()))
+            yield batch.select(names).filter(pa.array(true, pa.bool_()))
 
     # The sets grow with the corpus, so they are merged, never broadcast.
-    one = edges.select("u", "v").join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("su")).hint("merge"), "u")
-    both = one.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv")).hint("merge"), "v").select("u", "v", "su", "sv")
-    return store(both.mapInArrow(run, "u long, v long"))
+    one = edges.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("su")).hint("merge"), "u")
+    both = one.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv")).hint("merge"), "v").select(*names, "su", "sv")
+    return store(both.mapInArrow(run, ", ".join(f"{c} long" for c in names)))
+
+
+def _nearest(edges: DataFrame) -> DataFrame:
+    """A stored table of the nearest edge of each text, each once: of edges (u, v, d and more), u < v, all but d."""
+    more = [c for c in edges.columns if c not in ("u", "v", "d")]
+    ways = edges.unionByName(edges.withColumns({"u": F.col("v"), "v": F.col("u")}))
+    least = ways.groupBy("u").agg(F.min(F.struct("d", "v", *more)).alias("to"))
+    return store(least.select(F.least("u", "to.v").alias("u"), F.greatest("u", "to.v").alias("v"), *(f"to.{c}" for c in more)).distinct())
+
+
+def _regrouped(rows: DataFrame, wider: DataFrame) -> DataFrame:
+    """The rows with the components (node, component) of their groups as groups."""
+    found = rows.join(light(wider), rows["group"] == wider["node"], "left")
+    return found.select(*(F.coalesce("component", "group").alias("group") if c == "group" else rows[c] for c in rows.columns))
 
 
 def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.99) -> tuple[DataFrame, DataFrame]:
@@ -708,32 +723,37 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, re
     sets = store(sets.withColumn("n", F.length("shingles")))
 
     # The nearest edge of each text first: what these join needs no other edge.
-    ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"))
-    near = ways.groupBy("u").agg(F.min(F.struct("d", "v")).alias("to")).select(F.least("u", "to.v").alias("u"), F.greatest("u", "to.v").alias("v")).distinct()
-    near = store(near)
+    near = _nearest(edges)
     links = _verified(near, sets, similarity)
     free_shuffles(docs.sparkSession)
     joined = connected_components(links)
     side = lambda x: joined.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    open_ = edges.join(side("u"), "u", "left").join(side("v"), "v", "left").where("not coalesce(cu = cv, false)").select("u", "v")
-    more = _verified(open_.join(near, ["u", "v"], "left_anti"), sets, similarity)
-    release(joined, edges, near)
+    sided = edges.join(side("u"), "u", "left").join(side("v"), "v", "left").withColumns({"cu": F.coalesce("cu", "u"), "cv": F.coalesce("cv", "v")})
+    open_ = store(sided.where("cu <> cv").select("u", "v", "d", "cu", "cv").join(near, ["u", "v"], "left_anti"))
+    release(edges, near, links)
+
+    # Then the nearest that could still join two groups, of which only groups are linked.
+    near = _nearest(open_)
+    links = _verified(near, sets, similarity)
+    release(open_, near)
     free_shuffles(docs.sparkSession)
-    joined = connected_components(links.unionByName(more))
+    wider = connected_components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    ends = nodes.select("id", "sketch").join(sets.select("id", F.col("n").cast("long").alias("n")), "id").join(joined, F.col("id") == F.col("node"), "left")
+    ends = store(_regrouped(ends.select("id", "sketch", "n", F.coalesce("component", "id").alias("group")), wider))
+    release(joined, links, wider, wanted)
 
-    # Forests leave pairs in reach out; where one could still join two groups, it is verified.
-    ends = nodes.join(wanted.select("id"), "id").join(joined, F.col("id") == F.col("node"), "left")
-    ends = store(ends.select("id", "sketch", F.coalesce("component", "id").alias("group")))
+    # Both leave pairs in reach out; where one could still join two groups, it is verified.
     rest, masks = open_rows(ends, nodes.count(), similarity, recall)
+    groups = ends.select("id", "group")
     if not rest.isEmpty():
-        last = settled_links(rest, masks, ends, sets, similarity)
-        release(joined)
-        joined = connected_components(links.unionByName(more).unionByName(last))
+        last = settled_links(rest, masks, sets, similarity)
+        wider = connected_components(last)
+        groups = _regrouped(groups, wider)
         release(last)
-    release(sets, wanted, rest, ends)
+    release(sets, rest)
     free_shuffles(docs.sparkSession)
-    rooted = store(nodes.join(joined, nodes["id"] == joined["node"], "left").select("text_hash", "sketch", "first", F.coalesce("component", "id").alias("root")))
-    release(links, more, joined, nodes)
+    rooted = store(nodes.join(groups, "id", "left").select("text_hash", "sketch", "first", F.coalesce("group", "id").alias("root")))
+    release(ends, wider, nodes)
     least_of = store(rooted.groupBy("root").agg(F.min("first").alias("first")))
     named = store(rooted.drop("first").join(least_of, "root").select("text_hash", "sketch", "first"))
     release(rooted, least_of)
