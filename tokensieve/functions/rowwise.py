@@ -15,7 +15,7 @@ SPACE = r"[ \t\n\r\f\x0B]+"
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with value computed once, as the variable of a lambda."""
-    return F.transform(F.array(value), use)[0]
+    return F.transform(F.array(value), lambda x: use(x))[0]
 
 
 def words_in(text: Column) -> Column:
@@ -61,10 +61,10 @@ def tone_kept(text: Column, ratio: float = 4.0, k: int = 2) -> Column:
     return let(_featured(words_in(text)), lambda items: let(_scored(items), pick))
 
 
-def compression(text: Column, ratio: float = 4.0, k: int = 2) -> Column:
-    """Struct of original_length, compressed_length, compression_ratio, token_savings_pct and compressed_text."""
+def sized(n: Column, kept: Column) -> Column:
+    """Struct of original_length, compressed_length, compression_ratio, token_savings_pct and compressed_text of n tokens and those kept."""
 
-    def sized(both: Column) -> Column:
+    def of(both: Column) -> Column:
         n, m = both["n"].cast("long"), F.size(both["kept"]).cast("long")
         return F.struct(
             n.alias("original_length"),
@@ -74,4 +74,9 @@ def compression(text: Column, ratio: float = 4.0, k: int = 2) -> Column:
             F.array_join(both["kept"], " ").alias("compressed_text"),
         )
 
-    return let(F.struct(F.size(words_in(text)).alias("n"), tone_kept(text, ratio, k).alias("kept")), sized)
+    return let(F.struct(n.alias("n"), kept.alias("kept")), of)
+
+
+def compression(text: Column, ratio: float = 4.0, k: int = 2) -> Column:
+    """Struct of original_length, compressed_length, compression_ratio, token_savings_pct and compressed_text."""
+    return sized(F.size(words_in(text)), tone_kept(text, ratio, k))

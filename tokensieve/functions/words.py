@@ -21,14 +21,18 @@ def lookup(table: Mapping[str, object], key: Column, kind: str) -> Column:
 
 def word_class(tok: Column) -> Column:
     """function, reduplicative, compound, other (one or two letters) or content, the first that fits."""
-    low = F.lower(F.trim(tok))
+    return class_of_low(F.lower(F.trim(tok)))
+
+
+def class_of_low(low: Column) -> Column:
+    """word_class() of a token in lower case."""
     keys = sorted(REDUPLICATIVE_KEYS)
     return (
         F.when(low.isin(*FUNCTION_WORDS), "function")
         .when(low.isin(*keys), "reduplicative")
         .when(low.contains("_") & F.exists(F.split(low, "_"), lambda p: p.isin(*keys)), "reduplicative")
         .when(low.contains("_"), "compound")
-        .when(low.rlike(r"^\p{L}{1,2}$"), "other")
+        .when((F.length(low) <= 2) & low.rlike(r"^\p{L}{1,2}$"), "other")
         .otherwise("content")
     )
 

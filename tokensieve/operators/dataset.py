@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rowwise import let
+from . import rows
 from .scores import document
 from .select import seeded
 from .tokens import with_tone
@@ -34,12 +36,28 @@ def training_rows(toks: DataFrame, ratio: float = 4.0, most: int = 512, least: i
     )
 
 
+def training_rows_of(table: DataFrame, ratio: float = 4.0, most: int = 512, least: int = 10, k: int = 2, seed: int = 42) -> DataFrame:
+    """training_rows() of rows (doc_id, toks), each made within its own row."""
+
+    def made(labels: Column) -> Column:
+        m = F.size(labels)
+        goal = F.greatest(F.floor(m / F.lit(ratio)).cast("int"), F.lit(1))
+        keys = F.transform(labels, lambda _, i: F.concat(seeded(seed, F.col("doc_id"), i), i.cast("string")))
+        kept = F.when(goal <= 2 * k, F.slice(labels, 1, goal)).otherwise(rows.best(labels, keys, goal - 2 * k, k, at=rows.seeded_place))
+        tones = F.transform(rows.featured(labels), lambda e: e["d"])
+        return F.struct(m.alias("original_length"), labels.alias("labels"), tones.alias("tone_labels"), kept.alias("input_tokens"))
+
+    made_of = let(F.slice("toks", 1, most), made)
+    some = table.where(F.size("toks") >= least).select("doc_id", made_of.alias("c"))
+    return some.select("doc_id", "c.original_length", F.size("c.input_tokens").alias("compressed_length"), "c.labels", "c.tone_labels", "c.input_tokens")
+
+
 def pad(array: Column, length: int, value) -> Column:
     """The array cut or filled up to a length."""
     return F.slice(F.concat(array, F.array_repeat(F.lit(value), length)), 1, length)
 
 
-def batches(rows: DataFrame, size: int = 8, fill: str = "", ignore: str = "-100") -> DataFrame:
+def batches(made: DataFrame, size: int = 8, fill: str = "", ignore: str = "-100") -> DataFrame:
     """(batch, doc_ids, input_tokens, attention, labels, tone_labels): training rows padded to the longest of their batch.
 
     A batch is the rows of ``size`` consecutive doc_ids.  Inputs are padded
@@ -48,7 +66,7 @@ def batches(rows: DataFrame, size: int = 8, fill: str = "", ignore: str = "-100"
     """
     batch = F.floor(F.col("doc_id") / size).alias("batch")
     row = F.struct("doc_id", "input_tokens", "labels", "tone_labels")
-    held = rows.groupBy(batch).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    held = made.groupBy(batch).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     longest = lambda c: F.array_max(F.transform("rows", lambda x: F.size(x[c])))
     sized = held.withColumns({"m": longest("input_tokens"), "n": longest("labels")})
     padded = lambda c, length, value: F.transform("rows", lambda x: _padded(x[c], F.col(length), value)).alias(c)

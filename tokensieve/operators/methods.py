@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tone, words
 from ..lexicon import CLASS_KEEP, REDUPLICATIVE_KEYS
+from . import rows
 from .scores import class_scale, document, min_max, rescored, streaming_importance
 from .select import edge, keep_ranked, rank_middle, seeded, target, top_k
 from .tokens import by_document, features, with_class, with_contrast, with_tone
@@ -249,53 +250,38 @@ def compress(name: str, toks: DataFrame, **options) -> DataFrame:
 NO_MODEL = ("tone_only", "morph_only", "combined", "random", "first", "longest")
 
 
-def _grid_orders() -> dict[str, list[Column]]:
-    """How the methods of the boundary family order a document's middle."""
-    pos = F.col("pos")
-    return {
-        "first": [pos],
-        "longest": [F.length("tok").desc(), pos],
-        "tone_only": [F.round("tone_score", 9).desc(), pos],
-        "random": [seeded(SEED, F.col("doc_id"), pos)],
-        "combined": [F.round(F.lit(0.5) * F.col("tone_score") + F.lit(0.5) * F.col("f_class"), 9).desc(), pos],
-    }
+def checked(names: tuple[str, ...]) -> tuple[str, ...]:
+    """The names, which must be of NO_MODEL and none."""
+    unknown = set(names) - {"none", *NO_MODEL}
+    if unknown:
+        raise ValueError(f"{', '.join(sorted(unknown))} can't be had from tokens alone; {', '.join((*NO_MODEL, 'none'))} can")
+    return names
 
 
-def grid(toks: DataFrame, names: tuple[str, ...] = NO_MODEL, ratios: tuple[float, ...] = (4.0,), k: int = 2) -> DataFrame:
+def grid(toks: DataFrame, names: tuple[str, ...] = NO_MODEL, ratios: tuple[float, ...] = (4.0,)) -> DataFrame:
     """(doc_id, n, toks, method, ratio, kept) of each document for every method and ratio, in one pass over the tokens.
 
     Each method ranks once for all ratios.  kept holds the tokens left, in
-    order, toks all of them.  names are of NO_MODEL and none.
+    order, toks all of them.  names are of NO_MODEL and none.  toks is a
+    token table, or has a row (doc_id, toks) for each document.
     """
-    orders = {m: o for m, o in _grid_orders().items() if m in names}
-    unknown = set(names) - set(orders) - {"none", "morph_only"}
-    if unknown:
-        raise ValueError(f"{', '.join(sorted(unknown))} can't be had from tokens alone; {', '.join((*NO_MODEL, 'none'))} can")
-    made = features(toks).withColumn("is_edge", edge(k))
-    part, group = Window.partitionBy("doc_id", "is_edge"), Window.partitionBy("doc_id", "is_edge", "word_class")
-    quota = F.floor(F.count("*").over(group) * words.class_keep(F.col("word_class")))
-    drawn = F.row_number().over(group.orderBy(seeded(SEED, F.col("doc_id"), F.col("pos")))) <= quota
-    made = made.withColumns({f"r_{m}": F.row_number().over(part.orderBy(*o)) for m, o in orders.items()} | {"drawn": drawn})
-    row = F.struct("pos", "tok", "is_edge", "drawn", *[f"r_{m}" for m in orders])
-    whole = made.groupBy("doc_id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(row)).alias("all"))
-
-    def left(name: str, ratio: float) -> Column:
-        if name == "none":
-            keep = lambda x: F.lit(True)
-        elif name == "morph_only":
-            keep = lambda x: x["is_edge"] | x["drawn"]
-        else:
-            keep = lambda x: x["is_edge"] | (x[f"r_{name}"] <= target(ratio, k, "boundary") - 2 * k)
-        return F.transform(F.filter("all", keep), lambda x: x["tok"])
-
-    cells = [F.struct(F.lit(m).alias("method"), F.lit(r).alias("ratio"), left(m, r).alias("kept")) for m in names for r in ratios]
-    return whole.select("doc_id", "n", F.transform("all", lambda x: x["tok"]).alias("toks"), F.explode(F.array(*cells)).alias("c")).select("doc_id", "n", "toks", "c.*")
+    checked(names)
+    return rows.grid(toks if "toks" in toks.columns else rows.gathered(toks), names, ratios)
 
 
 def evaluate(toks: DataFrame, names: tuple[str, ...] = NO_MODEL, ratios: tuple[float, ...] = (4.0,)) -> DataFrame:
     """The compressed documents of every method and ratio, with columns method and ratio, as assemble() gives them."""
-    n, m = F.col("original_length"), F.col("compressed_length")
     done = grid(toks, names, ratios).select(
         "doc_id", "method", "ratio", F.col("n").cast("long").alias("original_length"), F.size("kept").cast("long").alias("compressed_length"), F.array_join("kept", " ").alias("compressed_text")
     )
+    return _with_rates(done)
+
+
+def evaluate_sizes(table: DataFrame, names: tuple[str, ...] = NO_MODEL, ratios: tuple[float, ...] = (4.0,)) -> DataFrame:
+    """evaluate() of rows (doc_id, toks) with the number of characters, n_chars, instead of the text."""
+    return _with_rates(rows.sizes(table, checked(names), ratios))
+
+
+def _with_rates(done: DataFrame) -> DataFrame:
+    n, m = F.col("original_length"), F.col("compressed_length")
     return done.withColumns({"compression_ratio": F.round(n / F.greatest(m, F.lit(1)), 6), "token_savings_pct": F.round((n - m) / F.greatest(n, F.lit(1)) * 100.0, 6)})

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pairs, tone
+from ..functions.rowwise import let
+from . import rows
 
 
 def exact_match(a: Column, b: Column) -> Column:
@@ -153,3 +155,21 @@ def tone_counts(toks: DataFrame, kept: DataFrame) -> DataFrame:
     after = kept.groupBy("doc_id").agg(F.sum(F.length(marks())).alias("toned_chars_kept"), F.count_if(F.length(marks()) > 0).alias("toned_tokens_kept"))
     rate = lambda c: F.round(F.when(F.col("toned_tokens") > 0, F.col(c) / F.col("toned_tokens")).otherwise(F.lit(1.0)), 6)
     return before.join(after, "doc_id").withColumns({"tone_char_token_rate": rate("toned_chars_kept"), "tone_token_rate": rate("toned_tokens_kept")})
+
+
+def tone_counts_of(table: DataFrame) -> DataFrame:
+    """tone_counts() of rows (doc_id, toks) and what tone compression keeps of them, within each row."""
+
+    def counts(toks: Column, items: Column, test) -> Column:
+        marks = lambda i: F.length(tone.tone_marks(F.get(toks, i))).cast("long")
+        toned = F.filter(F.transform(items, lambda e, i: F.when((e["d"] > 0) & test(i), marks(i))), lambda x: x.isNotNull())
+        before = F.size(F.filter(items, lambda e: e["d"] > 0)).cast("long").alias("toned_tokens")
+        chars = F.aggregate(toned, F.lit(0).cast("long"), lambda a, x: a + x).alias("toned_chars_kept")
+        return F.struct(before, chars, F.size(toned).cast("long").alias("toned_tokens_kept"))
+
+    def made(toks: Column) -> Column:
+        return rows.with_scores(toks, lambda items, s: rows.boundary(toks, F.transform(s, rows.down), use=lambda test: counts(toks, items, test)))
+
+    rate = lambda c: F.round(F.when(F.col("toned_tokens") > 0, F.col(c) / F.col("toned_tokens")).otherwise(F.lit(1.0)), 6)
+    out = table.select("doc_id", let(F.col("toks"), made).alias("c")).select("doc_id", "c.*")
+    return out.withColumns({"tone_char_token_rate": rate("toned_chars_kept"), "tone_token_rate": rate("toned_tokens_kept")})

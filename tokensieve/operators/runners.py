@@ -9,19 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tone
-from . import methods, metrics
+from . import methods, metrics, rows
 from . import tokens as T
 
 
 def compress_text(spark: SparkSession, text: str, ratio: float = 4.0, names: tuple[str, ...] = methods.NO_MODEL) -> DataFrame:
     """What each method leaves of one text: a row a method."""
     docs = spark.createDataFrame([(0, text)], "doc_id long, text string")
-    return methods.evaluate(T.tokens(docs), names, (ratio,)).drop("doc_id")
+    return methods.evaluate(rows.rows(docs), names, (ratio,)).drop("doc_id")
 
 
 def benchmark_texts(docs: DataFrame, names: tuple[str, ...] = methods.NO_MODEL, ratios: tuple[float, ...] = (2.0, 4.0, 6.0, 8.0)) -> DataFrame:
     """(name, avg_compression_ratio, avg_token_savings_pct, num_samples) of docs (doc_id, text) for each method@ratio."""
-    done = methods.evaluate(T.tokens(docs), names, ratios).groupBy("method", "ratio")
+    done = methods.evaluate_sizes(rows.rows(docs), names, ratios).groupBy("method", "ratio")
     out = done.agg(F.avg("compression_ratio").alias("cr"), F.avg("token_savings_pct").alias("ts"), F.count("*").alias("num_samples"))
     name = F.format_string("%s@%.1fx", "method", "ratio").alias("name")
     return out.select(name, F.bround("cr", 2).alias("avg_compression_ratio"), F.bround("ts", 1).alias("avg_token_savings_pct"), "num_samples")
@@ -40,13 +40,12 @@ def evaluate_samples(
     query; without one the compressed context itself is the answer, as an
     extractive summary is.  Contexts without tokens give no rows.
     """
-    left = methods.grid(T.tokens(samples.select("doc_id", F.col("context").alias("text"))), names, ratios)
-    told = samples.select("doc_id", "task", "query", F.col("reference_answer").alias("reference"))
+    told = samples.where(F.col("context").rlike(rows.SOME["space"])).select("doc_id", T.TOKENIZERS["space"](F.col("context")).alias("toks"), "task", "query", F.col("reference_answer").alias("reference"))
     compressed = F.array_join("kept", " ")
-    rows = left.join(told, "doc_id").withColumn("answer", compressed if generate is None else generate(compressed, F.col("query")))
+    left = methods.grid(told, names, ratios).withColumn("answer", compressed if generate is None else generate(compressed, F.col("query")))
     n, m = F.col("n"), F.size("kept")
     toned = lambda c: F.size(F.filter(c, lambda x: F.length(tone.tone_marks(x)) > 0))
-    rows = rows.withColumns(
+    answers = left.withColumns(
         {
             "pred": F.col("kept") if generate is None else T.TOKENIZERS["space"](F.col("answer")),
             "ref": T.TOKENIZERS["space"](F.coalesce("reference", F.lit(""))),
@@ -55,7 +54,7 @@ def evaluate_samples(
             "tone_rate": F.when(toned("toks") > 0, toned("kept") / toned("toks")),
         }
     )
-    return metrics.answer_metrics(rows).drop("kept", "toks", "pred", "ref", "query", "reference", "n")
+    return metrics.answer_metrics(answers).drop("kept", "toks", "pred", "ref", "query", "reference", "n")
 
 
 def evaluate_sample(spark: SparkSession, context: str, query: str, reference: str, method: str = "combined", ratio: float = 4.0, generate: Callable[[Column, Column], Column] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tone, words
 from ..lexicon import MAX_PARTS, SINO_MORPHEMES, WORD_LIST
+from ..functions.rowwise import let
 from .tokens import by_document, tokens
 
 
@@ -65,6 +66,71 @@ def segment(toks: DataFrame, clean: bool = True) -> DataFrame:
     return out.withColumn("word_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("start")) - 1).select("doc_id", "word_no", "start", "word")
 
 
+def pieces_of(toks: Column, clean: bool = True) -> Column:
+    """The subword pieces of a token array: without marks of word boundaries and empty ones, if clean; else in lower case."""
+    return F.filter(F.transform(toks, words.clean_piece if clean else F.lower), lambda x: x != "")
+
+
+def lengths_in(pieces: Column) -> Column:
+    """For each piece the longest run of up to MAX_PARTS from here that the word list has; 1 if none."""
+    known = sorted(w for w in WORD_LIST if "_" in w)
+    opens = sorted({"_".join(w.split("_")[:n]) for w in known for n in range(1, w.count("_") + 1)})
+
+    def of(x: Column, i: Column) -> Column:
+        joined, out = x, F.lit(1)
+        for size in range(2, MAX_PARTS + 1):
+            joined = F.concat(joined, F.lit("_"), F.get(pieces, i + size - 1))
+            out = F.when(joined.isin(*known), size).otherwise(out)
+        return F.when(x.isin(*opens), out).otherwise(F.lit(1))
+
+    return F.transform(pieces, of)
+
+
+def words_in(pieces: Column) -> Column:
+    """Structs (start, word) of greedy longest matches in a row's pieces, in order.
+
+    Places that no earlier match reaches start a word for certain; what lies
+    between two of them is folded alone.
+    """
+
+    def is_fresh(sizes: Column, i: Column) -> Column:
+        out = F.lit(True)
+        for j in range(1, MAX_PARTS):
+            out = out & F.coalesce(F.get(sizes, i - j) <= j, F.lit(True))
+        return out
+
+    def block(sizes: Column, fresh: Column, at: Column, b: Column) -> Column:
+        end = F.coalesce(F.get(fresh, b + 1), F.size(sizes))
+        run = lambda e: F.transform(_starts(F.slice(sizes, at + 1, e - at)), lambda x: x + at)
+        return let(end, lambda e: F.when(e == at + 1, F.array(at)).otherwise(run(e)))
+
+    def starts(sizes: Column) -> Column:
+        fresh = F.filter(F.transform(sizes, lambda _, i: F.when(is_fresh(sizes, i), i)), lambda x: x.isNotNull())
+        return let(fresh, lambda f: F.flatten(F.transform(f, lambda at, b: block(sizes, f, at, b))))
+
+    word = lambda ps, sizes, at: F.array_join(F.slice(ps, at + 1, F.get(sizes, at)), "_")
+    found = lambda ps, sizes: F.transform(starts(sizes), lambda at: F.struct(at.alias("start"), word(ps, sizes, at).alias("word")))
+    return let(pieces, lambda ps: let(lengths_in(ps), lambda sizes: found(ps, sizes)))
+
+
+def segment_rows(table: DataFrame, clean: bool = True) -> DataFrame:
+    """(doc_id, n, words): segment() of rows (doc_id, toks), a document's words in its own row; n counts its tokens. Documents without pieces have no row."""
+    some = table.where(F.exists("toks", lambda t: words.clean_piece(t) != "")) if clean else table
+    return some.select("doc_id", F.size("toks").alias("n"), words_in(pieces_of(F.col("toks"), clean)).alias("words"))
+
+
+def spans_in(words_: Column, n: Column) -> Column:
+    """Struct of the sums of span_start and span_end and the last span_end of a row's words: see align()."""
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(0).alias("end"), zero.alias("sum_start"), zero.alias("sum_end"))
+
+    def step(acc: Column, x: Column) -> Column:
+        end = acc["end"] + F.size(F.split(x["word"], "_"))
+        return F.struct(end.alias("end"), (acc["sum_start"] + acc["end"]).alias("sum_start"), (acc["sum_end"] + F.least(end, n)).alias("sum_end"))
+
+    return F.aggregate(words_, start, step, lambda acc: F.struct(acc["sum_start"].alias("sum_start"), acc["sum_end"].alias("sum_end"), F.least(acc["end"], n).alias("last_end")))
+
+
 def align(segments: DataFrame, counts: DataFrame) -> DataFrame:
     """Adds (span_start, span_end): running numbers of ``_`` parts, the end capped at the document's n tokens."""
     spec = Window.partitionBy("doc_id").orderBy("word_no")

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tone, words
 from ..lexicon import SINO_MORPHEMES
-from ..operators import dataset, methods, metrics, runners, scores, segment, select
+from ..functions.rowwise import let
+from ..operators import dataset, methods, metrics, runners, scores, segment
+from ..operators import rows as R
 from ..operators import tokens as T
+from ..operators.surprisal import Corpus, negative_log
 from ..sources import tables
 from ..sources.tables import table
 from ..streaming import stream
@@ -24,6 +27,13 @@ def query(f):
     return f
 
 
+def query_of_rows(f):
+    """query_of_words() of f(spark, sf_dir, rows), whose documents have a row each."""
+    for name, source in ((f.__name__, _stream_rows), (f"{f.__name__}_text", _rows)):
+        QUERIES[name] = lambda spark, sf_dir, source=source: f(spark, sf_dir, source(spark, sf_dir))
+    return f
+
+
 def query_of_words(f):
     """Register f(spark, sf_dir, words) over the lexicon stream, and as <name>_text over the documents' own tokens."""
     for name, source in ((f.__name__, _stream), (f"{f.__name__}_text", _tokens)):
@@ -49,13 +59,17 @@ def _stream(spark, sf_dir):
     return T.lexicon_stream(documents(spark, sf_dir))
 
 
-def _with_base(toks: DataFrame) -> DataFrame:
-    """A base score that stands in for a model's: longer tokens weigh more."""
-    return toks.withColumn("base_score", F.length("tok") / (F.length("tok") + F.lit(4.0)))
+def _rows(spark, sf_dir):
+    return R.rows(spread(documents(spark, sf_dir)))
+
+
+def _stream_rows(spark, sf_dir):
+    return R.lexicon_rows(spread(documents(spark, sf_dir)))
 
 
 def _with_surprisal(spark, sf_dir):
-    return scores.ngram_surprisal(_tokens(spark, sf_dir))
+    """(doc_id, toks, surprisal) of each document."""
+    return Corpus(documents(spark, sf_dir)).surprisal()
 
 
 # tokens and tones
@@ -78,7 +92,7 @@ def tone_features(spark, sf_dir):
 @query
 def token_analysis(spark, sf_dir):
     """The full analysis of every token, counted by its outcome."""
-    a = T.analyse(_tokens(spark, sf_dir)).select("analysis.*")
+    a = R.analysed(_rows(spark, sf_dir)).select("analysis.*")
     keys = ["token", F.array_join("tones_present", ",").alias("tones_present"), "dominant_tone", F.round("tone_density", 9).alias("tone_density"), "tone_variety", F.round("preservation_weight", 6).alias("preservation_weight")]
     return a.groupBy(*keys).agg(F.count("*").alias("n_used"))
 
@@ -91,8 +105,10 @@ def tone_sequence(spark, sf_dir):
 
 @query
 def tone_contrast(spark, sf_dir):
-    toks = T.with_contrast(T.with_tone(_tokens(spark, sf_dir)))
-    return toks.groupBy("doc_id").agg(F.round(F.avg("contrast"), 6).alias("mean_contrast"), F.round(F.max("contrast"), 6).alias("max_contrast"), F.round(F.sum("tone_score"), 4).alias("sum_score"))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    means = lambda c, s: F.struct(F.round(total(c) / F.size(c), 6).alias("mean_contrast"), F.round(F.array_max(c), 6).alias("max_contrast"), F.round(total(s), 4).alias("sum_score"))
+    made = R.with_scores(F.col("toks"), lambda items, s: let(R.contrasts(items), lambda c: means(c, s)))
+    return _rows(spark, sf_dir).select("doc_id", made.alias("c")).select("doc_id", "c.*")
 
 
 @query
@@ -136,10 +152,10 @@ def word_class_of_tokens(spark, sf_dir):
     return out.select("tok", "n_used", "word_class", words.class_multiplier(F.col("word_class")).alias("multiplier"), words.class_keep(F.col("word_class")).alias("keep"))
 
 
-@query_of_words
-def redup_pairs(spark, sf_dir, toks):
-    toks = methods.pair_partners(toks)
-    return toks.where("partner is not null").select("doc_id", F.col("pos").alias("left_pos"), F.col("partner").alias("right_pos"))
+@query_of_rows
+def redup_pairs(spark, sf_dir, table):
+    pairs = F.transform(let(F.col("toks"), R.partners), lambda p, i: F.when(p.isNotNull(), F.struct(i.alias("left_pos"), p.alias("right_pos"))))
+    return table.select("doc_id", F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("c")).select("doc_id", "c.*")
 
 
 @query_of_words
@@ -173,30 +189,38 @@ def sino_compounds(spark, sf_dir):
     return pairs.where(F.length("compound") >= 6).withColumn("is_sino", segment.is_sino(F.col("compound")))
 
 
-@query_of_words
-def word_segment(spark, sf_dir, toks):
-    words_ = segment.segment(toks)
-    return words_.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count_if(F.col("word").contains("_")).alias("n_joined"), F.sum(F.col("start") * (F.length("word") + 1)).alias("checksum"))
+def _total(items: str, of) -> Column:
+    """Sum of of(item) over an array, as a long."""
+    return F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + of(x))
+
+
+@query_of_rows
+def word_segment(spark, sf_dir, table):
+    out = segment.segment_rows(table)
+    joined = F.size(F.filter("words", lambda x: x["word"].contains("_"))).cast("long").alias("n_joined")
+    return out.select("doc_id", F.size("words").cast("long").alias("n_words"), joined, _total("words", lambda x: x["start"] * (F.length(x["word"]) + 1)).alias("checksum"))
 
 
 @query
 def segment_text(spark, sf_dir):
     """Words that the text segmenter makes of each document."""
-    out = segment.segment_text(documents(spark, sf_dir))
-    return out.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.sum((F.col("word_no") + 1) * F.length("word")).alias("checksum"))
+    out = segment.segment_rows(_rows(spark, sf_dir), clean=False)
+    sizes = out.select("doc_id", F.transform("words", lambda x, i: (i + 1) * F.length(x["word"])).alias("sizes"))
+    return sizes.select("doc_id", F.size("sizes").cast("long").alias("n_words"), _total("sizes", lambda x: x).alias("checksum"))
 
 
-@query_of_words
-def align_spans(spark, sf_dir, toks):
-    counts = toks.groupBy("doc_id").agg(F.max("n").alias("n"))
-    spans = segment.align(segment.segment(toks), counts)
-    return spans.groupBy("doc_id").agg(F.sum("span_start").alias("sum_start"), F.sum("span_end").alias("sum_end"), F.max("span_end").alias("last_end"))
+@query_of_rows
+def align_spans(spark, sf_dir, table):
+    out = segment.segment_rows(table)
+    return out.select("doc_id", let(F.struct("words", "n"), lambda d: segment.spans_in(d["words"], d["n"])).alias("c")).select("doc_id", "c.*")
 
 
-@query_of_words
-def word_analysis(spark, sf_dir, toks):
-    out = segment.analyse(segment.segment(toks))
-    return out.groupBy("norm", "tone", "word_class", "multiplier").agg(F.count("*").alias("n_words"))
+@query_of_rows
+def word_analysis(spark, sf_dir, table):
+    """Words of all documents by their analysis; each distinct word is analysed once."""
+    words_ = segment.segment_rows(table).select(F.explode_outer(F.transform("words", lambda x: x["word"])).alias("word"))
+    out = segment.analyse(words_.groupBy("word").agg(F.count("*").alias("n_used")))
+    return out.groupBy("norm", "tone", "word_class", "multiplier").agg(F.sum("n_used").alias("n_words"))
 
 
 # compression
@@ -207,70 +231,73 @@ def compress_tone(spark, sf_dir):
     return stream.compress_rows(spread(documents(spark, sf_dir)))
 
 
-def _method(name: str, make, prepare=_tokens, **options):
+def _method(name: str, make, prepare=_rows, *extra: str, **options):
     def run(spark, sf_dir):
-        return select.assemble(make(prepare(spark, sf_dir), **options))
+        return R.compress(prepare(spark, sf_dir), make, *extra, **options)
 
     run.__name__ = f"compress_{name}"
     run.__doc__ = make.__doc__
     return query(run)
 
 
-def _base(spark, sf_dir):
-    return _with_base(_tokens(spark, sf_dir))
+def _no_surprisal(spark, sf_dir):
+    return _rows(spark, sf_dir).withColumn("surprisal", F.transform("toks", lambda _: F.lit(0.5)))
 
 
-def _stream_base(spark, sf_dir):
-    return _with_base(_stream(spark, sf_dir))
+def _gated(spark, sf_dir):
+    """Rows with is_vi: whether the document's first 500 characters are Vietnamese."""
+    docs = spread(documents(spark, sf_dir)).where(F.col("text").rlike(R.SOME["space"]))
+    return docs.select("doc_id", T.TOKENIZERS["space"](F.col("text")).alias("toks"), tone.is_vietnamese(F.substring("text", 1, 500)).alias("is_vi"))
 
 
-def _sentences(spark, sf_dir):
-    toks = T.tokens(documents(spark, sf_dir), tokenizer="word")
-    return scores.ngram_surprisal(toks)
+def _sentences(corpus: Corpus):
+    """(doc_id, toks, of_word, v, surprisal, n_sent, sents): what the sentence filter leaves of each document."""
+    sents = let(F.struct("toks", "surprisal"), lambda d: R.likely_sentences(d["toks"], d["surprisal"], methods.SENTENCE_ENDS))
+    held = corpus.surprisal().withColumn("c", sents)
+    return held.select("doc_id", "toks", "of_word", "v", "surprisal", "c.n_sent", "c.sents")
 
 
-_method("none", methods.keep_all)
-_method("first", methods.first)
-_method("every_nth", methods.every_nth)
-_method("longest", methods.longest)
-_method("random", methods.random)
-_method("combined", methods.combined)
-_method("combined_lexicon", methods.combined, _stream)
-_method("morph_quota", methods.class_quota, _stream)
-_method("morph_quota_text", methods.class_quota)
-_method("morph_aware", methods.morph_aware, _stream_base)
-_method("morph_aware_text", methods.morph_aware, _base)
-_method("combined_base", methods.combined_base, _base)
-_method("enhanced", methods.enhanced, _with_surprisal)
-_method("enhanced_no_scorer", methods.enhanced, lambda s, d: _tokens(s, d).withColumn("surprisal", F.lit(0.5)), weights=scores.auto_weights(False))
-_method("scorer", methods.scorer, _with_surprisal)
-_method("scorer_select", methods.scorer_select, _base)
-_method("selective_no_query", methods.selective)
-_method("llmlingua", methods.llmlingua, _sentences)
-_method("streamingllm", methods.streaming_llm)
+_method("none", R.keep_all)
+_method("first", R.first)
+_method("every_nth", R.every_nth)
+_method("longest", R.longest)
+_method("random", R.random)
+_method("combined", R.combined)
+_method("combined_lexicon", R.combined, _stream_rows)
+_method("morph_quota", R.class_quota, _stream_rows)
+_method("morph_quota_text", R.class_quota)
+_method("morph_aware", R.morph_aware, _stream_rows)
+_method("morph_aware_text", R.morph_aware)
+_method("combined_base", R.combined_base)
+_method("tone_aware", R.tone_aware, _gated, "is_vi")
+_method("enhanced", R.enhanced, _with_surprisal, "surprisal")
+_method("enhanced_no_scorer", R.enhanced, _no_surprisal, "surprisal", weights=scores.auto_weights(False))
+_method("scorer", R.scorer, _with_surprisal, "surprisal")
+_method("scorer_select", R.scorer_select)
+_method("selective_no_query", R.selective_no_query)
+_method("selective", R.selective)
+_method("streamingllm", R.streaming_llm)
+_method("snapkv", R.snapkv)
 
 
 @query
-def compress_tone_aware(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    return select.assemble(methods.tone_aware(_with_base(T.tokens(docs)), docs))
+def compress_llmlingua(spark, sf_dir):
+    """The sentence filter, then the highest surprisals of what it left, computed again behind removed sentences."""
+    corpus = Corpus(documents(spark, sf_dir), "word")
+    held = _sentences(corpus)
+    pairs = let(F.struct("toks", "sents"), lambda d: R.new_pairs(d["toks"], d["sents"]))
+    found = corpus.pair_counts(held.select("doc_id", pairs.alias("pairs")))
+    both = held.withColumn("pairs", pairs).join(found, "doc_id", "left")
+    of = lambda d: lambda p, j: F.struct(p["at"].alias("at"), negative_log(F.get(d["found"], j), F.get(d["of_word"], p["before"]), d["v"]).alias("surprisal"))
+    again = let(F.struct("pairs", "found", "of_word", "v"), lambda d: F.transform(d["pairs"], of(d)))
+    return R.compress(both.withColumn("again", again), R.llmlingua, "surprisal", "sents", "again")
 
 
 @query
 def sentence_filter(spark, sf_dir):
-    kept = methods.sentence_filter(_sentences(spark, sf_dir))
-    return kept.groupBy("doc_id").agg(F.count("*").alias("n_kept"), F.max("n").alias("n_tokens"), F.sum("pos").alias("sum_pos"), F.max("n_sent").alias("n_sentences"))
-
-
-@query
-def compress_snapkv(spark, sf_dir):
-    """Three heads of importance from token hashes, pooled, each with its own best; the union is kept."""
-    toks = _tokens(spark, sf_dir)
-    heads = toks.withColumn("head", F.explode(F.array(*map(F.lit, range(3)))))
-    raw = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("tok"), F.col("head").cast("string"))), 1, 4), 16, 10).cast("double") / 65536.0
-    order = Window.partitionBy("doc_id", "head").orderBy("pos")
-    pooled = heads.withColumn("raw", raw).withColumn("pooled", scores.pool(F.col("raw"), order))
-    return select.assemble(methods.snapkv(pooled))
+    kept = _sentences(Corpus(documents(spark, sf_dir), "word"))
+    places = lambda x: (x["at"] * 2 + x["m"] - 1).cast("long") * x["m"] / 2
+    return kept.select("doc_id", _total("sents", lambda x: x["m"]).alias("n_kept"), F.size("toks").alias("n_tokens"), _total("sents", lambda x: places(x).cast("long")).alias("sum_pos"), F.col("n_sent").alias("n_sentences"))
 
 
 def _attention(spark, sf_dir):
@@ -298,25 +325,11 @@ def h2o_importance(spark, sf_dir):
     return imp.groupBy("doc_id", "k_pos").agg(F.round(F.avg("importance"), 5).alias("importance"))
 
 
-@query
-def compress_selective(spark, sf_dir):
-    """Cosine similarity of token vectors (letter counts) with the document's first 16 tokens as the query."""
-    toks = _tokens(spark, sf_dir)
-    letters = [F.length(F.regexp_replace(F.lower("tok"), f"[^{c}]", "")).cast("long") for c in "aeiounrst"]
-    vec = toks.withColumns({f"v{i}": x for i, x in enumerate(letters)})
-    q = [F.sum(F.when(F.col("pos") < 16, F.col(f"v{i}"))).over(scores.document()) for i in range(9)]
-    with_q = vec.withColumns({f"q{i}": x for i, x in enumerate(q)})
-    dot = sum((F.col(f"v{i}") * F.col(f"q{i}") for i in range(9)), F.lit(0))
-    norm = sum((F.col(f"v{i}") * F.col(f"v{i}") for i in range(9)), F.lit(0)) * sum((F.col(f"q{i}") * F.col(f"q{i}") for i in range(9)), F.lit(0))
-    scored = with_q.withColumn("similarity", F.when(norm > 0, F.round(dot / F.sqrt(norm.cast("double")), 6)).otherwise(F.lit(0.0)))
-    return select.assemble(methods.selective(scored))
-
-
 @query
 def evaluate_methods(spark, sf_dir):
     """Documents and tokens that each method without a model leaves."""
-    done = methods.evaluate(_tokens(spark, sf_dir))
-    return done.groupBy("method", "ratio").agg(F.count("*").alias("n_docs"), F.sum("compressed_length").alias("n_kept"), F.sum(F.length("compressed_text")).alias("n_chars"))
+    done = methods.evaluate_sizes(_rows(spark, sf_dir))
+    return done.groupBy("method", "ratio").agg(F.count("*").alias("n_docs"), F.sum("compressed_length").alias("n_kept"), F.sum("n_chars").alias("n_chars"))
 
 
 @query
@@ -348,27 +361,11 @@ def effective_ratio(spark, sf_dir):
 @query
 def ratio_grid(spark, sf_dir):
     """Four methods at three ratios from one feature table; each method ranks once for all ratios."""
-    toks = T.features(_tokens(spark, sf_dir))
-    seeded = select.seeded(methods.SEED, F.col("doc_id"), F.col("pos"))
-    orders = {
-        "first": [F.col("pos")],
-        "longest": [F.length("tok").desc(), F.col("pos")],
-        "tone_only": [F.round("tone_score", 9).desc(), F.col("pos")],
-        "random": [seeded, F.col("pos")],
-    }
-    slim = toks.select("doc_id", "pos", "tok", "n", "tone_score")
-    ranked = slim.withColumn("is_edge", select.edge(2))
-    part = Window.partitionBy("doc_id", "is_edge")
-    ranked = ranked.withColumns({f"r_{m}": F.row_number().over(part.orderBy(*o)) for m, o in orders.items()})
-    marks = F.length(tone.tone_marks(F.col("tok")))
-    sums = []
-    for m in orders:
-        for r in RATIOS:
-            keep = F.col("is_edge") | (F.col(f"r_{m}") <= select.target(r, 2, "boundary") - 4)
-            sums += [F.count_if(keep).alias(f"{m}|{r}|kept"), F.count_if(keep & (marks > 0)).alias(f"{m}|{r}|toned")]
-    wide = ranked.groupBy("doc_id").agg(F.max("n").alias("n"), F.count_if(marks > 0).alias("toned"), *sums)
-    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(r).alias("ratio"), F.col(f"`{m}|{r}|kept`").alias("kept"), F.col(f"`{m}|{r}|toned`").alias("toned_kept")) for m in orders for r in RATIOS]))
-    return wide.select("doc_id", "n", "toned", cells.alias("c")).select("doc_id", "n", "toned", "c.*")
+    toned = lambda items, places: F.size(F.filter(places, lambda p: F.get(items, p)["d"] > 0)).cast("long")
+    made = lambda items, places: [F.size(places).cast("long").alias("kept"), toned(items, places).alias("toned_kept"), F.size(F.filter(items, lambda e: e["d"] > 0)).cast("long").alias("toned")]
+    cells = let(F.col("toks"), lambda toks: R.grid_cells(F.col("doc_id"), toks, ("first", "longest", "tone_only", "random"), RATIOS, made))
+    wide = _rows(spark, sf_dir).select("doc_id", F.size("toks").alias("n"), F.explode_outer(cells).alias("c"))
+    return wide.select("doc_id", "n", "c.toned", "c.method", "c.ratio", "c.kept", "c.toned_kept")
 
 
 def _bench_rows(spark, sf_dir):
@@ -405,7 +402,7 @@ def sample_counts(spark, sf_dir):
 @query
 def method_bench(spark, sf_dir):
     """Every method without a model over all documents, at the ratios of the quick benchmark."""
-    return runners.benchmark_texts(documents(spark, sf_dir))
+    return runners.benchmark_texts(spread(documents(spark, sf_dir)))
 
 
 @query
@@ -437,20 +434,22 @@ def bench_report(spark, sf_dir):
 
 @query
 def ngram_surprisal(spark, sf_dir):
-    toks = _with_surprisal(spark, sf_dir)
-    return toks.groupBy("doc_id").agg(F.round(F.sum("surprisal"), 3).alias("sum_surprisal"), F.max("surprisal").alias("max_surprisal"))
+    total = F.aggregate("surprisal", F.lit(0.0), lambda a, x: a + x)
+    return _with_surprisal(spark, sf_dir).select("doc_id", F.round(total, 3).alias("sum_surprisal"), F.array_max("surprisal").alias("max_surprisal"))
 
 
 @query
 def chunked_surprisal(spark, sf_dir):
-    toks = scores.chunked(_with_surprisal(spark, sf_dir))
-    return toks.groupBy("doc_id").agg(F.round(F.sum("chunk_surprisal"), 3).alias("sum_chunked"), F.count_if(F.col("chunk_surprisal") != F.col("surprisal")).alias("n_moved"))
+    moved = _with_surprisal(spark, sf_dir).select("doc_id", "surprisal", let(F.col("surprisal"), R.chunked).alias("chunked"))
+    differs = let(F.struct("surprisal", "chunked"), lambda d: F.filter(d["chunked"], lambda x, i: x != F.get(d["surprisal"], i)))
+    return moved.select("doc_id", F.round(F.aggregate("chunked", F.lit(0.0), lambda a, x: a + x), 3).alias("sum_chunked"), F.size(differs).cast("long").alias("n_moved"))
 
 
 @query
 def minmax_blend(spark, sf_dir):
-    toks = methods.blend(_with_surprisal(spark, sf_dir))
-    return toks.groupBy("doc_id").agg(F.round(F.avg("blended"), 5).alias("mean_blended"), F.round(F.max("blended"), 5).alias("max_blended"))
+    means = lambda b: F.struct(F.round(F.aggregate(b, F.lit(0.0), lambda a, x: a + x) / F.size(b), 5).alias("mean_blended"), F.round(F.array_max(b), 5).alias("max_blended"))
+    made = let(F.struct("toks", "surprisal"), lambda d: R.blended(d["toks"], d["surprisal"], (0.4, 0.3, 0.3), means))
+    return _with_surprisal(spark, sf_dir).select("doc_id", made.alias("c")).select("doc_id", "c.*")
 
 
 # retention and text metrics
@@ -459,18 +458,22 @@ def minmax_blend(spark, sf_dir):
 @query
 def retention_report(spark, sf_dir):
     """Content, function and toned tokens before and after tone compression."""
-    toks = T.with_class(_tokens(spark, sf_dir))
-    ranked = select.rank_middle(T.with_contrast(T.with_tone(toks)), [F.round("tone_score", 9).desc(), F.col("pos")])
-    keep = F.col("is_edge") | (F.col("rank") <= select.target(4.0, 2, "boundary") - 4)
-    toned = F.length(tone.tone_marks(F.col("tok"))) > 0
-    kinds = {"content": F.col("word_class") == "content", "function": F.col("word_class") == "function", "toned": toned}
-    return ranked.groupBy("doc_id").agg(*[x for k, c in kinds.items() for x in (F.count_if(c).alias(f"{k}_before"), F.count_if(c & keep).alias(f"{k}_after"))])
+    kinds = {"content": lambda e: e["c"] == "content", "function": lambda e: e["c"] == "function", "toned": lambda e: e["d"] > 0}
+
+    def counts(items: Column, test) -> Column:
+        before = lambda c: F.size(F.filter(items, c)).cast("long")
+        after = lambda c: F.size(F.filter(items, lambda e, i: c(e) & test(i))).cast("long")
+        return F.struct(*[x for k, c in kinds.items() for x in (before(c).alias(f"{k}_before"), after(c).alias(f"{k}_after"))])
+
+    def made(toks: Column) -> Column:
+        return R.with_scores(toks, lambda items, s: R.boundary(toks, F.transform(s, R.down), use=lambda test: counts(items, test)), classes=True)
+
+    return _rows(spark, sf_dir).select("doc_id", let(F.col("toks"), made).alias("c")).select("doc_id", "c.*")
 
 
 @query
 def tone_preservation(spark, sf_dir):
-    toks = _tokens(spark, sf_dir)
-    return metrics.tone_counts(toks, methods.tone_only(toks))
+    return metrics.tone_counts_of(_rows(spark, sf_dir))
 
 
 @query
@@ -546,14 +549,15 @@ def tir_stats(spark, sf_dir):
 
 @query
 def training_dataset(spark, sf_dir):
-    rows = dataset.training_rows(_tokens(spark, sf_dir))
+    rows = dataset.training_rows_of(_rows(spark, sf_dir))
     return rows.select("doc_id", "original_length", "compressed_length", F.md5(F.array_join("labels", " ").cast("binary")).alias("labels_md5"), F.array_join("tone_labels", "").alias("tone_labels"), F.md5(F.array_join("input_tokens", " ").cast("binary")).alias("input_md5"))
 
 
 @query
 def training_batches(spark, sf_dir):
     """Padded batches of training rows, as digests."""
-    out = dataset.batches(dataset.training_rows(_tokens(spark, sf_dir)))
+    dealt = documents(spark, sf_dir).repartition(F.floor(F.col("doc_id") / 8))
+    out = dataset.batches(dataset.training_rows_of(R.rows(dealt)))
     digest = lambda c: F.md5(F.array_join(F.transform(c, lambda x: F.array_join(x, " ")), "|").cast("binary"))
     width = lambda c: F.size(F.get(c, F.lit(0)))
     return out.select("batch", F.size("doc_ids").alias("n_rows"), width("input_tokens").alias("input_width"), width("labels").alias("label_width"), digest("input_tokens").alias("input_md5"), digest("attention").alias("attention_md5"), digest("labels").alias("labels_md5"), digest("tone_labels").alias("tones_md5"))
