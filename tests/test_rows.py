@@ -46,3 +46,10 @@ def test_no_token_moves(spark, sf_dir, name):
     """No window, and no exchange of a row a token: what is dealt out are texts, chunks' blocks or sums."""
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and not re.search(r"hashpartitioning\(doc_id#\d+L?(, \w+#\d+)*, 4\), REPARTITION_BY_COL", plan)
+
+
+def test_llmlingua_keeps_the_end_of_long_texts(spark, tmp_path):
+    sf = folder(spark, tmp_path, [" ".join(f"w{i * i % 9973}" for i in range(140_000)), "a b c"])
+    got = {r.doc_id: r for r in QUERIES["compress_llmlingua"](spark, sf).collect()}
+    assert got[0].compressed_length == 35_000 and got[0].compressed_text.endswith(f" w{139_998**2 % 9973} w{139_999**2 % 9973}")
+    assert got[1].compressed_text == "a b c"

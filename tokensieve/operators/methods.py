@@ -175,7 +175,7 @@ def sentence_filter(toks: DataFrame, ratio: float = 4.0) -> DataFrame:
     return ranked.where((F.col("n_sent") < 4) | (F.col("srank") <= limit)).drop("mean", "srank")
 
 
-def llmlingua(toks: DataFrame, ratio: float = 4.0, k: int = 2, most: int = 32768) -> DataFrame:
+def llmlingua(toks: DataFrame, ratio: float = 4.0, k: int = 2) -> DataFrame:
     """The sentence filter; then, of texts still beyond one and a half targets, the highest surprisals of what it left.
 
     These are computed again: a token behind a removed sentence has another
@@ -188,8 +188,7 @@ def llmlingua(toks: DataFrame, ratio: float = 4.0, k: int = 2, most: int = 32768
     ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "is_edge").orderBy(F.col("surprisal").desc(), "pos")))
     budget = F.greatest(F.col("goal") - 2 * k, F.lit(0))
     whole = (F.col("m") <= F.col("goal") * 1.5) | (budget <= 0)
-    out = ranked.where(F.col("is_edge") | whole | (F.col("rank") <= budget))
-    return out.withColumn("place", F.row_number().over(by_document())).where(F.col("place") <= most)
+    return ranked.where(F.col("is_edge") | whole | (F.col("rank") <= budget))
 
 
 def streaming_llm(toks: DataFrame, ratio: float = 4.0, k: int = 2, cap: int = 512) -> DataFrame:

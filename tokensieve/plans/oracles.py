@@ -412,8 +412,7 @@ ORACLES: dict[str, str] = {
         "lp AS (SELECT *, i < 2 OR i >= m - 2 AS is_edge, lag(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM l1)",
         "l2 AS (SELECT lp.*, CASE WHEN i = 0 THEN 0 ELSE round(-ln((coalesce(c2, 0) + 1.0::DOUBLE) / (coalesce(c1, 0) + (SELECT count(DISTINCT tok) FROM toks))), 6) END AS again FROM lp LEFT JOIN two ON two.prev = lp.prev AND two.tok = lp.tok LEFT JOIN one ON one.prev = lp.prev)",
         "l3 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, is_edge ORDER BY again DESC, pos) AS rank FROM l2)",
-        "l4 AS (SELECT * FROM l3 WHERE is_edge OR m <= goal * 1.5::DOUBLE OR greatest(goal - 4, 0) <= 0 OR rank <= goal - 4)",
-        "kept AS (SELECT * FROM l4 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 32768)",
+        "kept AS (SELECT * FROM l3 WHERE is_edge OR m <= goal * 1.5::DOUBLE OR greatest(goal - 4, 0) <= 0 OR rank <= goal - 4)",
     ),
     "compress_streamingllm": _with(
         _TOKS,
