@@ -53,3 +53,9 @@ def test_llmlingua_keeps_the_end_of_long_texts(spark, tmp_path):
     got = {r.doc_id: r for r in QUERIES["compress_llmlingua"](spark, sf).collect()}
     assert got[0].compressed_length == 35_000 and got[0].compressed_text.endswith(f" w{139_998**2 % 9973} w{139_999**2 % 9973}")
     assert got[1].compressed_text == "a b c"
+
+
+def test_benchmark_ranks_in_rows(spark, sf_dir):
+    """The one window is over the turns of a conversation."""
+    plan = QUERIES["bench_cells"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 1
