@@ -38,7 +38,9 @@ def test_sizes_of_a_long_text(spark):
 
 
 #: Queries whose documents stay in one row each.
-IN_ROWS = []
+IN_ROWS = """
+compress_enhanced_no_scorer
+""".split()
 
 
 @pytest.mark.parametrize("name", IN_ROWS)
