@@ -40,6 +40,7 @@ def test_sizes_of_a_long_text(spark):
 #: Queries whose documents stay in one row each.
 IN_ROWS = """
 compress_enhanced_no_scorer
+compress_llmlingua
 """.split()
 
 

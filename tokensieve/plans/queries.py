@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tone, words
 from ..lexicon import SINO_MORPHEMES
-from ..functions.rowwise import let
+from ..functions.rowwise import let, sized
 from ..operators import dataset, methods, metrics, runners, scores, segment
 from ..operators import rows as R
 from ..operators import tokens as T
@@ -284,13 +284,14 @@ _method("snapkv", R.snapkv)
 def compress_llmlingua(spark, sf_dir):
     """The sentence filter, then the highest surprisals of what it left, computed again behind removed sentences."""
     corpus = Corpus(documents(spark, sf_dir), "word")
-    held = _sentences(corpus)
-    pairs = let(F.struct("toks", "sents"), lambda d: R.new_pairs(d["toks"], d["sents"]))
-    found = corpus.pair_counts(held.select("doc_id", pairs.alias("pairs")))
-    both = held.withColumn("pairs", pairs).join(found, "doc_id", "left")
-    of = lambda d: lambda p, j: F.struct(p["at"].alias("at"), negative_log(F.get(d["found"], j), F.get(d["of_word"], p["before"]), d["v"]).alias("surprisal"))
-    again = let(F.struct("pairs", "found", "of_word", "v"), lambda d: F.transform(d["pairs"], of(d)))
-    return R.compress(both.withColumn("again", again), R.llmlingua, "surprisal", "sents", "again")
+    parts = let(F.struct("toks", "surprisal", "sents", "of_word"), lambda d: R.parts_of(d["toks"], d["surprisal"], d["sents"], d["of_word"]))
+    held = _sentences(corpus).select("doc_id", F.size("toks").alias("n"), "v", parts.alias("parts"))
+    moved = lambda c: F.filter(F.transform(c, lambda x: x["pair"]), lambda p: p.isNotNull())
+    found = corpus.pair_counts(held.select("doc_id", moved("parts").alias("pairs")))  # what is joined is only what the filter left
+    again = lambda d: let(moved(d["parts"]), lambda pairs: F.transform(pairs, lambda p, i: F.struct(p["j"].alias("j"), negative_log(F.get(d["found"], i), p["c1"], d["v"]).alias("surprisal"))))
+    kept = lambda d: let(again(d), lambda x: R.llmlingua(F.col("doc_id"), d["n"], d["parts"], x))
+    made = let(F.struct("n", "v", "parts", "found"), lambda d: sized(d["n"], kept(d)))
+    return held.join(found, "doc_id", "left").select("doc_id", made.alias("c")).select("doc_id", "c.*")
 
 
 @query
