@@ -41,6 +41,7 @@ def test_sizes_of_a_long_text(spark):
 IN_ROWS = """
 compress_enhanced_no_scorer
 compress_llmlingua
+compress_morph_aware_text
 """.split()
 
 
