@@ -42,6 +42,7 @@ IN_ROWS = """
 compress_enhanced_no_scorer
 compress_llmlingua
 compress_morph_aware_text
+compress_morph_quota_text
 """.split()
 
 
