@@ -43,6 +43,7 @@ compress_enhanced_no_scorer
 compress_llmlingua
 compress_morph_aware_text
 compress_morph_quota_text
+compress_scorer_select
 """.split()
 
 
