@@ -44,6 +44,7 @@ compress_llmlingua
 compress_morph_aware_text
 compress_morph_quota_text
 compress_scorer_select
+retention_report
 """.split()
 
 
