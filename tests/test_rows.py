@@ -45,6 +45,7 @@ compress_morph_aware_text
 compress_morph_quota_text
 compress_scorer_select
 retention_report
+segment_text
 """.split()
 
 
