@@ -46,6 +46,7 @@ compress_morph_quota_text
 compress_scorer_select
 retention_report
 segment_text
+word_analysis
 """.split()
 
 
