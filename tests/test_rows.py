@@ -47,6 +47,7 @@ compress_scorer_select
 retention_report
 segment_text
 word_analysis
+word_analysis_text
 """.split()
 
 
