@@ -48,6 +48,7 @@ retention_report
 segment_text
 word_analysis
 word_analysis_text
+word_segment
 """.split()
 
 
