@@ -49,6 +49,7 @@ segment_text
 word_analysis
 word_analysis_text
 word_segment
+word_segment_text
 """.split()
 
 
