@@ -50,6 +50,7 @@ word_analysis
 word_analysis_text
 word_segment
 word_segment_text
+compress_morph_aware
 """.split()
 
 
