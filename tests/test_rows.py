@@ -51,6 +51,7 @@ word_analysis_text
 word_segment
 word_segment_text
 compress_morph_aware
+evaluate_methods
 """.split()
 
 
