@@ -52,6 +52,7 @@ word_segment
 word_segment_text
 compress_morph_aware
 evaluate_methods
+method_bench
 """.split()
 
 

@@ -276,9 +276,9 @@ def evaluate(toks: DataFrame, names: tuple[str, ...] = NO_MODEL, ratios: tuple[f
     return _with_rates(done)
 
 
-def evaluate_sizes(table: DataFrame, names: tuple[str, ...] = NO_MODEL, ratios: tuple[float, ...] = (4.0,)) -> DataFrame:
-    """evaluate() of rows (doc_id, toks) with the number of characters, n_chars, instead of the text."""
-    return _with_rates(rows.sizes(table, checked(names), ratios))
+def evaluate_sizes(table: DataFrame, names: tuple[str, ...] = NO_MODEL, ratios: tuple[float, ...] = (4.0,), with_chars: bool = True) -> DataFrame:
+    """evaluate() of rows (doc_id, toks) with the number of characters, n_chars, if asked for, instead of the text."""
+    return _with_rates(rows.sizes(table, checked(names), ratios, with_chars))
 
 
 def _with_rates(done: DataFrame) -> DataFrame:

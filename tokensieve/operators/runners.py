@@ -21,7 +21,7 @@ def compress_text(spark: SparkSession, text: str, ratio: float = 4.0, names: tup
 
 def benchmark_texts(docs: DataFrame, names: tuple[str, ...] = methods.NO_MODEL, ratios: tuple[float, ...] = (2.0, 4.0, 6.0, 8.0)) -> DataFrame:
     """(name, avg_compression_ratio, avg_token_savings_pct, num_samples) of docs (doc_id, text) for each method@ratio."""
-    done = methods.evaluate_sizes(rows.rows(docs), names, ratios).groupBy("method", "ratio")
+    done = methods.evaluate_sizes(rows.rows(docs), names, ratios, with_chars=False).groupBy("method", "ratio")
     out = done.agg(F.avg("compression_ratio").alias("cr"), F.avg("token_savings_pct").alias("ts"), F.count("*").alias("num_samples"))
     name = F.format_string("%s@%.1fx", "method", "ratio").alias("name")
     return out.select(name, F.bround("cr", 2).alias("avg_compression_ratio"), F.bround("ts", 1).alias("avg_token_savings_pct"), "num_samples")
