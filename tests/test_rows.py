@@ -53,6 +53,7 @@ word_segment_text
 compress_morph_aware
 evaluate_methods
 method_bench
+length_ratio_rollup
 """.split()
 
 
