@@ -54,6 +54,7 @@ compress_morph_aware
 evaluate_methods
 method_bench
 length_ratio_rollup
+ratio_grid
 """.split()
 
 
