@@ -55,6 +55,7 @@ evaluate_methods
 method_bench
 length_ratio_rollup
 ratio_grid
+align_spans_text
 """.split()
 
 
