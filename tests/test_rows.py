@@ -56,6 +56,7 @@ method_bench
 length_ratio_rollup
 ratio_grid
 align_spans_text
+align_spans
 """.split()
 
 
