@@ -57,6 +57,7 @@ length_ratio_rollup
 ratio_grid
 align_spans_text
 align_spans
+training_dataset
 """.split()
 
 
