@@ -58,6 +58,7 @@ ratio_grid
 align_spans_text
 align_spans
 training_dataset
+compress_morph_quota
 """.split()
 
 
