@@ -59,6 +59,7 @@ align_spans_text
 align_spans
 training_dataset
 compress_morph_quota
+compress_snapkv
 """.split()
 
 
