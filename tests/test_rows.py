@@ -60,6 +60,7 @@ align_spans
 training_dataset
 compress_morph_quota
 compress_snapkv
+compress_selective
 """.split()
 
 
