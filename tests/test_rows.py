@@ -61,6 +61,7 @@ training_dataset
 compress_morph_quota
 compress_snapkv
 compress_selective
+training_batches
 """.split()
 
 
