@@ -62,6 +62,7 @@ compress_morph_quota
 compress_snapkv
 compress_selective
 training_batches
+compress_random
 """.split()
 
 
