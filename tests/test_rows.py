@@ -63,6 +63,7 @@ compress_snapkv
 compress_selective
 training_batches
 compress_random
+compress_selective_no_query
 """.split()
 
 
