@@ -64,6 +64,7 @@ compress_selective
 training_batches
 compress_random
 compress_selective_no_query
+compress_combined_base
 """.split()
 
 
