@@ -65,6 +65,7 @@ training_batches
 compress_random
 compress_selective_no_query
 compress_combined_base
+compress_tone_aware
 """.split()
 
 
