@@ -66,6 +66,7 @@ compress_random
 compress_selective_no_query
 compress_combined_base
 compress_tone_aware
+sentence_filter
 """.split()
 
 
