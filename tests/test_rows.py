@@ -67,6 +67,7 @@ compress_selective_no_query
 compress_combined_base
 compress_tone_aware
 sentence_filter
+compress_combined
 """.split()
 
 
