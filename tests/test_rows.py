@@ -68,6 +68,7 @@ compress_combined_base
 compress_tone_aware
 sentence_filter
 compress_combined
+compress_combined_lexicon
 """.split()
 
 
