@@ -69,6 +69,7 @@ compress_tone_aware
 sentence_filter
 compress_combined
 compress_combined_lexicon
+compress_enhanced
 """.split()
 
 
