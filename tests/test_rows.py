@@ -70,6 +70,7 @@ sentence_filter
 compress_combined
 compress_combined_lexicon
 compress_enhanced
+compress_scorer
 """.split()
 
 
